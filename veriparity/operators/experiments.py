@@ -245,3 +245,12 @@ def best_model_modes(best: DataFrame) -> DataFrame:
     # one row per model by now
     top = F.max("splits").over(Window.partitionBy("dataset", "error"))
     return wins.withColumn("_top", top).where(F.col("splits") == F.col("_top")).drop("_top")
+
+
+def paired_changes(
+    runs: DataFrame, pair: Sequence[str], method: str, baseline: str, measures: Sequence[str]
+) -> DataFrame:
+    """Change of each measure from the baseline run to every other method's run of the same pair."""
+    base = runs.where(F.col(method) == baseline).select(*pair, *[F.col(m).alias(f"_b_{m}") for m in measures])
+    treated = runs.where(F.col(method) != baseline).join(base, list(pair))
+    return treated.select(*pair, method, *[(F.col(m) - F.col(f"_b_{m}")).alias(m) for m in measures])

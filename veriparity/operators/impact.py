@@ -1,8 +1,8 @@
 """Questions over the impact table: how often did cleaning help or hurt?
 
 All of them aggregate one scan.  The "is there any cleaning approach" questions
-are a flag per key, not a self-join.  ``weight`` names a column that says how
-many impact rows one input row stands for; without it every row counts once.
+select the distinct keys of the rows that qualify, which is what a self-join on
+all keys would return.
 """
 
 from __future__ import annotations
@@ -20,9 +20,8 @@ OUTCOMES = ("negative", "insignificant", "positive")
 PUBLISHED_ROWS_PER_METRIC = 318.0
 
 
-def _tally(weight: str | None) -> Column:
-    counted = F.count(F.lit(1)) if weight is None else F.sum(F.col(weight))
-    return counted.cast("bigint").alias("count")
+def _tally() -> Column:
+    return F.count(F.lit(1)).alias("count")
 
 
 def fairness_is(outcome: str) -> Column:
@@ -45,34 +44,33 @@ def tally(
     impact: DataFrame,
     keys: Sequence[str | Column],
     where: Column | None = None,
-    weight: str | None = None,
     order: Sequence[str | Column] | None = None,
 ) -> DataFrame:
     """Rows per key, of those that satisfy ``where``, sorted by ``order`` (default: the keys)."""
     rows = impact if where is None else impact.where(where)
-    out = rows.groupBy(*keys).agg(_tally(weight))
+    out = rows.groupBy(*keys).agg(_tally())
     return out.orderBy(*(order or out.columns[:-1]))
 
 
-def impact_counts(impact: DataFrame, by: Sequence[str] = ("error",), weight: str | None = None) -> DataFrame:
+def impact_counts(impact: DataFrame, by: Sequence[str] = ("error",)) -> DataFrame:
     """Rows per ``by``, fairness and accuracy outcome."""
     order = [*by, F.col("fairness_impact").desc(), F.col("accuracy_impact").desc()]
-    return tally(impact, [*by, "fairness_impact", "accuracy_impact"], weight=weight, order=order)
+    return tally(impact, [*by, "fairness_impact", "accuracy_impact"], order=order)
 
 
 def not_worse_counts(
-    impact: DataFrame, by: Sequence[str], flag: Column, name: str, weight: str | None = None
+    impact: DataFrame, by: Sequence[str], flag: Column, name: str
 ) -> DataFrame:
     """Rows per ``by`` and computed flag."""
-    return tally(impact, [*by, flag.alias(name)], weight=weight, order=[*by, F.col(name).desc()])
+    return tally(impact, [*by, flag.alias(name)], order=[*by, F.col(name).desc()])
 
 
-def impact_matrix(impact: DataFrame, weight: str | None = None) -> DataFrame:
+def impact_matrix(impact: DataFrame) -> DataFrame:
     """Fairness x accuracy table per error, with margins, in counts and percent of the error's rows.
 
     ``all`` marks a margin.  Every cell of the table is present, empty ones as 0.
     """
-    cells = impact.groupBy("error", "fairness_impact", "accuracy_impact").agg(_tally(weight))
+    cells = impact.groupBy("error", "fairness_impact", "accuracy_impact").agg(_tally())
     both = F.array(*[F.lit(o) for o in (*OUTCOMES, "all")])
     spread = cells.select(
         "error",
@@ -97,13 +95,13 @@ def impact_matrix(impact: DataFrame, weight: str | None = None) -> DataFrame:
 
 
 def metric_share(
-    impact: DataFrame, rows_per_metric: float | None = PUBLISHED_ROWS_PER_METRIC, weight: str | None = None
+    impact: DataFrame, rows_per_metric: float | None = PUBLISHED_ROWS_PER_METRIC
 ) -> DataFrame:
     """Rows per metric and fairness outcome, and their share of ``rows_per_metric``.
 
     ``None`` takes the share of the metric's own rows instead of a given number.
     """
-    counted = impact.groupBy("metric", "fairness_impact").agg(_tally(weight))
+    counted = impact.groupBy("metric", "fairness_impact").agg(_tally())
     if rows_per_metric is not None:
         out = counted.withColumn("perc", F.col("count") / F.lit(float(rows_per_metric)))
     else:

@@ -92,14 +92,14 @@ def exact_percentiles(df: DataFrame, by: Sequence[str], value: str, probs: Seque
                     F.struct(
                         F.lit(2 * i + side).alias("target"),
                         edge.cast("bigint").alias("rank"),
-                        (place - F.floor(place)).alias("part"),
+                        (place - F.floor(place)).alias("_fraction"),
                     )
                 )
         return cells.select("*", F.inline(F.array(*wanted)))
 
     found = order_statistics(df, by, value, targets)
     sides = [F.max(F.when(F.col("target") == t, F.col("value"))).alias(f"_s{t}") for t in range(2 * len(probs))]
-    parts = [F.max(F.when(F.col("target") == 2 * i, F.col("part"))).alias(f"_p{i}") for i in range(len(probs))]
+    parts = [F.max(F.when(F.col("target") == 2 * i, F.col("_fraction"))).alias(f"_p{i}") for i in range(len(probs))]
 
     def between(i: int) -> Column:
         low, high, part = F.col(f"_s{2 * i}"), F.col(f"_s{2 * i + 1}"), F.col(f"_p{i}")
