@@ -183,10 +183,8 @@ def _impact_sql() -> str:
             JOIN cases c ON c.dataset = t.dataset WHERE NOT t.is_base),
         moments AS (SELECT dataset, criteria, metric, model, error, train_method, test_method,
             count(score) AS sn, avg(score) AS sm, stddev_samp(score) AS ss,
-            count(accuracy) AS an, avg(accuracy) AS am, stddev_samp(accuracy) AS asd,
-            0.05 / count(*) OVER (PARTITION BY dataset, criteria, metric, model, error) AS alpha
-            FROM changes GROUP BY ALL),
-        ts AS (SELECT *, {t_sql('sn', 'sm', 'ss')} AS st, {t_sql('an', 'am', 'asd')} AS acc_t FROM moments),
+            count(accuracy) AS an, avg(accuracy) AS am, stddev_samp(accuracy) AS asd FROM changes GROUP BY ALL),
+        ts AS (SELECT *, 0.05 / count(*) OVER (PARTITION BY dataset, criteria, metric, model, error) AS alpha, {t_sql('sn', 'sm', 'ss')} AS st, {t_sql('an', 'am', 'asd')} AS acc_t FROM moments),
         tests AS (SELECT *, {paired_p_sql('sn', 'st')} AS sp, {paired_p_sql('an', 'acc_t')} AS acc_p FROM ts),
         named AS (SELECT *, train_method = test_method AS test_repaired,
             CASE error WHEN 'missing_values' THEN '' WHEN 'mislabel' THEN split_part(train_method, '-', 1)
