@@ -26,7 +26,7 @@ def null_if_token(value: Column, tokens: Iterable[str]) -> Column:
 
 
 def null_if_nan(value: Column) -> Column:
-    return F.when(F.isnan(value), F.lit(None)).otherwise(value)
+    return F.nanvl(value, F.lit(None).cast("double"))
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:

@@ -12,9 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriparity.functions.fairness import fairness_gap, map_counts
+from veriparity.functions.fairness import CELLS, GROUPS, fairness_gap, map_counts, wide_counts
 from veriparity.functions.significance import ALPHA, impact_verdict, paired_p, paired_t
 from veriparity.operators.ordered import ranked
+from veriparity.session import cut_lineage
 
 # Vocabulary of the experiment keys and result files.
 ERRORS = ("outliers", "missing_values", "mislabel")
@@ -34,8 +35,10 @@ CASES = (
     ("heart", "gender", False),
 )
 
-SCENARIO = ("dataset", "criteria", "metric", "model", "error")
 APPROACH = ("train_method", "test_method")
+RUN = (
+    "dataset", "criteria", "model", "error", *APPROACH, "is_baseline", "pos", "split_seed", "retrain_seed", "accuracy",
+)
 
 
 def _found_in_key(words: Sequence[str]) -> Column:
@@ -118,80 +121,90 @@ def scored_runs(runs: DataFrame) -> DataFrame:
     })
 
 
-def pair_runs(runs: DataFrame, pairing: str = "position") -> DataFrame:
-    """Each cleaned run next to its baseline run (NULL when there is none).
+def score_runs(runs: DataFrame, cases: Sequence[tuple[str, str, bool]] = CASES) -> DataFrame:
+    """One slim row per scored run and criterion: a gap per fairness metric, and the accuracy.
 
-    ``position`` pairs the i-th run of a cleaning method with the i-th baseline
-    run, so the longer list loses its tail; ``seeds`` pairs on equal seeds, which
-    needs no ranks and is the choice when runs may be absent.
+    The metric maps end here; what is paired and tested later is a few numbers.
     """
-    place = ["dataset", "error", "model"]
-    if pairing == "position":
-        keys = [*place, "rn"]
-        runs = ranked(runs, [*place, "train_method"], ["pos", "split_seed", "retrain_seed"])
-    elif pairing == "seeds":
-        keys = [*place, "split_seed", "retrain_seed"]
-    else:
-        raise ValueError(f"Unsupported: {pairing}")
-    runs = scored_runs(runs).select(*keys, *APPROACH, "is_baseline", "metrics", "prefix", "accuracy")
-    base = runs.where("is_baseline").select(
-        *keys,
-        F.col("metrics").alias("base_metrics"),
-        F.col("prefix").alias("base_prefix"),
-        F.col("accuracy").alias("base_accuracy"),
+    listed = runs.sparkSession.createDataFrame(list(cases), "dataset string, criteria string, flipped boolean")
+    looked_up = map_counts(F.col("metrics"), F.col("prefix"), F.col("criteria"))
+    cells = [looked_up(g, c).alias(f"{c}_{g}") for g in GROUPS for c in CELLS]
+    counted = scored_runs(runs).join(F.broadcast(listed), "dataset").select(*RUN, "flipped", *cells)
+    return counted.select(
+        *RUN, *[fairness_gap(m, wide_counts(), F.col("flipped")).alias(m) for m in IMPACT_METRICS]
     )
-    return runs.where(~F.col("is_baseline")).drop("is_baseline").join(base, keys, "left")
-
 
-def score_pairs(pairs: DataFrame, cases: Sequence[tuple[str, str, bool]] = CASES) -> DataFrame:
-    """One row per pair, criterion and metric with the change in gap and accuracy."""
-    spark = pairs.sparkSession
-    listed = spark.createDataFrame(list(cases), "dataset string, criteria string, flipped boolean")
-    spread = pairs.join(F.broadcast(listed), "dataset").select(
-        "*", F.explode(F.array(*[F.lit(m) for m in IMPACT_METRICS])).alias("metric")
-    )
 
-    def gap(metrics: str, prefix: str) -> Column:
-        counts = map_counts(F.col(metrics), F.col(prefix), F.col("criteria"))
-        out = F.lit(None).cast("double")
-        for name in IMPACT_METRICS:
-            out = F.when(F.col("metric") == name, fairness_gap(name, counts, F.col("flipped"))).otherwise(out)
-        return out
+def pair_with_baseline(scored: DataFrame, pairing: str = "position") -> DataFrame:
+    """Change of each score of a cleaned run from its baseline run (NULL when there is none).
 
-    return spread.select(
-        *SCENARIO,
+    ``position`` pairs the i-th run of a cleaning approach with the i-th baseline
+    run, so the longer list loses its tail.  ``seeds`` pairs on equal seeds, which
+    needs no ranks and is the choice when runs may be absent; seeds must identify
+    a run of an approach.
+    """
+    place = ["dataset", "criteria", "model", "error"]
+    if pairing == "position":
+        scored = ranked(cut_lineage(scored), [*place, *APPROACH], ["pos", "split_seed", "retrain_seed"])
+        pair = [*place, "rn"]
+    elif pairing == "seeds":
+        pair = [*place, "split_seed", "retrain_seed"]
+    else:
+        raise ValueError(f"Unsupported: {pairing}")
+    # a pair key holds one row per approach
+    together = Window.partitionBy(*pair)
+    scores = [*IMPACT_METRICS, "accuracy"]
+    compared = scored.select(
+        *place,
         *APPROACH,
-        (gap("metrics", "prefix") - gap("base_metrics", "base_prefix")).alias("gap_change"),
-        (F.col("accuracy") - F.col("base_accuracy")).alias("accuracy_change"),
+        "is_baseline",
+        *[(F.col(s) - F.max(F.when(F.col("is_baseline"), F.col(s))).over(together)).alias(s) for s in scores],
     )
+    return compared.where(~F.col("is_baseline")).drop("is_baseline")
 
 
-def paired_tests(changes: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    """Paired t-test per key for each column of differences: ``{m}_n, {m}_t, {m}_p``."""
+def moments_of(changes: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """Count, mean and sample deviation of each column of differences: ``{m}_n, {m}_mean, {m}_sd``."""
     moments = []
     for m in measures:
         moments += [F.count(m).alias(f"{m}_n"), F.avg(m).alias(f"{m}_mean"), F.stddev_samp(m).alias(f"{m}_sd")]
-    tested = changes.groupBy(*keys).agg(*moments)
-    tested = tested.withColumns(
+    return changes.groupBy(*keys).agg(*moments)
+
+
+def _moments(measure: str, name: str | None = None) -> list[Column]:
+    return [F.col(f"{measure}_{part}").alias(f"{name or measure}_{part}") for part in ("n", "mean", "sd")]
+
+
+def test_moments(moments: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """Paired t-tests from the output of ``moments_of``: ``{m}_n, {m}_t, {m}_p``."""
+    tested = moments.withColumns(
         {f"{m}_t": paired_t(F.col(f"{m}_n"), F.col(f"{m}_mean"), F.col(f"{m}_sd")) for m in measures}
     )
     tested = tested.withColumns({f"{m}_p": paired_p(F.col(f"{m}_n"), F.col(f"{m}_t")) for m in measures})
-    return tested.select(*keys, *[f"{m}_{s}" for m in measures for s in ("n", "t", "p")])
+    return tested.select(*keys, *[f"{m}_{part}" for m in measures for part in ("n", "t", "p")])
+
+
+def paired_tests(changes: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """Paired t-test per key for each column of differences: ``{m}_n, {m}_t, {m}_p``."""
+    return test_moments(moments_of(changes, keys, measures), keys, measures)
 
 
 def judge_approaches(changes: DataFrame) -> DataFrame:
-    """Verdicts per approach with the level shared among all approaches of a scenario."""
-    tested = paired_tests(changes, [*SCENARIO, *APPROACH], ["gap_change", "accuracy_change"])
-    # one row per approach by now, so the window holds a handful of rows
-    approaches = F.count(F.lit(1)).over(Window.partitionBy(*SCENARIO))
-    tested = tested.withColumn("alpha", F.lit(ALPHA) / approaches)
+    """Verdicts per metric and approach, at a level shared among all approaches of a scenario."""
+    place = ["dataset", "criteria", "model", "error"]
+    moments = moments_of(changes, [*place, *APPROACH], [*IMPACT_METRICS, "accuracy"])
+    # from here on one row per approach, so the window holds a handful of rows
+    approaches = F.count(F.lit(1)).over(Window.partitionBy(*place))
+    per_metric = [F.struct(F.lit(m).alias("metric"), *_moments(m, "gap")) for m in IMPACT_METRICS]
+    spread = moments.withColumn("alpha", F.lit(ALPHA) / approaches).select(
+        *place, *APPROACH, "alpha", *_moments("accuracy"), F.inline(F.array(*per_metric))
+    )
+    tested = test_moments(spread, [*place, "metric", *APPROACH, "alpha"], ["gap", "accuracy"])
     alpha = F.col("alpha")
     return tested.select(
         "*",
-        impact_verdict(F.col("gap_change_t"), F.col("gap_change_p"), alpha, True).alias("fairness_impact"),
-        impact_verdict(F.col("accuracy_change_t"), F.col("accuracy_change_p"), alpha, False).alias(
-            "accuracy_impact"
-        ),
+        impact_verdict(F.col("gap_t"), F.col("gap_p"), alpha, True).alias("fairness_impact"),
+        impact_verdict(F.col("accuracy_t"), F.col("accuracy_p"), alpha, False).alias("accuracy_impact"),
     )
 
 
@@ -202,7 +215,7 @@ def impact_table(
 
     Approaches are dropped only after they have counted towards the shared level.
     """
-    judged = judge_approaches(score_pairs(pair_runs(training_runs(experiments), pairing), cases))
+    judged = judge_approaches(pair_with_baseline(score_runs(training_runs(experiments), cases), pairing))
     named = judged.withColumns(split_method(F.col("error"), F.col("train_method"))).withColumn(
         "test_repaired", F.col("train_method") == F.col("test_method")
     )

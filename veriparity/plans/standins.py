@@ -270,56 +270,50 @@ def experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
     distinct = items.groupBy(*split, "flag", "status", "truth", "score").agg(F.count(F.lit(1)).alias("n"))
     distinct = distinct.repartition(*split)
 
-    numbers: dict[tuple[str, str], int] = {}
-    listed = []
-    for i, (error, train, prefix, from_priv, from_dis) in enumerate(EXPERIMENT_RUNS):
-        run_no = numbers.setdefault((error, train), i)
-        listed.append(
-            F.struct(
-                F.lit(run_no).alias("run_no"),
-                F.lit(error).alias("error"),
-                F.lit(train).alias("train_method"),
-                F.lit(prefix).alias("prefix"),
-                F.lit(from_priv).alias("from_priv"),
-                F.lit(from_dis).alias("from_dis"),
-            )
-        )
-    judged = distinct.select("*", F.inline(F.array(*listed))).withColumn(
-        "predicted", F.col("score") >= F.when(F.col("flag"), F.col("from_priv")).otherwise(F.col("from_dis"))
+    first = {}
+    for i, (error, train, *_) in enumerate(EXPERIMENT_RUNS):
+        first.setdefault((error, train), i)
+    listed = [(first[run[:2]], *run) for run in EXPERIMENT_RUNS]
+    columns = ("run_no", "error", "train_method", "prefix", "from_priv", "from_dis")
+    structs = ", ".join(
+        "struct(" + ", ".join(f"{v!r} AS {c}" for v, c in zip(run, columns)) + ")" for run in listed
+    )
+    judged = distinct.select("*", F.expr(f"inline(array({structs}))")).withColumn(
+        "predicted", F.expr("score >= IF(flag, from_priv, from_dis)")
     )
-
-    def total(hit: Column) -> Column:
-        return F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0))
-
     outcome = {
-        "tp": F.col("truth") & F.col("predicted"),
-        "tn": ~F.col("truth") & ~F.col("predicted"),
-        "fp": ~F.col("truth") & F.col("predicted"),
-        "fn": F.col("truth") & ~F.col("predicted"),
+        "tp": "truth AND predicted",
+        "tn": "NOT truth AND NOT predicted",
+        "fp": "NOT truth AND predicted",
+        "fn": "truth AND NOT predicted",
     }
-    aggregates = [F.sum("n").alias("rows"), total(F.col("predicted") == F.col("truth")).alias("hits")]
-    for by in ("flag", "status"):
-        for side, member in (("priv", F.col(by)), ("dis", ~F.col(by))):
-            aggregates += [total(member & hit).alias(f"{by}_{side}__{cell}") for cell, hit in outcome.items()]
-    cells = judged.groupBy(*split, "run_no", "error", "train_method", "prefix").agg(*aggregates)
+    counts = {
+        f"{by}_{side}__{cell}": f"{member} AND {hit}"
+        for by in ("flag", "status")
+        for side, member in (("priv", by), ("dis", f"NOT {by}"))
+        for cell, hit in outcome.items()
+    }
+    cells = judged.groupBy(*split, "run_no", "error", "train_method", "prefix").agg(
+        F.sum("n").alias("rows"),
+        F.expr("sum(IF(predicted = truth, n, 0)) AS hits"),
+        *[F.expr(f"sum(IF({hit}, n, 0)) AS {name}") for name, hit in counts.items()],
+    )
     cells = cells.withColumn("dataset", _lookup(EXPERIMENT_DATASETS, F.col("split_seed") % 5))
     cells = cells.withColumn("model", _lookup(EXPERIMENT_MODELS, F.col("retrain_seed") % 3))
 
-    def entry(name: Column, value: Column) -> Column:
-        return F.struct(name.alias("key"), value.cast("double").alias("value"))
-
-    per_dataset = F.array().cast("array<struct<key:string,value:double>>")
-    for dataset in EXPERIMENT_DATASETS:
-        found = []
-        for owner, criteria, by in EXPERIMENT_CRITERIA:
-            if owner == dataset:
-                for side in ("priv", "dis"):
-                    for cell in outcome:
-                        name = F.concat(F.col("prefix"), F.lit(f"__{criteria}_{side}__{cell}"))
-                        found.append(entry(name, F.col(f"{by}_{side}__{cell}")))
-        per_dataset = F.when(F.col("dataset") == dataset, F.array(*found)).otherwise(per_dataset)
-    accuracy = entry(F.concat(F.col("prefix"), F.lit("_test_acc")), F.col("hits") / F.col("rows"))
-    entries = F.concat(per_dataset, F.array(accuracy))
+    def entries_of(dataset: str) -> str:
+        found = [
+            f"struct(concat(prefix, '__{criteria}_{side}__{cell}') AS key, double({by}_{side}__{cell}) AS value)"
+            for owner, criteria, by in EXPERIMENT_CRITERIA
+            if owner == dataset
+            for side in ("priv", "dis")
+            for cell in outcome
+        ]
+        found.append("struct(concat(prefix, '_test_acc') AS key, hits / rows AS value)")
+        return f"array({', '.join(found)})"
+
+    branches = " ".join(f"WHEN '{d}' THEN {entries_of(d)}" for d in EXPERIMENT_DATASETS)
+    entries = F.expr(f"CASE dataset {branches} END")
     keys = ["dataset", "model", *split, "run_no", "error", "train_method"]
     # at most a few dozen metrics per experiment
     collected = cells.groupBy(*keys).agg(F.flatten(F.collect_list(entries)).alias("entries"))
