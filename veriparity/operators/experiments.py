@@ -263,7 +263,15 @@ def best_model_modes(best: DataFrame) -> DataFrame:
 def paired_changes(
     runs: DataFrame, pair: Sequence[str], method: str, baseline: str, measures: Sequence[str]
 ) -> DataFrame:
-    """Change of each measure from the baseline run to every other method's run of the same pair."""
-    base = runs.where(F.col(method) == baseline).select(*pair, *[F.col(m).alias(f"_b_{m}") for m in measures])
-    treated = runs.where(F.col(method) != baseline).join(base, list(pair))
-    return treated.select(*pair, method, *[(F.col(m) - F.col(f"_b_{m}")).alias(m) for m in measures])
+    """Change of each measure from the baseline run to every other method's run of the same pair.
+
+    A pair holds one run per method, so its baseline is looked up in a window;
+    pairs without a baseline run are left out.
+    """
+    together = Window.partitionBy(*pair)
+    is_base = F.col(method) == baseline
+    found = F.max(is_base).over(together).alias("_found")
+    compared = runs.select(
+        *pair, method, found, *[(F.col(m) - F.max(F.when(is_base, F.col(m))).over(together)).alias(m) for m in measures]
+    )
+    return compared.where(F.col("_found") & ~is_base).drop("_found")

@@ -23,7 +23,7 @@ def slice_by(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFram
     """Rows cut into ascending slices of (by, order), with the slice number attached.
 
     ``by`` and ``order`` together should identify a row: equal keys cannot be
-    split over slices.  The rows are checkpointed because the slice borders come
+    split over slices.  The rows are written once because the slice borders come
     from a sample, and the totals and the rows must see the same borders.
     """
     keys = [F.col(c) for c in (*by, *order)]

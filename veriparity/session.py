@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,25 +16,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     could not see a folder of the driver's machine.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    if not named:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="veriparity-checkpoint-")
-    sc.setCheckpointDir(named)
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if found:
+        return found.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="veriparity-checkpoint-"))
     return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and return the written rows.
+    """Write ``df`` as a table in the shared checkpoint folder and return the written rows.
 
-    Used where two later branches must see one and the same evaluation.
+    Used where several later branches must see one and the same evaluation, or
+    where evaluating again would cost more than reading.  Unlike an RDD
+    checkpoint the write evaluates ``df`` once, and later readers prune columns.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def slices(df: DataFrame) -> int:
