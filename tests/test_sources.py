@@ -147,5 +147,7 @@ def test_impact_round_trip(spark, tmp_path, form):
     results.write_impact(rows, str(tmp_path / "impact"), form)
     again = results.read_impact(spark, str(tmp_path / "impact"), form).select(*rows.columns)
     assert sorted(map(tuple, again.collect())) == sorted(data)
+    results.register_impact(spark, str(tmp_path / "impact"), form, "toy_impact")
+    assert spark.sql("SELECT count(*) AS n FROM toy_impact WHERE detection = ''").first().n == 1
     with pytest.raises(ValueError):
         results.write_impact(rows, str(tmp_path / "other"), "yaml")

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veriparity.functions.values import nan_to_null
-from veriparity.operators.audit import COUNTS, audit_marked, audit_matrix, audit_rows, disparate_report, mislabel_polarity
+from veriparity.operators.audit import COUNTS, audit_dataset, audit_marked, audit_matrix, audit_rows, disparate_report, mislabel_polarity
 from veriparity.operators.detectors import IQR, MISSING, SD, dirty_rows, outlier_bounds, with_flags
 from veriparity.spec import Above, AuditSpec, Equals, LabelAtLeast, LabelIn, LabelNot
 
@@ -40,8 +40,10 @@ def test_unknown_criterion_is_refused():
 
 def test_hyphenated_columns(spark):
     rows = spark.createDataFrame([(1, 10.0), (2, None)], "`row-id` int, `hours-per-week` double")
-    _, flags = with_flags(rows, ["hours-per-week"], MISSING)
-    assert values(rows.orderBy("`row-id`"), flags["hours-per-week"]) == [False, True]
+    _, flags = with_flags(rows, {MISSING: ["hours-per-week"]})
+    assert values(rows.orderBy("`row-id`"), flags[MISSING]["hours-per-week"]) == [False, True]
+    with pytest.raises(ValueError):
+        with_flags(rows, {"luck": ["hours-per-week"]})
 
 
 def test_nan_is_missing_and_never_an_outlier(spark):
@@ -90,6 +92,20 @@ def test_matrix_equals_single_audits(spark):
         assert counts == tuple(single[c] for c in COUNTS)
 
 
+def test_dataset_audit_counts_every_detector(spark):
+    data = [(i, "a" if i % 3 else None, float(i % 7) if i % 11 else None, 1) for i in range(200)] + [(200, "a", 99.0, 0)]
+    rows = spark.createDataFrame(data, "id int, g string, x double, y int")
+    got = {r.detector: r.dirty_priv + r.dirty_dis for r in audit_dataset(rows, spec_of(), "g", nulls="skip").collect()}
+    missing = sum(g is None or x is None for _, g, x, _ in data)
+    assert got == {MISSING: missing, SD: 1, IQR: 1}
+
+
+def test_column_without_values(spark):
+    rows = spark.createDataFrame([(i, "a", None, 1) for i in range(9)], "id int, g string, x double, y int")
+    for r in audit_matrix(rows, spec_of(), ["g"], {SD: ("x",), IQR: ("x",)}, nulls="skip").collect():
+        assert (r.n_priv, r.dirty_priv) == (9, 0)
+
+
 def test_any_column_equals_union_of_slices(spark):
     data = [(i, 1.0 if i % 5 else None, 2.0 if i % 3 else None) for i in range(60)]
     rows = spark.createDataFrame(data, "id int, x double, z double")

@@ -53,12 +53,39 @@ def audit_flag(df: DataFrame, spec: AuditSpec, criteria: str, dirty: Column) ->
     return judge(df.agg(*count_groups(spec.group(criteria), dirty)))
 
 
+def audit_detectors(
+    df: DataFrame,
+    spec: AuditSpec,
+    criteria: str,
+    columns: Mapping[str, Sequence[str]],
+    nulls: str = "propagate",
+    exact: bool = True,
+) -> DataFrame:
+    """One judged row per detector; a row is dirty when any of the detector's columns is flagged.
+
+    All detectors are counted in one pass, per combination of group and flags.
+    """
+    ready, found = with_flags(df, columns, nulls, exact)
+    hits = [any_flag(by_column).alias(f"hit{i}") for i, by_column in enumerate(found.values())]
+    combined = ready.groupBy(spec.group(criteria).alias("grp"), *hits).agg(F.count(F.lit(1)).alias("n"))
+    seen = [F.struct(F.lit(d).alias("detector"), F.col(f"hit{i}").alias("dirty")) for i, d in enumerate(found)]
+    spread = combined.select("grp", "n", F.inline(F.array(*seen)))
+    return judge(spread.groupBy("detector").agg(*count_groups(F.col("grp"), F.col("dirty"), F.col("n"))))
+
+
 def audit_rows(
     df: DataFrame, spec: AuditSpec, criteria: str, columns: Sequence[str], detector: str, **options: object
 ) -> DataFrame:
-    """One judged row for a dataset: a row is dirty when any of ``columns`` is flagged."""
-    ready, found = with_flags(df, columns, detector, **options)
-    return audit_flag(ready, spec, criteria, any_flag(found))
+    """One judged row for one detector over several columns."""
+    return audit_detectors(df, spec, criteria, {detector: columns}, **options).drop("detector")
+
+
+def audit_dataset(df: DataFrame, spec: AuditSpec, criteria: str, **options: object) -> DataFrame:
+    """Missing values in any column, outliers in any numeric column by both rules."""
+    columns = {MISSING: (*spec.categorical, *spec.numeric)}
+    if spec.numeric:
+        columns |= {SD: spec.numeric, IQR: spec.numeric}
+    return audit_detectors(df, spec, criteria, columns, **options)
 
 
 def audit_marked(df: DataFrame, spec: AuditSpec, criteria: str, marked_ids: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ boolean columns, so one pass over the data serves all columns and detectors.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +20,7 @@ MISSING, SD, IQR = "missing-values", "outliers-sd", "outliers-iqr"
 # Reach of the two outlier rules.
 SD_REACH = 3.0
 IQR_REACH = 1.5
+SKETCH_ACCURACY = 100_000
 
 
 def number(name: str) -> Column:
@@ -47,6 +48,8 @@ def outlier_bounds(
 ) -> DataFrame:
     """Lower and upper limit per column: ``column, detector, lo, hi``.
 
+    A column without limits (no values at all) may have no row.
+
     Limits use population deviation and linear-interpolated quartiles.  With
     ``nulls="propagate"`` a column that holds a missing value has no quartiles,
     so nothing in it is an IQR outlier; ``nulls="skip"`` ignores missing values.
@@ -57,22 +60,25 @@ def outlier_bounds(
     if not columns:
         raise ValueError("no columns to audit")
     cells = long_numbers(df, columns)
-    moments = [F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd")]
-    moments.append(F.count_if(F.col("value").isNull()).alias("missing"))
-    if IQR in detectors and not exact:
-        moments.append(F.percentile_approx("value", [0.25, 0.75], 100_000).alias("quartiles"))
-    stats = cells.groupBy("column").agg(*moments)
+    stats = None
+    if SD in detectors or not exact:
+        moments = [F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd")]
+        if IQR in detectors and not exact:
+            moments.append(F.count_if(F.col("value").isNull()).alias("n_missing"))
+            moments.append(F.percentile_approx("value", [0.25, 0.75], SKETCH_ACCURACY).alias("quartiles"))
+        stats = cells.groupBy("column").agg(*moments)
+    if IQR in detectors and exact:
+        quartiles = exact_percentiles(cells, ["column"], "value", (0.25, 0.75))
+        stats = quartiles if stats is None else stats.join(quartiles, "column", "left")
+    elif IQR in detectors:
+        stats = stats.withColumn("q0", F.col("quartiles")[0]).withColumn("q1", F.col("quartiles")[1])
 
-    reach = SD_REACH * F.col("sd")
     limits = []
     if SD in detectors:
+        reach = SD_REACH * F.col("sd")
         limits.append((SD, F.col("mean") - reach, F.col("mean") + reach))
     if IQR in detectors:
-        if exact:
-            stats = stats.join(exact_percentiles(cells, ["column"], "value", (0.25, 0.75)), "column", "left")
-        else:
-            stats = stats.withColumn("q0", F.col("quartiles")[0]).withColumn("q1", F.col("quartiles")[1])
-        usable = F.lit(True) if nulls == "skip" else F.col("missing") == 0
+        usable = F.lit(True) if nulls == "skip" else F.col("n_missing") == 0
         span = IQR_REACH * (F.col("q1") - F.col("q0"))
         limits.append((IQR, F.when(usable, F.col("q0") - span), F.when(usable, F.col("q1") + span)))
     rows = [F.struct(F.lit(d).alias("detector"), lo.alias("lo"), hi.alias("hi")) for d, lo, hi in limits]
@@ -84,34 +90,36 @@ def outside(value: Column, lo: Column, hi: Column) -> Column:
     return F.coalesce((value > hi) | (value < lo), F.lit(False))
 
 
-def with_limits(
-    df: DataFrame, columns: Sequence[str], detector: str, nulls: str = "propagate", exact: bool = True
-) -> DataFrame:
-    """Attach the limits of all columns as struct ``_limits`` (``lo0, hi0, lo1, ...``).
+def with_flags(
+    df: DataFrame, columns: Mapping[str, Sequence[str]], nulls: str = "propagate", exact: bool = True
+) -> tuple[DataFrame, dict[str, dict[str, Column]]]:
+    """``df`` with what the flags need, and per detector one flag expression per column.
 
-    The limits are one row from a scalar subquery, so the data is not shuffled.
+    ``columns`` maps detectors to the columns they look at.  All limits are one
+    row from a scalar subquery, attached as struct ``_limits``, so the data is
+    not shuffled.
     """
-    bounds = outlier_bounds(df, columns, (detector,), nulls, exact)
-    fields = []
-    for i, c in enumerate(columns):
-        for side in ("lo", "hi"):
-            fields.append(F.max(F.when(F.col("column") == c, F.col(side))).alias(f"{side}{i}"))
+    unknown = [d for d in columns if d not in (MISSING, SD, IQR)]
+    if unknown:
+        raise ValueError(f"Unsupported: {unknown[0]}")
+    found: dict[str, dict[str, Column]] = {}
+    fields, audited = [], []
+    for detector, names in columns.items():
+        if detector == MISSING:
+            found[detector] = {c: is_missing(df, c) for c in names}
+            continue
+        found[detector] = {}
+        for c in names:
+            lo, hi = f"lo{len(fields)}", f"hi{len(fields)}"
+            mine = (F.col("detector") == detector) & (F.col("column") == c)
+            fields += [F.max(F.when(mine, F.col("lo"))).alias(lo), F.max(F.when(mine, F.col("hi"))).alias(hi)]
+            found[detector][c] = outside(number(c), F.col(f"_limits.{lo}"), F.col(f"_limits.{hi}"))
+            audited += [c] if c not in audited else []
+    if not fields:
+        return df, found
+    bounds = outlier_bounds(df, audited, [d for d in columns if d != MISSING], nulls, exact)
     limits = bounds.agg(*fields).select(F.struct("*").alias("limits")).scalar()
-    return df.select("*", limits.alias("_limits"))
-
-
-def with_flags(
-    df: DataFrame, columns: Sequence[str], detector: str, **options: object
-) -> tuple[DataFrame, dict[str, Column]]:
-    """``df`` with what the flags need, and one flag expression per column."""
-    if detector == MISSING:
-        return df, {c: is_missing(df, c) for c in columns}
-    if detector not in (SD, IQR):
-        raise ValueError(f"Unsupported: {detector}")
-    found = {
-        c: outside(number(c), F.col(f"_limits.lo{i}"), F.col(f"_limits.hi{i}")) for i, c in enumerate(columns)
-    }
-    return with_limits(df, columns, detector, **options), found
+    return df.select("*", limits.alias("_limits")), found
 
 
 def any_flag(by_column: dict[str, Column]) -> Column:
@@ -121,5 +129,5 @@ def any_flag(by_column: dict[str, Column]) -> Column:
 
 def dirty_rows(df: DataFrame, columns: Sequence[str], detector: str, **options: object) -> DataFrame:
     """The flagged rows themselves, each once."""
-    ready, found = with_flags(df, columns, detector, **options)
-    return ready.where(any_flag(found)).select(*[col(c) for c in df.columns])
+    ready, found = with_flags(df, {detector: columns}, **options)
+    return ready.where(any_flag(found[detector])).select(*[col(c) for c in df.columns])

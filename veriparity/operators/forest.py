@@ -45,12 +45,17 @@ def draw_samples(rows: DataFrame, n: int, seed: int) -> DataFrame:
 
     A row enters a tree's candidates with a probability that yields a small
     multiple of the sample; the candidates with the smallest hashes are taken.
+    In a large table one hash per row first leaves out the rows that no tree
+    will look at.
     """
     space = 1 << 32
-    limit = space if n <= SAMPLE * OVERSAMPLING else int(space * SAMPLE * OVERSAMPLING / n)
-    draw = lambda t: F.pmod(F.xxhash64(F.col("id"), t, F.lit(seed)), F.lit(space))
+    per_tree = min(1.0, SAMPLE * OVERSAMPLING / max(n, 1))
+    any_tree = min(1.0, TREES * per_tree)
+    draw = lambda *key: F.pmod(F.xxhash64(F.col("id"), *key, F.lit(seed)), F.lit(space))
+    limit = int(space * per_tree / any_tree)
+    pool = rows.where(draw() < int(space * any_tree)).select("id", "features")
     trees = F.filter(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: draw(t) < limit)
-    drawn = rows.select("id", "features", F.explode(trees).alias("tree"))
+    drawn = pool.select("id", "features", F.explode(trees).alias("tree"))
     turn = F.row_number().over(Window.partitionBy("tree").orderBy(draw(F.col("tree")), "id"))
     return drawn.withColumn("_turn", turn).where(F.col("_turn") <= SAMPLE).drop("_turn")
 

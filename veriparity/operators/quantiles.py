@@ -40,21 +40,29 @@ def order_statistics(
 ) -> DataFrame:
     """The values at wanted 0-based ranks (ascending) within each ``by`` group.
 
-    ``targets`` receives rows with the ``by`` columns and ``total``, the number
-    of non-missing values of the group, and adds to each row one row per wanted
-    rank: ``target`` (a number telling the ranks apart), ``rank`` and any columns
-    to carry along.  The groups must be few, as one row per wanted rank is
-    broadcast.  Result: ``by``, ``target``, the carried columns and ``value``.
+    ``targets`` receives rows with the ``by`` columns, ``total`` and ``missing``,
+    the numbers of present and missing values of the group, and adds to each row
+    one row per wanted rank: ``target`` (a number telling the ranks apart),
+    ``rank`` and any columns to carry along.  The groups must be few, as one row
+    per wanted rank is broadcast.  Result: ``by``, ``target``, the carried columns
+    and ``value``.
     """
     by = list(by)
-    rows = df.select(*by, null_if_nan(F.col(value).cast("double")).alias("_v")).where(F.col("_v").isNotNull())
+    rows = df.select(*by, null_if_nan(F.col(value).cast("double")).alias("_v"))
 
     cell = F.floor(F.signum("_v") * F.log1p(F.abs("_v")) * CELLS_PER_LOG)
     spread = [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
-    grid = _with_position(rows.groupBy(*by, cell.alias("_cell")).agg(*spread), by, "_cell")
-    grid = grid.withColumn("total", F.sum("_n").over(Window.partitionBy(*by)))
-    wanted = targets(grid)
-    keys = [c for c in wanted.columns if c in by or c not in (*grid.columns, "rank")]
+    # missing values share one cell, which sorts first
+    grid = rows.groupBy(*by, cell.alias("_cell")).agg(*spread)
+    whole, present = Window.partitionBy(*by), F.col("_cell").isNotNull()
+    grid = grid.select(
+        "*",
+        F.coalesce(F.sum(F.when(present, F.col("_n"))).over(whole), F.lit(0)).alias("total"),
+        F.coalesce(F.sum(F.when(~present, F.col("_n"))).over(whole), F.lit(0)).alias("missing"),
+    )
+    wanted = targets(_with_position(grid.where(present), by, "_cell"))
+    grid_columns = (*grid.columns, "_before", "rank")
+    keys = [c for c in wanted.columns if c in by or c not in grid_columns]
     narrowed = (F.col("_rank") - F.col("_before")).alias("_rank")
     bracket = wanted.withColumn("_rank", F.col("rank").cast("bigint")).where(_holds(F.col("_rank")))
     bracket = bracket.select(*keys, "_lo", "_hi", narrowed)
@@ -79,8 +87,9 @@ def order_statistics(
 def exact_percentiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Linear-interpolated percentiles, one column ``q0``, ``q1``, ... per probability.
 
-    Missing values are skipped.  The two neighbours of each position are found
-    exactly and interpolated from the nearer one.
+    Missing values are skipped; ``n_missing`` tells how many there were.  The two
+    neighbours of each position are found exactly and interpolated from the
+    nearer one.  A group without any value has no row.
     """
 
     def targets(cells: DataFrame) -> DataFrame:
@@ -95,7 +104,7 @@ def exact_percentiles(df: DataFrame, by: Sequence[str], value: str, probs: Seque
                         (place - F.floor(place)).alias("_fraction"),
                     )
                 )
-        return cells.select("*", F.inline(F.array(*wanted)))
+        return cells.select("*", F.col("missing").alias("n_missing"), F.inline(F.array(*wanted)))
 
     found = order_statistics(df, by, value, targets)
     sides = [F.max(F.when(F.col("target") == t, F.col("value"))).alias(f"_s{t}") for t in range(2 * len(probs))]
@@ -105,5 +114,5 @@ def exact_percentiles(df: DataFrame, by: Sequence[str], value: str, probs: Seque
         low, high, part = F.col(f"_s{2 * i}"), F.col(f"_s{2 * i + 1}"), F.col(f"_p{i}")
         return F.when(part >= 0.5, high - (high - low) * (1 - part)).otherwise(low + (high - low) * part)
 
-    wide = found.groupBy(*by).agg(*sides, *parts)
-    return wide.select(*by, *[between(i).alias(f"q{i}") for i in range(len(probs))])
+    wide = found.groupBy(*by, "n_missing").agg(*sides, *parts)
+    return wide.select(*by, "n_missing", *[between(i).alias(f"q{i}") for i in range(len(probs))])

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriparity.operators.audit import (
+    audit_dataset,
+    audit_detectors,
     audit_flag,
     audit_matrix,
     audit_rows,
@@ -80,38 +82,40 @@ def missing_any_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(audit_rows(events, EVENT_SPEC, "purchase", ["event_type", "value", "k"], MISSING))
 
 
-_SKIP_LIMITS = _limits_sql("event_audit", ["value", "k", "user_id"], IQR).replace("count(k) = count(*)", "TRUE")
+_NUMBERS = ["value", "k", "user_id"]
 
 
 def _any_sql(detector: str, limits: str) -> str:
-    counts = counts_sql("by_user", "(" + _outside_sql(["value", "k", "user_id"]) + ")")
+    counts = counts_sql("by_user", "(" + _outside_sql(_NUMBERS) + ")")
     return f"SELECT '{detector}' AS detector, {counts} FROM event_audit, {limits}"
 
 
-@query(
-    "outliers_any_by_group",
-    f"WITH {EVENT_SQL} "
-    + audit_sql(
-        " UNION ALL ".join([
-            _any_sql(SD, _limits_sql("event_audit", ["value", "k", "user_id"], SD)),
-            _any_sql(IQR, _limits_sql("event_audit", ["value", "k", "user_id"], IQR)),
-            _any_sql("outliers-iqr-present", _SKIP_LIMITS),
-        ]),
-        "detector",
-    ),
+_ANY_SQL = [_any_sql(d, _limits_sql("event_audit", _NUMBERS, d)) for d in (SD, IQR)]
+_SKIP_SQL = _any_sql(IQR, _limits_sql("event_audit", _NUMBERS, IQR).replace("count(k) = count(*)", "TRUE"))
+_ANY_MISSING_SQL = (
+    f"SELECT '{MISSING}' AS detector, "
+    + counts_sql("by_user", "(event_type IS NULL OR value IS NULL OR k IS NULL OR user_id IS NULL)")
+    + " FROM event_audit"
 )
+
+
+@query("outliers_any_by_group", f"WITH {EVENT_SQL} " + audit_sql(" UNION ALL ".join(_ANY_SQL), "detector"))
 def outliers_any_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Any numeric column outside its limits, with a missing ``k`` blocking or not blocking its quartiles."""
-    events, columns = events_with_k(spark, sf_dir), ["value", "k", "user_id"]
-    parts = [
-        audit_rows(events, EVENT_SPEC, "user", columns, detector, nulls=nulls).select(F.lit(name).alias("detector"), "*")
-        for name, detector, nulls in (
-            (SD, SD, "propagate"),
-            (IQR, IQR, "propagate"),
-            ("outliers-iqr-present", IQR, "skip"),
-        )
-    ]
-    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    """Any numeric column outside its limits; a missing ``k`` leaves that column without quartiles."""
+    return rounded(audit_detectors(events_with_k(spark, sf_dir), EVENT_SPEC, "user", {SD: _NUMBERS, IQR: _NUMBERS}))
+
+
+@query("outliers_any_nulls_skipped", f"WITH {EVENT_SQL} " + audit_sql(_SKIP_SQL, "detector"))
+def outliers_any_nulls_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with quartiles of the values that are present."""
+    events = events_with_k(spark, sf_dir)
+    return rounded(audit_detectors(events, EVENT_SPEC, "user", {IQR: _NUMBERS}, nulls="skip"))
+
+
+@query("audit_dataset", f"WITH {EVENT_SQL} " + audit_sql(" UNION ALL ".join([*_ANY_SQL, _ANY_MISSING_SQL]), "detector"))
+def audit_dataset_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All column errors of a dataset in one audit."""
+    return rounded(audit_dataset(events_with_k(spark, sf_dir), EVENT_SPEC, "user"))
 
 
 @query(

@@ -105,3 +105,10 @@ def read_impact(spark: SparkSession, path: str, form: str = "csv") -> DataFrame:
         raise ValueError(f"Unsupported: {form}")
     rows = spark.read.schema(IMPACT_SCHEMA).option("header", True).csv(path)
     return rows.withColumn("detection", F.coalesce("detection", F.lit("")))
+
+
+def register_impact(spark: SparkSession, path: str, form: str = "csv", view: str = "impact") -> DataFrame:
+    """Read an impact table and name it, so that ``spark.sql`` statements can query it."""
+    impact = read_impact(spark, path, form)
+    impact.createOrReplaceTempView(view)
+    return impact
