@@ -26,6 +26,8 @@ def test_gaps(spark):
     assert out[1].eo is None and out[1].pp is None
     with pytest.raises(ValueError):
         fairness_gap("luck", wide_counts())
+    with pytest.raises(ValueError):
+        fairness_gap("statistical_parity", wide_counts(), True)
 
 
 def test_confusion_and_auc(spark):

@@ -33,15 +33,11 @@ def _gap(hit: tuple[str, ...], whole: tuple[str, ...]) -> Callable[[Counts], Col
     return lambda counts: _share(counts, "priv", hit, whole) - _share(counts, "dis", hit, whole)
 
 
-# metric -> (gap, gap when the undesired class is the one of interest)
-EQUAL_OPPORTUNITY = (_gap(("tp",), ("tp", "fn")), _gap(("tn",), ("tn", "fp")))
-PREDICTIVE_PARITY = (_gap(("tp",), ("tp", "fp")), _gap(("tn",), ("tn", "fn")))
-STATISTICAL_PARITY = (_gap(("tp", "fp"), CELLS), _gap(("tn", "fn"), CELLS))
-
+# metric -> gap, and gap when the undesired class is the one of interest
 METRICS = {
-    "equal_opportunity": EQUAL_OPPORTUNITY,
-    "predictive_parity": PREDICTIVE_PARITY,
-    "statistical_parity": STATISTICAL_PARITY,
+    "equal_opportunity": (_gap(("tp",), ("tp", "fn")), _gap(("tn",), ("tn", "fp"))),
+    "predictive_parity": (_gap(("tp",), ("tp", "fp")), _gap(("tn",), ("tn", "fn"))),
+    "statistical_parity": (_gap(("tp", "fp"), CELLS), None),
 }
 
 
@@ -50,9 +46,11 @@ def fairness_gap(metric: str, counts: Counts, flipped: bool | Column = False) ->
     if metric not in METRICS:
         raise ValueError(f"Unsupported: {metric}")
     straight, other = METRICS[metric]
-    if isinstance(flipped, bool):
-        return (other if flipped else straight)(counts)
-    return F.when(flipped, other(counts)).otherwise(straight(counts))
+    if flipped is False:
+        return straight(counts)
+    if other is None:
+        raise ValueError(f"Unsupported: flipped {metric}")
+    return other(counts) if flipped is True else F.when(flipped, other(counts)).otherwise(straight(counts))
 
 
 def wide_counts(prefix: str = "", dis: str = "dis") -> Counts:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from veriparity.functions.values import col, ratio
 from veriparity.operators.detectors import number
+from veriparity.session import cut_lineage
 
 MISSING_CATEGORY = "(missing)"
 MAX_CATEGORIES = 100_000
@@ -54,14 +55,16 @@ def feature_input(
 ) -> DataFrame:
     """The columns an encoder reads (``num*``, ``cat*``) next to ``keep``.
 
-    The vocabularies end up on the driver and in every task, so their size is
-    checked first.
+    They are written once, as fitting and using an encoder passes over them many
+    times.  The vocabularies end up on the driver and in every task, so their
+    size is checked first.
     """
     out = df.select(
         *[value.alias(name) for name, value in keep.items()],
         *[number(c).alias(f"num{i}") for i, c in enumerate(numeric)],
         *[category(c).alias(f"cat{i}") for i, c in enumerate(categorical)],
     )
+    out = cut_lineage(out)
     if categorical:
         sizes = out.agg(*[F.approx_count_distinct(f"cat{i}").alias(c) for i, c in enumerate(categorical)]).first()
         large = {c: sizes[c] for c in categorical if sizes[c] > max_categories}

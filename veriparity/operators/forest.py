@@ -148,10 +148,8 @@ def outliers_by_isolation(
     """
     rows = feature_input(df, spec.numeric, spec.categorical, {"id": F.col(spec.id_col)})
     model = encoder(spec.numeric, spec.categorical).fit(rows)
-    # the written vectors are sparse, the arrays made from them while reading are not
-    encoded = cut_lineage(model.transform(rows).select("id", "features"))
-    arrays = encoded.select("id", vector_to_array("features").alias("features"))
-    scores = cut_lineage(isolation_scores(arrays, seed))
+    encoded = model.transform(rows).select("id", vector_to_array("features").alias("features"))
+    scores = cut_lineage(isolation_scores(encoded, seed))
     normal = scores.select(F.lit("all").alias("part"), (-F.col("score")).alias("normality"))
     cut = exact_percentiles(normal, ["part"], "normality", (contamination,)).select("q0").scalar()
     return scores.select("*", cut.alias("_cut")).where(-F.col("score") < F.col("_cut")).select("id", "score")

@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriparity.session import cut_lineage, slices
+from veriparity.session import cut_lineage
 
 SLICE = "_slice"
 
@@ -24,11 +24,12 @@ def slice_by(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFram
 
     ``by`` and ``order`` together should identify a row: equal keys cannot be
     split over slices.  The rows are written once because the slice borders come
-    from a sample, and the totals and the rows must see the same borders.
+    from a sample, and the totals and the rows must see the same borders.  Their
+    number is left to the session: adaptive execution merges neighbouring slices
+    that are small.
     """
-    keys = [F.col(c) for c in (*by, *order)]
-    cut = df.repartitionByRange(slices(df), *keys).withColumn(SLICE, F.spark_partition_id())
-    return cut_lineage(cut)
+    cut = df.repartitionByRange(*[F.col(c) for c in (*by, *order)])
+    return cut_lineage(cut.withColumn(SLICE, F.spark_partition_id()))
 
 
 def running_sums(

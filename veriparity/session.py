@@ -36,8 +36,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def slices(df: DataFrame) -> int:
-    """Number of slices for an explicit range partitioning."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -28,9 +28,9 @@ class Dataset:
         """Rows of the dataset's own file format, without an id."""
         return read_delimited(spark, paths, self.schema, self.sep, self.header, self.na_words, self.junk)
 
-    def read_staged(self, spark: SparkSession, path: str) -> DataFrame:
+    def read_staged(self, spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
         """Rows of a Parquet extract, projected to the dataset's columns."""
-        staged = spark.read.parquet(path)
+        staged = spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
         kept = [c for c in (self.spec.id_col, *self.schema) if c in staged.columns]
         return nan_to_null(staged.select(*[col(c) for c in kept]))
 
@@ -221,13 +221,17 @@ def dataset(name: str) -> Dataset:
 
 
 def load(
-    spark: SparkSession, name: str, paths: str | Sequence[str], id_table: str | None = None
+    spark: SparkSession,
+    name: str,
+    paths: str | Sequence[str],
+    id_table: str | None = None,
+    staged: bool = False,
 ) -> tuple[DataFrame, AuditSpec]:
-    """Rows and roles of a dataset.
+    """Rows and roles of a dataset, from its own file format or a staged Parquet extract.
 
     With ``id_table`` the rows get ids and are written there first; the tuple
     detectors, which return ids, need that.
     """
     found = dataset(name)
-    rows = found.read(spark, paths)
+    rows = found.read_staged(spark, paths) if staged else found.read(spark, paths)
     return (rows if id_table is None else with_row_ids(rows, id_table, found.spec.id_col)), found.spec
