@@ -74,7 +74,10 @@ _PAIRS_SQL = """pairs AS (
 
 
 def _tested_sql(measure: str) -> str:
-    moments = f"SELECT method, count({measure}) AS n, avg({measure}) AS mean, stddev_samp({measure}) AS sd FROM pairs GROUP BY method"
+    moments = (
+        f"SELECT method, count({measure}) AS n, avg({measure}) AS mean, stddev_samp({measure}) AS sd "
+        "FROM pairs GROUP BY method"
+    )
     return (
         f"SELECT *, {paired_p_sql('n', 't')} AS p FROM (SELECT *, {t_sql('n', 'mean', 'sd')} AS t FROM ({moments}))"
     )
@@ -118,7 +121,8 @@ def _verdict_sql(t: str, p: str, alpha: str, fell: str, rose: str) -> str:
     f"""WITH {RUNS_SQL}, {_PAIRS_SQL}, tests AS (
         SELECT s.method, s.t AS st, s.p AS sp, a.t AS acc_t, a.p AS acc_p, 0.05 / count(*) OVER () AS alpha
         FROM ({_tested_sql('score')}) s JOIN ({_tested_sql('accuracy')}) a USING (method))
-        SELECT method, {r('alpha')} AS alpha, {_verdict_sql('st', 'sp', 'alpha', 'positive', 'negative')} AS fairness_impact,
+        SELECT method, {r('alpha')} AS alpha,
+            {_verdict_sql('st', 'sp', 'alpha', 'positive', 'negative')} AS fairness_impact,
             {_verdict_sql('acc_t', 'acc_p', 'alpha', 'negative', 'positive')} AS accuracy_impact FROM tests""",
 )
 def impact_verdict_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,8 +142,11 @@ def impact_verdict_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rate_gap_sql(alias: str, by: str, hit: str, miss: str) -> str:
-    side = lambda g: f"{alias}.{by}_{g}__{hit}::DOUBLE / nullif({alias}.{by}_{g}__{hit} + {alias}.{by}_{g}__{miss}, 0)"
-    return f"({side('priv')} - {side('dis')})"
+    def rate(group: str) -> str:
+        hits, misses = f"{alias}.{by}_{group}__{hit}", f"{alias}.{by}_{group}__{miss}"
+        return f"{hits}::DOUBLE / nullif({hits} + {misses}, 0)"
+
+    return f"({rate('priv')} - {rate('dis')})"
 
 
 def _impact_sql() -> str:
@@ -162,7 +169,8 @@ def _impact_sql() -> str:
     return f"""WITH {EXPERIMENTS_SQL},
         cases AS (SELECT l.dataset, l.criteria, l.looks_at, l.dataset IN ('credit', 'german') AS flipped, m.metric
             FROM listed l, (VALUES ('equal_opportunity'), ('predictive_parity')) m(metric)),
-        runs AS (SELECT *, CASE WHEN error = 'missing_values' THEN 'delete' ELSE 'dirty' END AS base FROM train_methods),
+        runs AS (SELECT *, CASE WHEN error = 'missing_values' THEN 'delete' ELSE 'dirty' END AS base
+            FROM train_methods),
         sides AS (
             SELECT error, train_method, base AS test_method, TRUE AS is_base, base FROM runs WHERE train_method = base
             UNION ALL SELECT error, train_method, base, FALSE, base FROM runs WHERE train_method <> base
@@ -173,8 +181,10 @@ def _impact_sql() -> str:
             CASE WHEN is_base AND error = 'missing_values' THEN 'impute_mean_dummy' WHEN test_method = base THEN base
                 WHEN error <> 'mislabel' THEN train_method END AS acc_by FROM sides),
         scored AS (SELECT s.*, w.test_method, w.is_base, a.hits::DOUBLE / a.rows AS acc,
-            row_number() OVER (PARTITION BY s.dataset, s.error, s.model, s.train_method, w.test_method ORDER BY s.pos) AS rn
-            FROM wanted w JOIN experiments s ON s.error = w.error AND s.train_method = w.train_method AND s.prefix = w.score_by
+            row_number() OVER (PARTITION BY s.dataset, s.error, s.model, s.train_method, w.test_method
+                ORDER BY s.pos) AS rn
+            FROM wanted w JOIN experiments s ON s.error = w.error AND s.train_method = w.train_method
+                AND s.prefix = w.score_by
             LEFT JOIN experiments a ON a.dataset = s.dataset AND a.pos = s.pos AND a.prefix = w.acc_by),
         changes AS (SELECT t.dataset, c.criteria, c.metric, t.model, t.error, t.train_method, t.test_method,
             {gap('t')} - {gap('b')} AS score, t.acc - b.acc AS accuracy
@@ -218,7 +228,8 @@ _BEST_SQL = f"""WITH {EXPERIMENTS_SQL}, best AS (
 
 @query(
     "best_model_per_split",
-    f"{_BEST_SQL} SELECT dataset, error, split_seed::VARCHAR AS split_seed, {r('accuracy')} AS accuracy, model FROM best WHERE rn = 1",
+    f"{_BEST_SQL} SELECT dataset, error, split_seed::VARCHAR AS split_seed, {r('accuracy')} AS accuracy, model "
+    "FROM best WHERE rn = 1",
 )
 def best_model_per_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ops.best_models(parsed_experiments(spark, sf_dir)))
