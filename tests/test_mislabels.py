@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veriparity.operators.configured import run_configurations
+from veriparity.operators.configured import mislabel_audit, run_configurations
 from veriparity.operators.features import encode_rows, encoder, feature_input
 from veriparity.operators.forest import outliers_by_isolation
 from veriparity.operators.mislabel import confident_issues
@@ -174,3 +174,12 @@ def test_configurations_run_together(spark):
     assert got["missing-values", "color"].dirty_priv + got["missing-values", "color"].dirty_dis == 100
     with pytest.raises(ValueError):
         run_configurations(toy(spark), SPEC, [])
+
+
+def test_mislabel_audit(spark):
+    rows = toy(spark)
+    row = mislabel_audit(rows, SPEC, "g").first()
+    assert row.flagged_priv + row.flagged_dis == mislabelled_by_model(rows, SPEC).count()
+    assert 0 <= row.positive_share_priv <= 1
+    with pytest.raises(ValueError):
+        mislabel_audit(rows, SPEC, "g", "luck")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriparity.operators.audit import audit_marked, audit_matrix
+from veriparity.operators.audit import audit_marked, audit_matrix, mislabel_polarity
 from veriparity.operators.detectors import IQR, MISSING, SD
 from veriparity.operators.forest import outliers_by_isolation
 from veriparity.operators.models import mislabelled_by_model
@@ -25,6 +25,21 @@ TUPLE_DETECTORS = {
 }
 
 
+def marked_ids(df: DataFrame, spec: AuditSpec, detector: str, seed: int = 42) -> DataFrame:
+    """Ids of the rows a detector over whole rows flags, written once."""
+    if detector not in TUPLE_DETECTORS:
+        raise ValueError(f"Unsupported: {detector}")
+    return cut_lineage(TUPLE_DETECTORS[detector](df, spec, seed).select(F.col("id").alias(spec.id_col)))
+
+
+def mislabel_audit(
+    df: DataFrame, spec: AuditSpec, criteria: str, detector: str = CONFIDENT, seed: int = 42
+) -> DataFrame:
+    """Detect wrong labels and compare the groups' shares of wrongly positive ones."""
+    flagged = df.join(marked_ids(df, spec, detector, seed), spec.id_col, "left_semi")
+    return mislabel_polarity(flagged, spec, criteria)
+
+
 def run_configurations(
     df: DataFrame, spec: AuditSpec, configurations: Sequence[Configuration] = CONFIGURATIONS, seed: int = 42
 ) -> DataFrame:
@@ -46,10 +61,10 @@ def run_configurations(
         matrix = audit_matrix(df, spec, list(dict.fromkeys(c for c, _, _ in by_column)), ordered)
         asked = [F.struct(F.lit(a), F.lit(d), F.lit(c)) for a, d, columns in by_column for c in columns]
         parts.append(matrix.where(F.struct("criteria", "detector", "column").isin(*asked)))
-    for detector, mark in TUPLE_DETECTORS.items():
+    for detector in TUPLE_DETECTORS:
         under = [criteria for _, criteria, name, _ in mine if name == detector]
         if under:
-            marked = cut_lineage(mark(df, spec, seed).select(F.col("id").alias(spec.id_col)))
+            marked = marked_ids(df, spec, detector, seed)
             for criteria in under:
                 named = [F.lit(criteria).alias("criteria"), F.lit(detector).alias("detector"), F.lit("*").alias("column")]
                 parts.append(audit_marked(df, spec, criteria, marked).select(*named, "*"))
