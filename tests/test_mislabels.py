@@ -144,6 +144,8 @@ def test_mislabel_detectors_find_flipped_labels(spark):
     assert len(flipped & by_model) >= len(flipped) - 2 and len(by_model) < 40
     by_value = {r.id for r in mislabelled_by_value(rows, SPEC, seed=3).collect()}
     assert by_value and by_value <= {r.id for r in rows.collect()}
+    with pytest.raises(ValueError, match="more than 100 rows"):
+        mislabelled_by_value(rows.where("id < 90"), SPEC, seed=3)
 
 
 def test_train_and_evaluate(spark):

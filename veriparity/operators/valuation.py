@@ -122,6 +122,8 @@ def mislabelled_by_value(df: DataFrame, spec: AuditSpec, seed: int = 42, k: int
     rows = feature_input(
         df, spec.numeric, spec.categorical, {"id": F.col(spec.id_col), "label": spec.label_column()}
     )
+    if rows.count() <= HOLDOUT:
+        raise ValueError(f"more than {HOLDOUT} rows are needed")
     held_ids = stratified_holdout(rows.select("id", "label"), [F.xxhash64("id", F.lit(seed)), F.col("id")])
     held_ids = F.broadcast(held_ids)
     train, held = rows.join(held_ids, "id", "left_anti"), rows.join(held_ids, "id", "left_semi")
