@@ -15,10 +15,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     run gets a temporary folder; a cluster run is refused, because executors
     could not see a folder of the driver's machine.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
     sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="veriparity-checkpoint-"))
