@@ -64,6 +64,12 @@ def test_iqr_null_policy(spark):
         dirty_rows(rows, ["x"], IQR, nulls="guess")
 
 
+def test_infinite_values_flag_nothing_by_deviation(spark):
+    rows = spark.createDataFrame([(i, float(i % 5)) for i in range(20)] + [(20, float("inf"))], "id int, x double")
+    assert values(dirty_rows(rows, ["x"], SD), "id") == []
+    assert values(dirty_rows(rows, ["x"], IQR), "id") == [20]
+
+
 def test_limits(spark):
     rows = spark.createDataFrame([(float(v),) for v in (1, 2, 3, 4, 10)], "x double")
     got = {r.detector: (r.lo, r.hi) for r in outlier_bounds(rows, ["x"]).collect()}

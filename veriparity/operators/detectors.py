@@ -81,7 +81,11 @@ def outlier_bounds(
         usable = F.lit(True) if nulls == "skip" else F.col("n_missing") == 0
         span = IQR_REACH * (F.col("q1") - F.col("q0"))
         limits.append((IQR, F.when(usable, F.col("q0") - span), F.when(usable, F.col("q1") + span)))
-    rows = [F.struct(F.lit(d).alias("detector"), lo.alias("lo"), hi.alias("hi")) for d, lo, hi in limits]
+    # infinite values can make a limit NaN, which Spark would order above every value
+    rows = [
+        F.struct(F.lit(d).alias("detector"), null_if_nan(lo).alias("lo"), null_if_nan(hi).alias("hi"))
+        for d, lo, hi in limits
+    ]
     return stats.select("column", F.inline(F.array(*rows)))
 
 
