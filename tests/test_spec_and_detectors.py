@@ -24,6 +24,14 @@ def test_null_labels(spark):
     assert values(rows, LabelNot("y", 1).label()) == [False, True, True]
 
 
+def test_nan_groups_and_labels(spark):
+    rows = spark.createDataFrame([(1, 40.0), (2, float("nan"))], "id int, x double").orderBy("id")
+    assert values(rows, Above("x", 30).group()) == ["priv", None]
+    assert values(rows, Equals("x", 40).group()) == ["priv", "dis"]
+    assert values(rows, LabelAtLeast("x", 30).label()) == [True, False]
+    assert values(rows, LabelNot("x", 40).label()) == [False, True]
+
+
 def spec_of(**extra):
     return AuditSpec(
         name="toy", label=LabelIn("y", (1,)), groups={"g": Equals("g", "a"), "age": Above("x", 3)},

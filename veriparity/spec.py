@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriparity.functions.values import col
+from veriparity.functions.values import col, null_if_nan
 
 PRIV, DIS = "priv", "dis"
 
@@ -26,13 +26,13 @@ class Equals:
 
 @dataclass(frozen=True)
 class Above:
-    """Privileged above the threshold; a missing value belongs to neither group."""
+    """Privileged above the threshold; a missing value (or NaN) belongs to neither group."""
 
     column: str
     threshold: float
 
     def group(self) -> Column:
-        value = col(self.column)
+        value = null_if_nan(col(self.column).cast("double"))
         return F.when(value > self.threshold, PRIV).when(value <= self.threshold, DIS)
 
 
@@ -49,13 +49,14 @@ class LabelIn:
 
 @dataclass(frozen=True)
 class LabelAtLeast:
-    """TRUE from the threshold on; missing is FALSE."""
+    """TRUE from the threshold on; missing (or NaN) is FALSE."""
 
     column: str
     threshold: float
 
     def label(self) -> Column:
-        return F.coalesce(col(self.column) >= self.threshold, F.lit(False))
+        value = null_if_nan(col(self.column).cast("double"))
+        return F.coalesce(value >= self.threshold, F.lit(False))
 
 
 @dataclass(frozen=True)
