@@ -6,9 +6,10 @@ labelled rows, half of it toxic if there are enough, is fitted by logistic
 regression with two penalties: the usual one on the weights, and one on how much
 the score of a labelled sentence changes when its identity terms are swapped for
 others of their group.  The second keeps neutral mentions of a group from
-counting as toxic.  Only the weights travel to the tasks that score.
+counting as toxic.  Only the weights travel to the tasks that score.  A score is
+the probability of the toxic class if both classes were as frequent as in the sample.
 
-Cases: a null or empty text has no features and scores the base rate; rows
+Cases: a null or empty text has no features and scores the intercept; rows
 without a label are scored alike; without labelled rows of both classes every
 score is 0; repeated rows score alike; an empty table gives an empty table;
 other columns are ignored.  Equal doc_ids in ``labels`` count once, toxic if
@@ -17,6 +18,7 @@ one of them is.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -50,9 +52,9 @@ class Fit:
     """Settings of the fit; ``sample_rows`` bounds the labelled rows it sees."""
 
     sample_rows: int = 12_000
-    features: int = 8_192
+    features: int = 1_024
     least_rows: int = 6
-    ridge: float = 2.0
+    ridge: float = 0.2
     counterfactual: float = 50.0
     steps: int = 12
 
@@ -151,7 +153,7 @@ def solved(times, target: np.ndarray, rounds: int = 60, close: float = 1e-3) ->
     return out
 
 
-def fitted(sample: pa.Table, base_rate: float, fit: Fit) -> tuple[np.ndarray, np.ndarray, float]:
+def fitted(sample: pa.Table, fit: Fit) -> tuple[np.ndarray, np.ndarray, float]:
     """Chosen features, their weights and the intercept."""
     y = sample["toxic"].to_numpy().astype(float)
     none = np.zeros(0, np.int64), np.zeros(0), -np.inf
@@ -193,26 +195,27 @@ def fitted(sample: pa.Table, base_rate: float, fit: Fit) -> tuple[np.ndarray, np
             break
         step = solved(lambda v, p=p: curvature(v, p), -gradient)
         w, b = w + step[:k], b + step[k]
-    odds = np.log(y.mean() / (1 - y.mean()))
-    return chosen, w, float(b - odds + np.log(base_rate / (1 - base_rate)))
+    return chosen, w, float(b)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, training: Column, fit: Fit = Fit()) -> DataFrame:
     """``doc_id`` and ``score`` (0 to 1) of every row, learned from labelled rows where ``training`` holds."""
-    usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & training)
-    base = usable.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    sample = collect_sample(docs, labels, training, fit)
-    chosen, w, b = fitted(sample, min(max(base or 0.0, 1e-6), 1 - 1e-6), fit)
-    weights = np.zeros(1 << SPACE_BITS, np.float32)
-    weights[chosen] = w
-    sent = docs.sparkSession.sparkContext.broadcast((weights, b))  # 4 MB whatever the input
+    chosen, w, b = fitted(collect_sample(docs, labels, training, fit), fit)
+    # the chosen features only: their number is a setting
+    sent = docs.sparkSession.sparkContext.broadcast((dict(zip(chosen.tolist(), w.tolist(), strict=True)), b))
 
     def run(batches):
         weights, b = sent.value
-        memo = feature_memo()
+        known = Memo(lambda word: tuple(h for h in features_of_word(word) if h in weights))
+        get = known.__getitem__
+
+        def score(text: str) -> float:
+            found = set().union(*map(get, set(WORD.findall(text.lower()))))
+            return b + math.fsum(weights[h] for h in found)
+
         for part in slices(batches):
-            z = np.array([weights[features(x, memo)].sum(dtype=np.float64) for x in part["text"].to_pylist()]) + b
-            score = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(score)], names=["doc_id", "score"])
+            z = np.array([score(x) for x in part["text"].to_pylist()])
+            out = pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))
+            yield pa.RecordBatch.from_arrays([part["doc_id"], out], names=["doc_id", "score"])
 
     return texts_of(docs).mapInArrow(run, "doc_id long, score double")
