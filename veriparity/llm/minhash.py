@@ -49,7 +49,7 @@ def shingle_sets(texts: list[bytes], size: int, codes: Memo) -> list[np.ndarray]
         if n >= size:
             out.append(np.unique(grams[at : at + n - size + 1]))
         else:  # the whole sequence as one
-            out.append(gram_codes(words[at : at + n], n, n)[:1])
+            out.append(gram_codes(words[at : at + n], n, n)[:1] if n else words[:0])
         at += n
     return out
 
