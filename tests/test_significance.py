@@ -54,7 +54,45 @@ def test_g_test_guard(spark):
 def test_erfc_against_library(spark):
     rows = spark.createDataFrame([(i / 4,) for i in range(60)], "x double")
     for r in rows.select("x", erfc(F.col("x")).alias("e")).collect():
-        assert r.e == pytest.approx(math.erfc(r.x), abs=2e-15)
+        assert r.e == pytest.approx(math.erfc(r.x), rel=1e-12, abs=1e-300)
+
+
+def test_erfc_falls_throughout(spark):
+    """Tails far out keep their order: a stronger effect never has the larger p."""
+    rows = spark.createDataFrame([(i / 50,) for i in range(1300)], "x double").select("x", erfc(F.col("x")).alias("e"))
+    values = [r.e for r in rows.orderBy("x").collect()]
+    assert all(a > b > 0 for a, b in zip(values, values[1:], strict=False))
+
+
+def t_tail_by_sum(t, dof):
+    """Finite trigonometric series for whole degrees of freedom (exact rational steps, long sums)."""
+    theta = math.atan(abs(t) / math.sqrt(dof))
+    c2 = math.cos(theta) ** 2
+    if dof % 2:
+        total, term = 0.0, math.cos(theta)
+        for k in range(2, (dof - 1) // 2 + 2):
+            total += term
+            term *= c2 * (2 * k - 2) / (2 * k - 1)
+        area = 2 / math.pi * (theta + (math.sin(theta) * total if dof > 1 else 0.0))
+    else:
+        total, term = 0.0, 1.0
+        for k in range(2, dof // 2 + 2):
+            total += term
+            term *= c2 * (2 * k - 3) / (2 * k - 2)
+        area = math.sin(theta) * total
+    return 1 - area
+
+
+def test_t_tail_is_one_formula_for_all_sizes(spark):
+    cases = [(t, d) for d in (1, 2, 3, 7, 30, 199, 200, 201, 202, 1000, 5001) for t in (0.0, 1e-6, 0.3, 1.0, 2.0, 3.5, 5.0)]
+    rows = spark.createDataFrame(cases, "t double, d int").select("t", "d", t_two_sided(F.col("t"), F.col("d")).alias("p"))
+    for r in rows.collect():
+        assert r.p == pytest.approx(t_tail_by_sum(r.t, r.d), rel=1e-7, abs=2e-13), (r.t, r.d)
+    many = spark.createDataFrame([(2.0, 10**9), (30.0, 10**9), (30.0, 5)], "t double, d long")
+    many = many.select(t_two_sided(F.col("t"), F.col("d")).alias("p")).collect()
+    assert many[0].p == pytest.approx(math.erfc(2 / math.sqrt(2)), rel=1e-7)
+    assert math.log(many[1].p) == pytest.approx(math.log(math.erfc(30 / math.sqrt(2))), rel=1e-6)
+    assert many[2].p == pytest.approx(7.7e-7, rel=0.02)
 
 
 def test_t_p_values(spark):

@@ -121,19 +121,70 @@ DOCUMENT = {
 def test_documents_keep_key_order(spark, tmp_path):
     (tmp_path / "docs").mkdir()
     write(tmp_path / "docs", "USCensus_result.json", json.dumps(DOCUMENT))
-    write(tmp_path / "docs", "unrelated.json", "{}")
-    rows = results.read_documents(spark, str(tmp_path / "docs")).orderBy("pos").collect()
+    adult = {"adult": "USCensus_result.json"}
+    rows = results.read_documents(spark, str(tmp_path / "docs"), adult).orderBy("pos").collect()
     assert [(r.dataset, r.pos, r.experiment) for r in rows] == [("adult", i, k) for i, k in enumerate(DOCUMENT)]
     assert rows[0].metrics == {"dirty_test_acc": 0.8, "dirty__sex_priv__tp": 30.0, "note": None}
     assert rows[1].metrics == {"dirty_test_acc": None}
     with pytest.raises(PySparkException, match="line format"):
-        results.read_documents(spark, str(tmp_path / "docs"), max_bytes=10).collect()
+        results.read_documents(spark, str(tmp_path / "docs"), adult, max_bytes=10).collect()
+    with pytest.raises(ValueError, match="absent: .*Cardio"):
+        results.read_documents(spark, str(tmp_path / "docs"))
+    write(tmp_path / "docs", "unrelated.json", "{}")
+    with pytest.raises(ValueError, match="unknown: .*unrelated"):
+        results.read_documents(spark, str(tmp_path / "docs"), adult)
+
+
+@pytest.mark.parametrize("text", ['{"a/1/b": {"x": 1', "[1]", "", '{"a": 5}'])
+def test_damaged_documents_raise(spark, tmp_path, text):
+    (tmp_path / "docs").mkdir()
+    write(tmp_path / "docs", "Cardio_result.json", text)
+    with pytest.raises(PySparkException):
+        results.read_documents(spark, str(tmp_path / "docs"), {"heart": "Cardio_result.json"}).collect()
+
+
+def test_damaged_lines_raise(spark, tmp_path):
+    path = write(tmp_path, "lines.json", '{"dataset": "x", "pos": 1, "experiment": "e", "metrics": {"a": 1}}\n{"dataset": \n')
+    with pytest.raises(PySparkException):
+        results.read_lines(spark, path).collect()
+
+
+def test_header_files_are_read_by_name(spark, tmp_path):
+    paths = [write(tmp_path, "a.csv", "x,y\n1,2\n"), write(tmp_path, "b.csv", "y,x,z\n30,40,7\n")]
+    rows = read_delimited(spark, paths, {"x": "int", "y": "int"}, header=True)
+    assert sorted(map(tuple, rows.collect())) == [(1, 2), (40, 30)]
+    (tmp_path / "both").mkdir()
+    write(tmp_path / "both", "a.csv", "x,y\n1,2\n")
+    write(tmp_path / "both", "b.csv", "y,x\n30,40\n")
+    with pytest.raises(PySparkException):
+        read_delimited(spark, str(tmp_path / "both"), {"x": "int", "y": "int"}, header=True).collect()
+    with pytest.raises(PySparkException):
+        read_delimited(spark, paths, {"x": "int", "absent": "int"}, header=True).collect()
+
+
+@pytest.mark.parametrize(("line", "fine"), [("9007199254740993 3.0 x", True), ("4 5", False), ("6 7 8 9", False), ("1 3.7 x", False), ("9223372036854775808 1 x", False)])
+def test_whole_numbers_and_ragged_lines(spark, tmp_path, line, fine):
+    path = write(tmp_path, "n.data", line + "\n")
+    rows = read_delimited(spark, path, {"a": "bigint", "b": "int", "c": "string"}, sep=" ")
+    if fine:
+        assert tuple(rows.first()) == (9007199254740993, 3, "x")
+    else:
+        with pytest.raises(PySparkException):
+            rows.collect()
+        with pytest.raises(PySparkException):
+            rows.select("c").collect()
+
+
+def test_extract_without_a_column_raises(spark, tmp_path):
+    spark.createDataFrame([(50, 1)], "age int, gender int").write.parquet(str(tmp_path / "heart"))
+    with pytest.raises(ValueError, match="lacks columns of heart: height"):
+        dataset("heart").read_staged(spark, str(tmp_path / "heart"))
 
 
 def test_lines_round_trip(spark, tmp_path):
     (tmp_path / "docs").mkdir()
     write(tmp_path / "docs", "Cardio_result.json", json.dumps(DOCUMENT))
-    rows = results.read_documents(spark, str(tmp_path / "docs"))
+    rows = results.read_documents(spark, str(tmp_path / "docs"), {"heart": "Cardio_result.json"})
     results.write_lines(rows, str(tmp_path / "lines"))
     again = results.read_lines(spark, str(tmp_path / "lines"))
     key = lambda r: r.pos

@@ -1,15 +1,17 @@
 """Exact order statistics and percentiles without sorting or collecting a column.
 
 The built-in exact percentile merges a map of all distinct values in one task.
-Here three scans narrow the position of each wanted rank:
+Here four scans narrow the position of each wanted rank:
 
-1. count the values in fixed logarithmic cells and pick the cell of the rank,
-2. count again in even steps between the smallest and largest value of that cell,
-3. count the few distinct values left and take the exact one.
+1. count the values in cells of a 64th of an octave and pick the cell of the rank,
+2. three times, count again in 65 536 even steps between the smallest and largest
+   value of that cell and pick the step of the rank.
 
-Every scan aggregates before it shuffles, so what moves is at most one row per
-cell and task.  A value held by a third of all rows is one cell with a large
-count.
+A cell of the first scan spans fewer than 2**46 different doubles, so a step of
+the last one holds a single value whatever the distribution.  Every scan
+aggregates before it shuffles: what moves is at most one row per cell and task, and
+the cells of a scan are bounded by its resolution, not by the data.  A value held
+by a third of all rows is one cell with a large count.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 
 from veriparity.functions.values import null_if_nan
 
-CELLS_PER_LOG = 64
-STEPS = 4096
+CELLS_PER_OCTAVE = 64
+LEAST_EXPONENT = -1075  # below that of the smallest double
+STEPS = 1 << 16
+NARROWINGS = 3
 
 
 def _with_position(counted: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -36,21 +40,26 @@ def _holds(rank: Column) -> Column:
 
 
 def order_statistics(
-    df: DataFrame, by: Sequence[str], value: str, targets: Callable[[DataFrame], DataFrame]
+    df: DataFrame, by: Sequence[str], value: str, targets: Callable[[DataFrame], DataFrame], few_groups: bool = True
 ) -> DataFrame:
     """The values at wanted 0-based ranks (ascending) within each ``by`` group.
 
     ``targets`` receives rows with the ``by`` columns, ``total`` and ``missing``,
     the numbers of present and missing values of the group, and adds to each row
     one row per wanted rank: ``target`` (a number telling the ranks apart),
-    ``rank`` and any columns to carry along.  The groups must be few, as one row
-    per wanted rank is broadcast.  Result: ``by``, ``target``, the carried columns
-    and ``value``.
+    ``rank`` and any columns to carry along.  ``few_groups`` says that the number
+    of groups does not grow with the data (columns, classes): one row per wanted
+    rank is then broadcast, else joined by a shuffle.  Result: ``by``, ``target``,
+    the carried columns and ``value``.
     """
     by = list(by)
     rows = df.select(*by, null_if_nan(F.col(value).cast("double")).alias("_v"))
 
-    cell = F.floor(F.signum("_v") * F.log1p(F.abs("_v")) * CELLS_PER_LOG)
+    octave = F.log2(F.abs("_v")) - LEAST_EXPONENT
+    infinite = F.abs(F.col("_v")) == float("inf")
+    cell = F.when(F.col("_v") == 0, F.lit(0)).otherwise(
+        F.signum("_v").cast("int") * (1 + F.when(infinite, F.lit(1 << 30)).otherwise(F.floor(octave * CELLS_PER_OCTAVE)))
+    )
     spread = [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
     # missing values share one cell, which sorts first
     grid = rows.groupBy(*by, cell.alias("_cell")).agg(*spread)
@@ -68,20 +77,18 @@ def order_statistics(
     bracket = bracket.select(*keys, "_lo", "_hi", narrowed)
 
     def within(found: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(found), by).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        small = F.broadcast(found) if few_groups else found
+        return rows.join(small, by).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
 
     width = F.col("_hi") - F.col("_lo")
-    step = F.when(width <= 0, F.lit(0)).otherwise(
+    step = F.when(F.col("_lo") == F.col("_hi"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("_v") - F.col("_lo")) / width * STEPS), F.lit(STEPS - 1))
     )
-    finer = within(bracket).groupBy(*keys, F.col("_rank"), step.alias("_cell")).agg(*spread)
-    bracket = _with_position(finer, keys, "_cell").where(_holds(F.col("_rank")))
-    bracket = bracket.select(*keys, "_lo", "_hi", narrowed)
-
-    last = within(bracket).groupBy(*keys, F.col("_rank"), F.col("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    return (
-        _with_position(last, keys, "_v").where(_holds(F.col("_rank"))).select(*keys, F.col("_v").alias("value"))
-    )
+    for _ in range(NARROWINGS):
+        finer = within(bracket).groupBy(*keys, F.col("_rank"), step.alias("_cell")).agg(*spread)
+        bracket = _with_position(finer, keys, "_cell").where(_holds(F.col("_rank")))
+        bracket = bracket.select(*keys, "_lo", "_hi", narrowed)
+    return bracket.select(*keys, F.col("_lo").alias("value"))
 
 
 def exact_percentiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:

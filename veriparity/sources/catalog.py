@@ -29,10 +29,16 @@ class Dataset:
         return read_delimited(spark, paths, self.schema, self.sep, self.header, self.na_words, self.junk)
 
     def read_staged(self, spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-        """Rows of a Parquet extract, projected to the dataset's columns."""
+        """Rows of a Parquet extract, projected to the dataset's columns; an extract that lacks one raises.
+
+        The id column is taken along if the extract has it.
+        """
         staged = spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
-        kept = [c for c in (self.spec.id_col, *self.schema) if c in staged.columns]
-        return nan_to_null(staged.select(*[col(c) for c in kept]))
+        absent = [c for c in self.schema if c not in staged.columns]
+        if absent:
+            raise ValueError(f"the extract lacks columns of {self.spec.name}: {', '.join(absent)}")
+        ids = [c for c in (self.spec.id_col,) if c in staged.columns and c not in self.schema]
+        return nan_to_null(staged.select(*[col(c) for c in (*ids, *self.schema)]))
 
 
 def _columns(kind: str, *names: str) -> dict[str, str]:

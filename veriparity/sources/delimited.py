@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,37 @@ def normalise(df: DataFrame, tokens: Sequence[str], columns: Sequence[str] | Non
     ])
 
 
+DAMAGED = "_damaged_line"
+
+
+def _text_rows(
+    spark: SparkSession, path: str, names: Sequence[str], sep: str, header: bool, junk: Mapping[str, str]
+) -> DataFrame:
+    """The named columns as text; lines with too few or too many values raise, junk lines are left out."""
+    reader = spark.read.option("sep", sep).option("ignoreLeadingWhiteSpace", False)
+    found = list(names)
+    if header:
+        found = reader.option("header", True).option("inferSchema", False).csv(path).columns
+        # files of one path whose headers differ raise instead of being read by position
+        reader = reader.option("header", True).option("enforceSchema", False)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*found, DAMAGED)])
+    text = reader.schema(schema).option("columnNameOfCorruptRecord", DAMAGED).option("columnPruning", False).csv(path)
+    for name, value in junk.items():
+        text = text.where(~col(name).eqNullSafe(F.lit(value)))
+    what = F.concat_ws(" ", F.lit("damaged line:"), DAMAGED, col(found[0]))
+    sound = F.when(F.col(DAMAGED).isNull(), F.lit(True)).otherwise(F.raise_error(what).cast("boolean"))
+    return text.where(sound).select(*[col(c) for c in names])
+
+
+def _whole_number(text: Column, kind: str) -> Column:
+    """Text to a whole number, digit by digit; it may have a decimal part of zeros, as in 3.0, and nothing else."""
+    exact = text.try_cast("decimal(38,9)")
+    whole = exact.cast("decimal(29,0)")
+    bad = text.isNotNull() & (exact.isNull() | (exact != whole) | whole.try_cast(kind).isNull())
+    message = F.concat(F.lit("not a number: "), text, F.lit(f" (as {kind})"))
+    return F.when(bad, F.raise_error(message).cast(kind)).otherwise(whole.try_cast(kind))
+
+
 def read_delimited(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -35,28 +67,22 @@ def read_delimited(
 
     Everything is read as text first: several missing-value words can then be
     recognised, rows whose ``junk`` column holds the junk text are left out, and
-    a value that is no number raises instead of turning into a missing one.  A
-    file with a header may have its columns in any order and others besides.
+    a value that is no number of its type raises instead of turning into a missing
+    or a rounded one.  Files with a header may have their columns in any order and
+    others besides; each path is read by its own header, and files of one path with
+    different headers raise.  Lines with too few or too many values raise.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    reader = spark.read.option("sep", sep).option("ignoreLeadingWhiteSpace", False)
-    if header:
-        text = reader.option("header", True).option("inferSchema", False).csv(paths)
-        text = text.select(*[col(c) for c in schema])
-    else:
-        named = T.StructType([T.StructField(c, T.StringType()) for c in schema])
-        text = reader.schema(named).csv(paths)
-    for name, value in (junk or {}).items():
-        text = text.where(~col(name).eqNullSafe(F.lit(value)))
+    parts = [_text_rows(spark, path, list(schema), sep, header, junk or {}) for path in paths]
+    text = reduce(DataFrame.unionByName, parts)
     words = (*DEFAULT_NA_WORDS, *na_words)
 
     def typed(name: str, kind: str) -> Column:
         value = null_if_token(col(name), words)
         if kind not in NUMBERS:
             return value.alias(name)
-        # whole numbers may be written with a decimal part, as in 3.0
-        number = null_if_nan(strict_number(F.trim(value)))
-        return (number if kind == "double" else number.cast(kind)).alias(name)
+        trimmed = null_if_token(F.trim(value), words)
+        return (null_if_nan(strict_number(trimmed)) if kind == "double" else _whole_number(trimmed, kind)).alias(name)
 
     return text.select(*[typed(name, kind) for name, kind in schema.items()])
 

@@ -33,8 +33,13 @@ def numeric_metrics(text: Column) -> Column:
 
 
 def parse_documents(documents: DataFrame) -> DataFrame:
-    """Rows ``dataset, value`` with one JSON object each into one row per experiment, in key order."""
-    parsed = F.from_json("value", f"map<string,{TEXT_METRICS}>")
+    """Rows ``dataset, value`` with one JSON object each into one row per experiment, in key order.
+
+    A value that is no such object raises.
+    """
+    parsed = F.from_json("value", f"map<string,{TEXT_METRICS}>", {"mode": "FAILFAST"})
+    damaged = F.raise_error(F.concat(F.lit("no result document: "), F.coalesce("dataset", F.lit("?"))))
+    parsed = F.coalesce(parsed, damaged.cast(f"map<string,{TEXT_METRICS}>"))
     entries = documents.select("dataset", F.posexplode(F.map_entries(parsed)).alias("pos", "entry"))
     return entries.select(
         "dataset",
@@ -49,6 +54,9 @@ def read_documents(
 ) -> DataFrame:
     """Read result documents, one JSON object per dataset file.
 
+    ``files`` names the file of each dataset wanted; one that is absent raises, as
+    does a JSON file in the folder that belongs to no dataset in ``files``.
+
     An object has to be parsed whole, so a file of this format is read by one
     task and its size is checked; larger results belong into the line format of
     ``read_lines``.
@@ -58,22 +66,29 @@ def read_documents(
     for dataset, file in files.items():
         which = F.when(name == file, dataset).otherwise(which)
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
+    names = {r["name"] for r in found.select(name.alias("name")).collect()}  # no more than the folder's files
+    if names != set(files.values()):
+        raise ValueError(
+            f"result files absent: {sorted(set(files.values()) - names)}, unknown: {sorted(names - set(files.values()))}"
+        )
     fits = F.when(F.col("length") <= max_bytes, F.col("content")).otherwise(
         F.raise_error(F.concat(F.lit("too large for one document, use the line format: "), F.col("path"))).cast(
             "binary"
         )
     )
     listed = found.select(which.alias("dataset"), F.decode(fits, "UTF-8").alias("value"))
-    return parse_documents(listed.where(F.col("dataset").isNotNull()))
+    # a document is one row; its experiments are dealt out again
+    return parse_documents(listed).repartition("experiment")
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Read experiments as JSON lines with ``dataset, pos, experiment, metrics``.
 
-    The files split at line ends, so any number of tasks can read them.
+    The files split at line ends, so any number of tasks can read them.  A line
+    that is no such object raises.
     """
     schema = f"dataset string, pos bigint, experiment string, metrics {TEXT_METRICS}"
-    lines = spark.read.schema(schema).json(paths)
+    lines = spark.read.schema(schema).option("mode", "FAILFAST").json(paths)
     return lines.withColumn("metrics", numeric_metrics(F.col("metrics")))
 
 
