@@ -1,4 +1,5 @@
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from veriparity.functions.fairness import fairness_gap, wide_counts
@@ -195,3 +196,24 @@ def test_impact_questions(spark):
     assert matrix["insignificant", "insignificant"] == (0, 0.0)
     found = impact_ops.keys_with(rows, ["k"], impact_ops.fairness_is("positive"), "cleaning_found").collect()
     assert [tuple(r) for r in found] == [("k1", True)]
+
+
+def test_null_keys_are_not_found(spark):
+    rows = spark.createDataFrame([("a", "x", 1), (None, "x", 1), ("b", None, 1), ("c", "x", 0)], "k string, l string, v int")
+    assert [tuple(r) for r in impact_ops.keys_with(rows, ["k", "l"], F.col("v") == 1).collect()] == [("a", "x")]
+
+
+def test_repeated_seeds_of_a_baseline_raise(spark):
+    rows = [(1, "base", 0.5), (1, "base", 0.9), (1, "other", 0.6)]
+    runs = spark.createDataFrame(rows, "seed int, method string, score double")
+    with pytest.raises(PySparkException, match="several baseline"):
+        ops.paired_changes(runs, ["seed"], "method", "base", ["score"]).collect()
+    once = ops.paired_changes(runs.where("score <> 0.9"), ["seed"], "method", "base", ["score"]).collect()
+    assert [r.score for r in once] == [pytest.approx(0.1)]
+
+
+def test_share_of_own_rows_is_the_default(spark):
+    rows = spark.createDataFrame([("m", "positive")] * 3 + [("m", "negative")], "metric string, fairness_impact string")
+    got = {r.fairness_impact: r.perc for r in impact_ops.metric_share(rows).collect()}
+    assert got == {"positive": 0.75, "negative": 0.25}
+    assert impact_ops.metric_share(rows, impact_ops.PUBLISHED_ROWS_PER_METRIC).first().perc < 0.01

@@ -2,11 +2,18 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veriparity.operators.configured import mislabel_audit, run_configurations
+from veriparity.operators.configured import audit_cases, mislabel_audit, mislabel_cases, run_configurations
 from veriparity.operators.features import encode_rows, encoder, feature_input
-from veriparity.operators.forest import outliers_by_isolation
+from veriparity.operators.forest import draw_samples, outliers_by_isolation
 from veriparity.operators.mislabel import confident_issues
-from veriparity.operators.models import before_and_after, mislabelled_by_model, train_and_evaluate
+from veriparity.operators.models import (
+    before_and_after,
+    converged,
+    impact_of_cleaning,
+    logistic,
+    mislabelled_by_model,
+    train_and_evaluate,
+)
 from veriparity.operators.valuation import knn_shapley, mislabelled_by_value, stratified_holdout
 from veriparity.spec import AuditSpec, Equals, LabelIn
 
@@ -122,7 +129,7 @@ def test_encoded_rows(spark):
 def test_unseen_category_is_a_zero_block(spark):
     train = feature_input(toy(spark).where("color = 'red'"), (), ("color",), {"id": F.col("id")})
     other = feature_input(toy(spark).where("color = 'blue'"), (), ("color",), {"id": F.col("id")})
-    model = encoder((), ("color",)).fit(train)
+    model = encoder((), ("color",), train.count()).fit(train)
     assert {tuple(r.features.toArray()) for r in model.transform(other).collect()} == {(0.0,)}
     with pytest.raises(ValueError, match="too many categories"):
         feature_input(toy(spark), (), ("color",), {"id": F.col("id")}, max_categories=2)
@@ -162,6 +169,54 @@ def test_before_and_after_columns(spark):
     side = spark.createDataFrame([(1, 0.5, 3)], "run int, accuracy double, tp_priv int")
     assert before_and_after(side, side, ("run",)).columns == ["run", "orig_accuracy", "orig_tp_priv", "clean_accuracy", "clean_tp_priv"]
     assert before_and_after(side, side).count() == 1
+    with pytest.raises(ValueError, match="keys"):
+        before_and_after(side.union(side), side)
+
+
+def test_encoder_divides_by_the_population_deviation(spark):
+    rows = toy(spark)
+    pdf = rows.toPandas()
+    given = feature_input(rows, ("z",), (), {"id": F.col("id")})
+    got = encoder(("z",), (), given.count()).fit(given).transform(given)
+    filled = pdf.z.fillna(pdf.z.mean())
+    want = dict(zip(pdf.id, (filled - filled.mean()) / filled.std(ddof=0)))
+    assert {r.id: float(r.features[0]) for r in got.collect()} == pytest.approx(want)
+
+
+def test_samples_of_a_forest_are_one_draw_at_all_sizes(spark):
+    """The rows of a tree are those with its smallest hashes, whether or not a limit spares the sort."""
+    rows = spark.range(5000).select("id", F.array(F.col("id").cast("double")).alias("features"))
+    few = draw_samples(rows, 5000, 3, trees=5, sample=40).select("tree", "id").collect()
+    every = draw_samples(rows, 0, 3, trees=5, sample=40).select("tree", "id").collect()
+    assert sorted(few) == sorted(every) and len(every) == 200
+
+
+def test_cleaning_end_to_end(spark):
+    rows = toy(spark)
+    train, test = rows.where("id % 4 <> 0"), rows.where("id % 4 = 0")
+    row = impact_of_cleaning(train, train.where("id % 29 <> 0"), test, SPEC, "g").first().asDict()
+    for side in ("orig", "clean"):
+        assert sum(row[f"{side}_{c}_{g}"] for c in ("tn", "fp", "fn", "tp") for g in ("priv", "nonpriv")) == test.count()
+    assert {"orig_gap", "clean_gap", "applicable", "unfair", "responsibility"} <= set(row)
+
+
+def test_fits_that_run_out_of_iterations_raise(spark):
+    rows = feature_input(toy(spark), ("x", "z"), (), {"target": F.col("y").cast("double")})
+    encoded = encoder(("x", "z"), (), rows.count()).fit(rows).transform(rows)
+    with pytest.raises(RuntimeError, match="converged"):
+        converged(logistic(1).fit(encoded), 1)
+
+
+def test_cases_make_one_report(spark):
+    tables = {"a": (toy(spark), SPEC), "b": (toy(spark).where("id < 150"), SPEC)}
+    report = audit_cases(tables, [("a", "g"), ("b", "g")]).collect()
+    assert {(r.dataset, r.criteria, r.detector) for r in report} == {
+        (d, "g", x) for d in "ab" for x in ("missing-values", "outliers-sd", "outliers-iqr")
+    }
+    polarity = mislabel_cases(tables, [("a", "g"), ("b", "g")]).collect()
+    assert [r.dataset for r in polarity] == ["a", "b"]
+    with pytest.raises(KeyError):
+        audit_cases(tables, [("c", "g")])
 
 
 def test_configurations_run_together(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veriparity.operators.ordered import SLICE, ranked, running_sums, slice_by
-from veriparity.operators.quantiles import exact_percentiles
+from veriparity.operators.quantiles import exact_percentiles, order_statistics
 
 
 def skewed(spark, n=3000):
@@ -70,3 +70,59 @@ def test_percentiles_per_group(spark):
     pdf = rows.toPandas()
     for g, part in pdf.groupby("g"):
         assert got[g] == tuple(np.percentile(part.v, [25, 75]))
+
+
+def test_crowded_values_stay_in_bounded_cells(spark):
+    """Two million values near each other and one far off: no scan hands on more than its cells."""
+    rows = spark.range(2_000_000).select(F.lit("c").alias("c"), (1.5e9 + F.col("id") * 1e-6).alias("v"))
+    rows = rows.unionByName(spark.createDataFrame([("c", 1.51e9)], "c string, v double"))
+    got = exact_percentiles(rows, ["c"], "v", (0.25, 0.75))
+    row = got.first()
+    assert row.q0 == pytest.approx(1.5e9 + 0.5, abs=1e-6) and row.q1 == pytest.approx(1.5e9 + 1.5, abs=1e-6)
+    plan = got._jdf.queryExecution().executedPlan()
+    widest = max(most_rows(plan, "Window"))
+    assert widest <= 4 * (1 << 16)  # cells of a scan for each of the four wanted ranks
+
+
+def most_rows(plan, name):
+    """Rows that came out of the operators below each node of that name, as far as they are counted."""
+    found, work = [0], [plan]
+    while work:
+        node = work.pop()
+        kind = node.nodeName()
+        if kind == "AdaptiveSparkPlan":
+            work.append(node.executedPlan())
+            continue
+        if "QueryStage" in kind:
+            work.append(node.plan())
+            continue
+        children = node.children()
+        for i in range(children.size()):
+            work.append(children.apply(i))
+        if kind == "Sort":  # below a window lies its sort, below that the exchange with the cells
+            below = node
+            while below.children().size() == 1 and not below.metrics().contains("numOutputRows"):
+                below = below.children().apply(0)
+                if "QueryStage" in below.nodeName():
+                    below = below.plan()
+                if below.metrics().contains("shuffleRecordsWritten"):
+                    found.append(below.metrics().apply("shuffleRecordsWritten").value())
+                    break
+    return found
+
+
+@pytest.mark.parametrize("values", [
+    [1e-300, 2e-300, 1e-5, 3.0, -1e-310, 5e-324, 0.0, -0.0], [float("inf"), float("-inf"), 1.0, 2.0, 3.0],
+    [1.0 + i * 2**-52 for i in range(40)], [-(2.0**k) for k in range(-60, 60)], [7.0] * 9,
+])
+def test_ranks_of_awkward_values(spark, values):
+    rows = spark.createDataFrame([("g", v) for v in values], "g string, v double")
+
+    def every(cells):
+        return cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(values) - 1))).alias("target")).select(
+            "*", F.col("target").cast("bigint").alias("rank")
+        )
+
+    for few in (True, False):
+        got = order_statistics(rows, ["g"], "v", every, few_groups=few).orderBy("target").collect()
+        assert [r.value for r in got] == sorted(values)

@@ -1,5 +1,6 @@
 """The shape of physical plans: scans, shuffles, pushed filters and columns read."""
 
+import os
 import re
 
 import pytest
@@ -9,8 +10,8 @@ from veriparity.operators import impact as impact_ops
 from veriparity.operators.audit import audit_dataset, audit_matrix, audit_rows
 from veriparity.operators.detectors import IQR, MISSING, SD
 from veriparity.operators.experiments import best_models
-from veriparity.operators.valuation import stratified_holdout
-from veriparity.session import checkpoint_dir, cut_lineage
+from veriparity.operators.valuation import knn_shapley, stratified_holdout
+from veriparity.session import checkpoint_dir, cut_lineage, scratch
 from veriparity.spec import AuditSpec, Equals, LabelIn
 
 
@@ -80,6 +81,37 @@ def test_best_model_is_an_aggregate_not_a_window(spark):
     assert "Window" not in plan(best_models(rows))
 
 
+def test_matrix_scans_once(stored):
+    rows = stored.select(F.col("g").alias("error"), F.lit("positive").alias("fairness_impact"), F.lit("all").alias("accuracy_impact"))
+    found = plan(impact_ops.impact_matrix(rows))
+    assert found.count("FileScan") == 1 and "Join" not in found
+
+
+def test_scratch_deletes_what_was_written_inside(spark, stored):
+    with scratch(spark):
+        inside = cut_lineage(stored.select("id"))
+        assert inside.count() == 500
+        path = inside.inputFiles()[0]
+    assert not os.path.exists(path.removeprefix("file://"))
+    kept = cut_lineage(stored.select("id"))
+    assert kept.count() == 500
+
+
+def test_distances_are_computed_once(spark, stored):
+    """Cutting into slices passes over its input twice; the distances are written before."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        calls.add(1)
+        return float(x)
+
+    rows = stored.select("id", (F.col("id") % 2 == 0).alias("label"), F.array(counted("x0")).alias("features"))
+    held = stored.limit(3).select("id", F.lit(True).alias("label"), F.array("x1").alias("features"))
+    knn_shapley(rows, held, 3).collect()
+    assert calls.value == 500
+
+
 def test_cut_rows_are_stored_in_the_named_folder(spark, stored):
     cut = cut_lineage(stored.withColumn("r", F.rand()))
     assert checkpoint_dir(spark) in cut.inputFiles()[0]

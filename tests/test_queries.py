@@ -52,5 +52,7 @@ def test_query_equals_its_check(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(__spark_entry__.queries()) - set(__spark_entry__.oracle_sql())))
-def test_query_without_check_runs(spark, name):
-    assert __spark_entry__.queries()[name](spark, SF_DIR).count() >= 0
+def test_query_without_check_returns_rows(spark, name):
+    """These train models or work on texts; what they compute is tested elsewhere."""
+    rows = __spark_entry__.queries()[name](spark, SF_DIR)
+    assert not rows.isEmpty() and len(set(rows.columns)) == len(rows.columns)

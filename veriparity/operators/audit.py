@@ -89,8 +89,8 @@ def audit_dataset(df: DataFrame, spec: AuditSpec, criteria: str, **options: obje
 
 
 def audit_marked(df: DataFrame, spec: AuditSpec, criteria: str, marked_ids: DataFrame) -> DataFrame:
-    """One judged row for the rows whose id a tuple detector returned."""
-    ids = marked_ids.select(F.col(spec.id_col)).withColumn("_marked", F.lit(True))
+    """One judged row for the rows whose id a tuple detector returned, once or more often."""
+    ids = marked_ids.select(F.col(spec.id_col)).distinct().withColumn("_marked", F.lit(True))
     base = df.select(F.col(spec.id_col), spec.group(criteria).alias("_grp"))
     joined = base.join(ids, spec.id_col, "left")
     return judge(joined.agg(*count_groups(F.col("_grp"), F.coalesce(F.col("_marked"), F.lit(False)))))

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriparity.operators.audit import audit_marked, audit_matrix, mislabel_polarity
+from veriparity.operators.audit import audit_dataset, audit_marked, audit_matrix, mislabel_polarity
 from veriparity.operators.detectors import IQR, MISSING, SD
 from veriparity.operators.forest import outliers_by_isolation
 from veriparity.operators.models import mislabelled_by_model
 from veriparity.operators.valuation import mislabelled_by_value
 from veriparity.session import cut_lineage
-from veriparity.sources.catalog import CONFIDENT, CONFIGURATIONS, FOREST, SHAPLEY
+from veriparity.sources.catalog import CASES, CONFIDENT, CONFIGURATIONS, FOREST, SHAPLEY
 from veriparity.spec import AuditSpec
 
 Configuration = tuple[str, str, str, Sequence[str]]
@@ -40,6 +41,45 @@ def mislabel_audit(
     return mislabel_polarity(flagged, spec, criteria)
 
 
+Tables = Mapping[str, tuple[DataFrame, AuditSpec]]
+
+
+def _over_cases(tables: Tables, cases: Sequence[tuple[str, str]], audit) -> DataFrame:
+    """One report of ``audit(df, spec, criteria)`` for every case; a case without a table raises ``KeyError``."""
+    if not cases:
+        raise ValueError("no cases")
+    parts = []
+    for name, criteria in cases:
+        df, spec = tables[name]
+        named = [F.lit(name).alias("dataset"), F.lit(criteria).alias("criteria")]
+        parts.append(audit(df, spec, criteria).select(*named, "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def audit_cases(tables: Tables, cases: Sequence[tuple[str, str]] = CASES, **options: object) -> DataFrame:
+    """The main report: per dataset and criterion, missing values and outliers by both rules.
+
+    ``tables`` holds the rows and the roles of every dataset that ``cases`` names.
+    Result: ``dataset, criteria, detector``, the counts and the verdict.
+    """
+    return _over_cases(tables, cases, lambda df, spec, criteria: audit_dataset(df, spec, criteria, **options))
+
+
+def mislabel_cases(
+    tables: Tables, cases: Sequence[tuple[str, str]] = CASES, detector: str = CONFIDENT, seed: int = 42
+) -> DataFrame:
+    """Per dataset and criterion, the polarity of the labels that look wrong.
+
+    The rows of a dataset are flagged once, whatever the number of its criteria.
+    """
+    flagged = {
+        name: tables[name][0].join(marked_ids(*tables[name], detector, seed), tables[name][1].id_col, "left_semi")
+        for name in dict.fromkeys(name for name, _ in cases)
+    }
+    marked = {name: (flagged[name], tables[name][1]) for name in flagged}
+    return _over_cases(marked, cases, mislabel_polarity)
+
+
 def run_configurations(
     df: DataFrame, spec: AuditSpec, configurations: Sequence[Configuration] = CONFIGURATIONS, seed: int = 42
 ) -> DataFrame:

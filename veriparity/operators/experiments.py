@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from veriparity.functions.fairness import CELLS, GROUPS, fairness_gap, map_counts, wide_counts
@@ -135,13 +135,21 @@ def score_runs(runs: DataFrame, cases: Sequence[tuple[str, str, bool]] = CASES)
     )
 
 
+def _baseline_value(measure: str, is_baseline: Column, together: WindowSpec) -> Column:
+    """The baseline's measure within a pair; a pair with two baselines raises, as either could be meant."""
+    mine = F.when(is_baseline, F.col(measure))
+    several = F.count(F.when(is_baseline, F.lit(1))).over(together) > 1
+    refused = F.raise_error(F.lit("seeds do not identify a run: a pair has several baseline runs")).cast("double")
+    return F.when(several, refused).otherwise(F.max(mine).over(together))
+
+
 def pair_with_baseline(scored: DataFrame, pairing: str = "position") -> DataFrame:
     """Change of each score of a cleaned run from its baseline run (NULL when there is none).
 
     ``position`` pairs the i-th run of a cleaning approach with the i-th baseline
     run, so the longer list loses its tail.  ``seeds`` pairs on equal seeds, which
-    needs no ranks and is the choice when runs may be absent; seeds must identify
-    a run of an approach.
+    needs no ranks and is the choice when runs may be absent; seeds that two baseline
+    runs share raise.
     """
     place = ["dataset", "criteria", "model", "error"]
     if pairing == "position":
@@ -158,7 +166,7 @@ def pair_with_baseline(scored: DataFrame, pairing: str = "position") -> DataFram
         *place,
         *APPROACH,
         "is_baseline",
-        *[(F.col(s) - F.max(F.when(F.col("is_baseline"), F.col(s))).over(together)).alias(s) for s in scores],
+        *[(F.col(s) - _baseline_value(s, F.col("is_baseline"), together)).alias(s) for s in scores],
     )
     return compared.where(~F.col("is_baseline")).drop("is_baseline")
 
@@ -266,12 +274,12 @@ def paired_changes(
     """Change of each measure from the baseline run to every other method's run of the same pair.
 
     A pair holds one run per method, so its baseline is looked up in a window;
-    pairs without a baseline run are left out.
+    pairs without a baseline run are left out, pairs with several raise.
     """
     together = Window.partitionBy(*pair)
     is_base = F.col(method) == baseline
     found = F.max(is_base).over(together).alias("_found")
     compared = runs.select(
-        *pair, method, found, *[(F.col(m) - F.max(F.when(is_base, F.col(m))).over(together)).alias(m) for m in measures]
+        *pair, method, found, *[(F.col(m) - _baseline_value(m, is_base, together)).alias(m) for m in measures]
     )
     return compared.where(F.col("_found") & ~is_base).drop("_found")

@@ -5,7 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (
+    ElementwiseProduct,
+    Imputer,
+    OneHotEncoder,
+    StandardScaler,
+    StringIndexer,
+    VectorAssembler,
+)
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +22,7 @@ from veriparity.operators.detectors import number
 from veriparity.session import cut_lineage
 
 MISSING_CATEGORY = "(missing)"
-MAX_CATEGORIES = 100_000
+MAX_CATEGORIES = 100_000  # what an encoder's vocabulary may take of the driver and of every task
 
 
 def category(name: str) -> Column:
@@ -57,7 +65,7 @@ def feature_input(
 
     They are written once, as fitting and using an encoder passes over them many
     times.  The vocabularies end up on the driver and in every task, so their
-    size is checked first.
+    size is counted first; columns with more than ``max_categories`` values raise.
     """
     out = df.select(
         *[value.alias(name) for name, value in keep.items()],
@@ -66,18 +74,31 @@ def feature_input(
     )
     out = cut_lineage(out)
     if categorical:
-        sizes = out.agg(*[F.approx_count_distinct(f"cat{i}").alias(c) for i, c in enumerate(categorical)]).first()
-        large = {c: sizes[c] for c in categorical if sizes[c] > max_categories}
+        cells = out.select(F.inline(F.array(*[
+            F.struct(F.lit(i).alias("i"), F.col(f"cat{i}").alias("value")) for i in range(len(categorical))
+        ])))
+        counted = cells.distinct().groupBy("i").count().collect()  # one row per column
+        large = {categorical[r["i"]]: r["count"] for r in counted if r["count"] > max_categories}
         if large:
             raise ValueError(f"too many categories to one-hot encode: {large}")
     return out
 
 
-def encoder(numeric: Sequence[str], categorical: Sequence[str], scale_categories: bool = False) -> Pipeline:
-    """MLlib pipeline from ``feature_input`` to a vector column ``features``.
+def _population(name: str, out: str, width: int, rows: int) -> ElementwiseProduct:
+    """From the sample deviation that the scaler divides by to the population's."""
+    factor = (rows / (rows - 1)) ** 0.5 if rows > 1 else 1.0
+    return ElementwiseProduct(inputCol=name, outputCol=out, scalingVec=Vectors.dense([factor] * width))
 
-    A category unseen in training becomes a zero block.  ``scale_categories``
-    standardises the one-hot block as well.
+
+def encoder(
+    numeric: Sequence[str], categorical: Sequence[str], rows: int, scale_categories: bool = False
+) -> Pipeline:
+    """MLlib pipeline from ``feature_input`` to a vector column ``features``, to be fitted on ``rows`` rows.
+
+    Numbers are standardised by the population deviation.  A category unseen in
+    training becomes a zero block.  ``scale_categories`` divides the one-hot block
+    by its deviations as well; it is not centred, so it stays sparse, and distances
+    are the same.
     """
     stages: list = []
     blocks: list[str] = []
@@ -86,7 +107,8 @@ def encoder(numeric: Sequence[str], categorical: Sequence[str], scale_categories
         stages += [
             Imputer(strategy="mean", inputCols=raw, outputCols=filled),
             VectorAssembler(inputCols=filled, outputCol="numbers"),
-            StandardScaler(withMean=True, withStd=True, inputCol="numbers", outputCol="scaled"),
+            StandardScaler(withMean=True, withStd=True, inputCol="numbers", outputCol="sampled"),
+            _population("sampled", "scaled", len(numeric), rows),
         ]
         blocks.append("scaled")
     if categorical:
@@ -99,7 +121,7 @@ def encoder(numeric: Sequence[str], categorical: Sequence[str], scale_categories
         if scale_categories:
             stages += [
                 VectorAssembler(inputCols=hot, outputCol="hot"),
-                StandardScaler(withMean=True, withStd=True, inputCol="hot", outputCol="hot_scaled"),
+                StandardScaler(withMean=False, withStd=True, inputCol="hot", outputCol="hot_scaled"),
             ]
             hot = ["hot_scaled"]
         blocks += hot

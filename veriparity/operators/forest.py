@@ -20,10 +20,11 @@ from veriparity.operators.quantiles import exact_percentiles
 from veriparity.session import cut_lineage
 from veriparity.spec import AuditSpec
 
-# Size of the forest and share of rows taken as outliers.
+# The published size of a forest and of its samples, and the share of rows taken as outliers.
 TREES = 100
 SAMPLE = 256
 CONTAMINATION = 0.01
+# candidates per sampled row: enough that fewer than SAMPLE candidates practically never turn up
 OVERSAMPLING = 4
 
 TREE_SCHEMA = (
@@ -40,24 +41,20 @@ def path_length(n: int) -> float:
     return 2.0 * (math.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
 
 
-def draw_samples(rows: DataFrame, n: int, seed: int) -> DataFrame:
-    """``tree, id, features``: up to 256 rows per tree, drawn by hash of id, tree and seed.
+def draw_samples(rows: DataFrame, n: int, seed: int, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
+    """``tree, id, features``: up to ``sample`` rows per tree, drawn without replacement.
 
-    A row enters a tree's candidates with a probability that yields a small
-    multiple of the sample; the candidates with the smallest hashes are taken.
-    In a large table one hash per row first leaves out the rows that no tree
-    will look at.
+    Each tree takes the rows with the smallest hashes of id, tree and seed, which
+    is the same draw for a table of any size; that a row's hash lies below a limit
+    of a few samples per table only keeps rows from being sorted that no tree takes.
     """
-    space = 1 << 32
-    per_tree = min(1.0, SAMPLE * OVERSAMPLING / max(n, 1))
-    any_tree = min(1.0, TREES * per_tree)
-    draw = lambda *key: F.pmod(F.xxhash64(F.col("id"), *key, F.lit(seed)), F.lit(space))
-    limit = int(space * per_tree / any_tree)
-    pool = rows.where(draw() < int(space * any_tree)).select("id", "features")
-    trees = F.filter(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: draw(t) < limit)
-    drawn = pool.select("id", "features", F.explode(trees).alias("tree"))
+    space = 1 << 62
+    limit = int(space * min(1.0, sample * OVERSAMPLING / max(n, 1)))
+    draw = lambda tree: F.pmod(F.xxhash64(F.col("id"), tree, F.lit(seed)), F.lit(space))
+    taken = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < limit)
+    drawn = rows.select("id", "features", F.explode(taken).alias("tree"))
     turn = F.row_number().over(Window.partitionBy("tree").orderBy(draw(F.col("tree")), "id"))
-    return drawn.withColumn("_turn", turn).where(F.col("_turn") <= SAMPLE).drop("_turn")
+    return drawn.withColumn("_turn", turn).where(F.col("_turn") <= sample).drop("_turn")
 
 
 def grow_tree(seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -126,30 +123,38 @@ def anomaly_score(trees: list[tuple[np.ndarray, ...]], sample_size: int) -> Call
     return score
 
 
-def isolation_scores(rows: DataFrame, seed: int) -> DataFrame:
+def isolation_scores(rows: DataFrame, seed: int, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
     """``id, score`` for rows of ``id, features``."""
     n = rows.count()
-    grown = draw_samples(rows, n, seed).groupBy("tree").applyInPandas(grow_tree(seed), TREE_SCHEMA)
-    # at most 100 trees of at most 511 nodes
-    trees = [
+    grown = draw_samples(rows, n, seed, trees, sample).groupBy("tree").applyInPandas(grow_tree(seed), TREE_SCHEMA)
+    # ``trees`` trees of fewer than 2 * ``sample`` nodes
+    forest = [
         tuple(np.array(t[c]) for c in ("feature", "threshold", "left", "right", "path"))
         for t in sorted(grown.collect(), key=lambda t: t["tree"])
     ]
-    return rows.select("id", anomaly_score(trees, min(n, SAMPLE))(F.col("features")).alias("score"))
+    return rows.select("id", anomaly_score(forest, min(n, sample))(F.col("features")).alias("score"))
+
+
+def beyond_percentile(scores: DataFrame, contamination: float = CONTAMINATION) -> DataFrame:
+    """The ``id, score`` rows with the largest scores: the exact percentile, interpolated, is the cut."""
+    normal = scores.select(F.lit("all").alias("part"), (-F.col("score")).alias("normality"))
+    cut = exact_percentiles(normal, ["part"], "normality", (contamination,)).select("q0").scalar()
+    return scores.select("*", cut.alias("_cut")).where(-F.col("score") < F.col("_cut")).select("id", "score")
 
 
 def outliers_by_isolation(
-    df: DataFrame, spec: AuditSpec, seed: int, contamination: float = CONTAMINATION
+    df: DataFrame,
+    spec: AuditSpec,
+    seed: int,
+    contamination: float = CONTAMINATION,
+    trees: int = TREES,
+    sample: int = SAMPLE,
 ) -> DataFrame:
     """``id, score`` of the most isolated share of rows.
 
-    The cut is the exact percentile of the scores, interpolated; the scores are
-    written once because the percentile and the selection both read them.
+    The scores are written once because the percentile and the selection both read them.
     """
     rows = feature_input(df, spec.numeric, spec.categorical, {"id": F.col(spec.id_col)})
-    model = encoder(spec.numeric, spec.categorical).fit(rows)
+    model = encoder(spec.numeric, spec.categorical, rows.count()).fit(rows)
     encoded = model.transform(rows).select("id", vector_to_array("features").alias("features"))
-    scores = cut_lineage(isolation_scores(encoded, seed))
-    normal = scores.select(F.lit("all").alias("part"), (-F.col("score")).alias("normality"))
-    cut = exact_percentiles(normal, ["part"], "normality", (contamination,)).select("q0").scalar()
-    return scores.select("*", cut.alias("_cut")).where(-F.col("score") < F.col("_cut")).select("id", "score")
+    return beyond_percentile(cut_lineage(isolation_scores(encoded, seed, trees, sample)), contamination)

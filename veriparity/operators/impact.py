@@ -8,6 +8,8 @@ all keys would return.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,35 +73,32 @@ def impact_matrix(impact: DataFrame) -> DataFrame:
     ``all`` marks a margin.  Every cell of the table is present, empty ones as 0.
     """
     cells = impact.groupBy("error", "fairness_impact", "accuracy_impact").agg(_tally())
-    both = F.array(*[F.lit(o) for o in (*OUTCOMES, "all")])
-    spread = cells.select(
-        "error",
-        F.explode(F.array(F.col("fairness_impact"), F.lit("all"))).alias("fairness_impact"),
-        "accuracy_impact",
-        "count",
-    ).select(
-        "error",
-        "fairness_impact",
-        F.explode(F.array(F.col("accuracy_impact"), F.lit("all"))).alias("accuracy_impact"),
-        "count",
-    )
-    counted = spread.groupBy("error", "fairness_impact", "accuracy_impact").agg(F.sum("count").alias("count"))
-    totals = cells.groupBy("error").agg(F.sum("count").alias("total"))
-    frame = totals.select("error", "total", F.explode(both).alias("fairness_impact"))
-    frame = frame.select("error", "total", "fairness_impact", F.explode(both).alias("accuracy_impact"))
-    full = frame.join(counted, ["error", "fairness_impact", "accuracy_impact"], "left")
-    full = full.withColumn("count", F.coalesce(F.col("count"), F.lit(0)))
+    wanted = [(f, a) for f in (*OUTCOMES, "all") for a in (*OUTCOMES, "all")]
+
+    def within(fairness: str, accuracy: str) -> Column:
+        met = [F.col(c) == o for c, o in (("fairness_impact", fairness), ("accuracy_impact", accuracy)) if o != "all"]
+        return F.when(reduce(and_, met, F.lit(True)), F.col("count"))
+
+    # a row per error from here: the counts of all cells side by side
+    counted = [F.coalesce(F.sum(within(*w)), F.lit(0)).alias(f"_n{i}") for i, w in enumerate(wanted)]
+    wide = cells.groupBy("error").agg(*counted)
+    listed = [
+        F.struct(F.lit(f).alias("fairness_impact"), F.lit(a).alias("accuracy_impact"), F.col(f"_n{i}").alias("count"))
+        for i, (f, a) in enumerate(wanted)
+    ]
+    full = wide.select("error", F.col(f"_n{len(wanted) - 1}").alias("total"), F.inline(F.array(*listed)))
     return full.select(
         "error", "fairness_impact", "accuracy_impact", "count", percent(F.col("count"), F.col("total")).alias("pct")
     )
 
 
 def metric_share(
-    impact: DataFrame, rows_per_metric: float | None = PUBLISHED_ROWS_PER_METRIC
+    impact: DataFrame, rows_per_metric: float | None = None
 ) -> DataFrame:
-    """Rows per metric and fairness outcome, and their share of ``rows_per_metric``.
+    """Rows per metric and fairness outcome, and their share of the metric's rows.
 
-    ``None`` takes the share of the metric's own rows instead of a given number.
+    ``rows_per_metric`` takes the share of a given number instead, such as
+    ``PUBLISHED_ROWS_PER_METRIC`` for the published table.
     """
     counted = impact.groupBy("metric", "fairness_impact").agg(_tally())
     if rows_per_metric is not None:
@@ -113,11 +112,11 @@ def metric_share(
 def keys_with(
     impact: DataFrame, keys: Sequence[str], found: Column, constant: str | None = None, ordered: bool = True
 ) -> DataFrame:
-    """Distinct ``keys`` for which at least one row satisfies ``found``.
+    """Distinct ``keys`` for which at least one row satisfies ``found``; a NULL key equals nothing and has none.
 
     ``constant`` adds a TRUE column of that name.
     """
-    hits = impact.where(found).select(*keys).distinct()
+    hits = impact.where(found).select(*keys).dropna().distinct()
     if ordered:
         hits = hits.orderBy(*keys)
     return hits if constant is None else hits.select("*", F.lit(True).alias(constant))

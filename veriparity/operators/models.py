@@ -8,8 +8,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from veriparity.operators.confusion import accuracy_and_auc, wide_confusion
+from veriparity.operators.confusion import accuracy_and_auc, causal_impact, wide_confusion
 from veriparity.operators.features import encoder, feature_input
 from veriparity.operators.mislabel import confident_issues
 from veriparity.session import cut_lineage
@@ -19,7 +20,7 @@ from veriparity.spec import AuditSpec
 STRENGTHS = (0.0001, 0.001, 0.01, 0.1)
 CHOICE_FOLDS = 3
 ISSUE_FOLDS = 5
-MAX_ITERATIONS = 50
+MAX_ITERATIONS = 500
 
 
 def fold_of(id_col: Column, folds: int, seed: int) -> Column:
@@ -27,16 +28,23 @@ def fold_of(id_col: Column, folds: int, seed: int) -> Column:
     return F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(folds)).cast("int")
 
 
-def logistic() -> LogisticRegression:
-    return LogisticRegression(featuresCol="features", labelCol="target", maxIter=MAX_ITERATIONS)
+def logistic(max_iterations: int = MAX_ITERATIONS) -> LogisticRegression:
+    return LogisticRegression(featuresCol="features", labelCol="target", maxIter=max_iterations)
 
 
-def choose_logistic(encoded: DataFrame) -> LogisticRegressionModel:
+def converged(model: LogisticRegressionModel, max_iterations: int) -> LogisticRegressionModel:
+    """The model, unless its fit ran out of iterations; then raise."""
+    if model.hasSummary and model.summary.totalIterations >= max_iterations:
+        raise RuntimeError(f"the fit has not converged in {max_iterations} iterations; allow more")
+    return model
+
+
+def choose_logistic(encoded: DataFrame, max_iterations: int = MAX_ITERATIONS) -> LogisticRegressionModel:
     """Best of the regularisation strengths by cross-validated accuracy, refitted on all rows.
 
     ``encoded`` has ``features``, ``target`` and ``fold``.
     """
-    model = logistic()
+    model = logistic(max_iterations)
     search = CrossValidator(
         estimator=model,
         estimatorParamMaps=ParamGridBuilder().addGrid(model.regParam, list(STRENGTHS)).build(),
@@ -45,7 +53,7 @@ def choose_logistic(encoded: DataFrame) -> LogisticRegressionModel:
         foldCol="fold",
         parallelism=len(STRENGTHS),
     )
-    return search.fit(encoded).bestModel
+    return converged(search.fit(encoded).bestModel, max_iterations)
 
 
 def _input(df: DataFrame, spec: AuditSpec, prediction: bool, **keep: Column) -> tuple[DataFrame, tuple, tuple]:
@@ -64,7 +72,7 @@ def predictions(train: DataFrame, test: DataFrame, spec: AuditSpec, criteria: st
     """
     fold = fold_of(F.col(spec.id_col), CHOICE_FOLDS, seed)
     rows, numeric, categorical = _input(train, spec, True, fold=fold)
-    fitted = encoder(numeric, categorical).fit(rows)
+    fitted = encoder(numeric, categorical, rows.count()).fit(rows)
     encoded = cut_lineage(fitted.transform(rows).select("features", "target", "fold"))
     model = choose_logistic(encoded)
     unseen, _, _ = _input(test, spec, True, grp=spec.group(criteria))
@@ -92,25 +100,51 @@ def train_and_evaluate(train: DataFrame, test: DataFrame, spec: AuditSpec, crite
 
 
 def before_and_after(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Evaluations on dirty and on cleaned data side by side, ready for ``causal_impact``."""
+    """Evaluations on dirty and on cleaned data side by side, ready for ``causal_impact``.
+
+    Without ``keys`` each side is a single evaluation; several raise.
+    """
     name = lambda side, c: c if c in keys else f"{side}_{c}"
     orig = before.select(*[F.col(c).alias(name("orig", c)) for c in before.columns])
     clean = after.select(*[F.col(c).alias(name("clean", c)) for c in after.columns])
     if not keys:
-        one = F.lit(1)
-        orig, clean = orig.withColumn("_run", one), clean.withColumn("_run", one)
-        return orig.join(clean, "_run").drop("_run")
+        sides = [side.limit(2).collect() for side in (orig, clean)]
+        if any(len(rows) > 1 for rows in sides):
+            raise ValueError("name the keys that pair the evaluations")
+        both = [(*a, *b) for a in sides[0] for b in sides[1]]
+        return orig.sparkSession.createDataFrame(both, T.StructType([*orig.schema.fields, *clean.schema.fields]))
     return orig.join(clean, list(keys))
 
 
+def impact_of_cleaning(
+    dirty: DataFrame,
+    cleaned: DataFrame,
+    test: DataFrame,
+    spec: AuditSpec,
+    criteria: str,
+    metric: str = "equal_opportunity",
+    seed: int = 0,
+) -> DataFrame:
+    """Train on dirty and on cleaned rows, test both on the same rows, and tell what cleaning did to fairness.
+
+    One row: the eight group counts, accuracy and AUC of either side, and the outcome of ``causal_impact``.
+    """
+    sides = [train_and_evaluate(train, test, spec, criteria, seed) for train in (dirty, cleaned)]
+    both = cut_lineage(before_and_after(*sides))
+    judged = causal_impact(both, metric)
+    one = F.lit(0)
+    return both.withColumn("_run", one).join(judged.withColumn("_run", one), "_run").drop("_run")
+
+
 def out_of_fold(df: DataFrame, spec: AuditSpec, folds: int = ISSUE_FOLDS, seed: int = 0) -> DataFrame:
     """``id, given, probs``: class probabilities from a model that did not see the row."""
     rows, numeric, categorical = _input(df, spec, False, fold=fold_of(F.col(spec.id_col), folds, seed))
-    fitted = encoder(numeric, categorical).fit(rows)
+    fitted = encoder(numeric, categorical, rows.count()).fit(rows)
     encoded = cut_lineage(fitted.transform(rows).select("id", "features", "target", "fold"))
     parts = []
     for fold in range(folds):
         model = logistic().setRegParam(STRENGTHS[0]).fit(encoded.where(F.col("fold") != fold))
+        converged(model, MAX_ITERATIONS)
         scored = model.transform(encoded.where(F.col("fold") == fold))
         probs = vector_to_array("probability")
         parts.append(scored.select("id", F.col("target").cast("int").alias("given"), probs.alias("probs")))

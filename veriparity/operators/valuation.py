@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from veriparity.operators.features import encoder, feature_input
 from veriparity.operators.ordered import SLICE, running_sums, slice_by
+from veriparity.session import cut_lineage
 from veriparity.spec import AuditSpec
 
 # Rows held out for scoring and neighbours per scored row.
@@ -72,27 +73,33 @@ def neighbour_weight(place: Column, n: Column, k: int) -> Column:
 
 
 def knn_shapley(
-    train: DataFrame, held: DataFrame, k: int = NEIGHBOURS, decimals: int | None = None
+    train: DataFrame,
+    held: DataFrame,
+    k: int = NEIGHBOURS,
+    decimals: int | None = None,
+    holdout: int = HOLDOUT,
 ) -> DataFrame:
     """``id, value`` for every training row, averaged over the held-out rows.
 
-    Both inputs have ``id, label, features`` (array of numbers).  ``held`` is a
-    holdout of bounded size and is collected.  With ``a_i`` telling whether the
+    Both inputs have ``id, label, features`` (array of numbers).  ``held`` has at
+    most ``holdout`` rows, which are collected.  With ``a_i`` telling whether the
     i-th nearest row agrees with the held-out label and ``w_i`` its weight, the
     recursion sums to ``s_i = a_i w_i + sum over j > i of a_j (w_j - w_{j-1})``:
-    a rank and a running sum from the far end per held-out row, both taken over
-    slices of the rows sorted by distance, so no held-out row needs all training
-    rows in one task.
+    a rank and a running sum per held-out row, both taken over slices of the rows
+    sorted by distance, so no held-out row needs all training rows in one task.
+    The sum from the far end is the total less the sum from the near end, so both
+    use one order.
     """
-    points = held.orderBy("id").select("features", "label").limit(10 * HOLDOUT + 1).collect()
-    if not points or len(points) > 10 * HOLDOUT:
-        raise ValueError(f"the holdout must have 1 to {10 * HOLDOUT} rows")
+    points = held.orderBy("id").select("features", "label").limit(holdout + 1).collect()
+    if not points or len(points) > holdout:
+        raise ValueError(f"the holdout must have 1 to {holdout} rows")
     to_points = distances_to(np.array([p["features"] for p in points], dtype=np.float64), decimals)
     labels = F.array(*[F.lit(p["label"]) for p in points])
 
     seen = train.select("id", "label", F.posexplode(to_points(F.col("features"))).alias("point", "dist"))
     agrees = (F.col("label") == F.get(labels, F.col("point"))).cast("int")
-    seen = seen.select("point", "dist", "id", agrees.alias("a"))
+    # written, as cutting into slices passes over its input twice
+    seen = cut_lineage(seen.select("point", "dist", "id", agrees.alias("a")))
     by, order = ["point"], ["dist", "id"]
     sliced = slice_by(seen, by, order)
     # one row per held-out row
@@ -102,8 +109,9 @@ def knn_shapley(
     nearer = neighbour_weight(F.col("place") - 1, F.col("n"), k)
     step = F.when(F.col("place") == 1, F.lit(0.0)).otherwise(F.col("a") * (here - nearer))
     placed = placed.select("point", "dist", "id", SLICE, (F.col("a") * here).alias("own"), step.alias("step"))
-    summed = running_sums(placed, by, order, {"tail": F.col("step")}, backward=True)
-    value = F.sum(F.col("own") + F.col("tail") - F.col("step")) / len(points)
+    totals = placed.groupBy("point").agg(F.sum("step").alias("total"))
+    summed = running_sums(placed, by, order, {"upto": F.col("step")}).join(F.broadcast(totals), "point")
+    value = F.sum(F.col("own") + F.col("total") - F.col("upto")) / len(points)
     return summed.groupBy("id").agg(value.alias("value"))
 
 
@@ -127,7 +135,7 @@ def mislabelled_by_value(df: DataFrame, spec: AuditSpec, seed: int = 42, k: int
     held_ids = stratified_holdout(rows.select("id", "label"), [F.xxhash64("id", F.lit(seed)), F.col("id")])
     held_ids = F.broadcast(held_ids)
     train, held = rows.join(held_ids, "id", "left_anti"), rows.join(held_ids, "id", "left_semi")
-    model = encoder(spec.numeric, spec.categorical, scale_categories=True).fit(train)
+    model = encoder(spec.numeric, spec.categorical, train.count(), scale_categories=True).fit(train)
 
     def encoded(part: DataFrame) -> DataFrame:
         return model.transform(part).select("id", "label", vector_to_array("features").alias("features"))

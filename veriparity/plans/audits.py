@@ -15,6 +15,7 @@ from veriparity.operators.audit import (
     disparate_report,
     judge,
 )
+from veriparity.operators.configured import audit_cases, run_configurations
 from veriparity.operators.detectors import IQR, MISSING, SD, dirty_rows, is_missing
 from veriparity.plans.check_sql import audit_sql, counts_sql
 from veriparity.plans.registry import query, r, rounded
@@ -269,3 +270,63 @@ def group_partition_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A missing value is in neither group."""
     rows = doc_audit(spark, sf_dir).withColumn("grp", Above("quality", 0).group())
     return rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+
+
+# --- several datasets in one report --------------------------------------------------------------------
+
+_CASES = (("documents", "lang"), ("documents", "toxicity"), ("events", "user"), ("events", "purchase"))
+_CASE_GROUP_SQL = {
+    ("documents", "lang"): "grp",
+    ("documents", "toxicity"): "CASE WHEN toxic > 0 THEN 'priv' WHEN toxic <= 0 THEN 'dis' END",
+    ("events", "user"): "by_user",
+    ("events", "purchase"): "by_type",
+}
+_CASE_SQL = {
+    "documents": ("doc_audit", ["n_chars"], "(lang IS NULL OR source IS NULL OR n_chars IS NULL)"),
+    "events": ("event_audit", _NUMBERS, "(event_type IS NULL OR value IS NULL OR k IS NULL OR user_id IS NULL)"),
+}
+
+
+def _cases_sql() -> str:
+    parts = []
+    for case in _CASES:
+        view, numbers, missing = _CASE_SQL[case[0]]
+        for detector in (MISSING, SD, IQR):
+            limits = "" if detector == MISSING else f", {_limits_sql(view, numbers, detector)}"
+            dirty = missing if detector == MISSING else f"({_outside_sql(numbers)})"
+            counts = counts_sql(f"({_CASE_GROUP_SQL[case]})", dirty)
+            named = f"'{case[0]}' AS dataset, '{case[1]}' AS criteria, '{detector}' AS detector"
+            parts.append(f"SELECT {named}, {counts} FROM {view}{limits}")
+    return f"WITH {DOC_SQL}, {EVENT_SQL} " + audit_sql(" UNION ALL ".join(parts), "dataset, criteria, detector")
+
+
+@query("audit_cases", _cases_sql())
+def audit_cases_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main report over two datasets with two criteria each."""
+    tables = {"documents": (doc_audit(spark, sf_dir), DOC_SPEC), "events": (events_with_k(spark, sf_dir), EVENT_SPEC)}
+    return rounded(audit_cases(tables, _CASES))
+
+
+_LISTED = (
+    ("events", "user", MISSING, ("event_type", "k")),
+    ("events", "purchase", SD, ("value", "k")),
+    ("events", "user", IQR, ("value", "user_id")),
+    ("documents", "lang", SD, ("n_chars",)),
+)
+
+
+def _listed_sql() -> str:
+    parts = []
+    for name, criteria, detector, columns in _LISTED:
+        for c in columns if name == "events" else ():
+            limits = "" if detector == MISSING else f", {_limits_sql('event_audit', [c], detector)}"
+            dirty = f"({c} IS NULL)" if detector == MISSING else f"({_outside_sql([c])})"
+            named = f"""'{criteria}' AS criteria, '{detector}' AS detector, '{c}' AS "column" """
+            parts.append(f"SELECT {named}, {counts_sql(_CASE_GROUP_SQL[name, criteria], dirty)} FROM event_audit{limits}")
+    return f"WITH {EVENT_SQL} " + audit_sql(" UNION ALL ".join(parts), 'criteria, detector, "column"')
+
+
+@query("audit_configurations", _listed_sql())
+def audit_configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listed audits of one dataset."""
+    return rounded(run_configurations(events_with_k(spark, sf_dir), EVENT_SPEC, _LISTED))

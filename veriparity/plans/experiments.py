@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veriparity.functions.significance import ALPHA, impact_verdict, one_sided
@@ -16,7 +16,7 @@ from veriparity.plans.standins import (
     experiments,
     runs,
 )
-from veriparity.sources.results import TEXT_METRICS, metric_rows, numeric_metrics
+from veriparity.sources.results import TEXT_METRICS, metric_rows, numeric_metrics, parse_documents
 
 
 def parsed_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,9 +128,8 @@ def _verdict_sql(t: str, p: str, alpha: str, fell: str, rose: str) -> str:
 def impact_verdict_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts at a level shared among all methods."""
     tested = ops.paired_tests(user_changes(spark, sf_dir), ["method"], ["score", "accuracy"])
-    # a scalar over one row per method
-    level = tested.agg((F.lit(ALPHA) / F.count(F.lit(1))).alias("alpha")).scalar()
-    tested = tested.select("*", level.alias("alpha"))
+    # a window over one row per method
+    tested = tested.withColumn("alpha", F.lit(ALPHA) / F.count(F.lit(1)).over(Window.partitionBy()))
     return rounded(
         tested.select(
             "method",
@@ -149,8 +148,9 @@ def _rate_gap_sql(alias: str, by: str, hit: str, miss: str) -> str:
     return f"({rate('priv')} - {rate('dis')})"
 
 
-def _impact_sql() -> str:
-    """Score lists, their pairing by position, the tests and the table, straight from the counts."""
+def _impact_sql(pairing: str) -> str:
+    """Score lists, their pairing, the tests and the table, straight from the counts."""
+    paired = "b.rn = t.rn" if pairing == "position" else "b.split_seed = t.split_seed AND b.retrain_seed = t.retrain_seed"
 
     def gap(alias: str) -> str:
         branches = []
@@ -189,7 +189,7 @@ def _impact_sql() -> str:
         changes AS (SELECT t.dataset, c.criteria, c.metric, t.model, t.error, t.train_method, t.test_method,
             {gap('t')} - {gap('b')} AS score, t.acc - b.acc AS accuracy
             FROM scored t LEFT JOIN scored b ON b.is_base AND b.dataset = t.dataset AND b.error = t.error
-                AND b.model = t.model AND b.rn = t.rn
+                AND b.model = t.model AND {paired}
             JOIN cases c ON c.dataset = t.dataset WHERE NOT t.is_base),
         moments AS (SELECT dataset, criteria, metric, model, error, train_method, test_method,
             count(score) AS sn, avg(score) AS sm, stddev_samp(score) AS ss,
@@ -208,13 +208,13 @@ def _impact_sql() -> str:
             ELSE test_repaired END"""
 
 
-@query("impact_table", _impact_sql())
+@query("impact_table", _impact_sql("position"))
 def impact_table_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole pipeline, pairing runs by their position as in the result documents."""
     return ops.impact_table(parsed_experiments(spark, sf_dir), pairing="position")
 
 
-@query("impact_table_by_seeds", _impact_sql())
+@query("impact_table_by_seeds", _impact_sql("seeds"))
 def impact_table_by_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same table with runs paired by their seeds."""
     return ops.impact_table(parsed_experiments(spark, sf_dir), pairing="seeds")
@@ -245,3 +245,25 @@ def best_model_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.best_model_modes(ops.best_models(parsed_experiments(spark, sf_dir)))
 
 
+@query(
+    "experiment_documents",
+    f"""WITH {EXPERIMENTS_SQL},
+        names AS ({_metric_names_sql()}),
+        whole AS (SELECT dataset, split_seed, pos, error, train_method, model, retrain_seed,
+            count(*) AS metrics, sum(value) AS total FROM names GROUP BY ALL)
+        SELECT dataset || '/' || split_seed AS dataset,
+            row_number() OVER (PARTITION BY dataset, split_seed ORDER BY pos) - 1 AS pos,
+            concat_ws('/', dataset, split_seed, error, train_method, model, retrain_seed) AS experiment,
+            metrics, {r('total')} AS total FROM whole""",
+)
+def experiment_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, one JSON object per dataset and split, parsed back into experiments in key order."""
+    rows = experiments(spark, sf_dir).withColumn("split", F.split("experiment", "/").getItem(1))
+    entry = F.concat(F.lit('"'), F.col("experiment"), F.lit('": '), F.col("metrics"))
+    # a document holds the runs of one split
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("pos", entry.alias("entry")))), lambda x: x["entry"])
+    documents = rows.groupBy("dataset", "split").agg(F.concat(F.lit("{"), F.concat_ws(", ", parts), F.lit("}")).alias("value"))
+    parsed = parse_documents(documents.select(F.concat_ws("/", "dataset", "split").alias("dataset"), "value"))
+    values = F.map_values("metrics")
+    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+    return rounded(parsed.select("dataset", "pos", "experiment", F.size(values).cast("bigint").alias("metrics"), total.alias("total")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from veriparity.operators import impact as ops
 from veriparity.plans.registry import query, r, rounded
 from veriparity.plans.standins import IMPACT_SQL, impact
+from veriparity.session import checkpoint_dir
+from veriparity.sources.results import register_impact, write_impact
 
 FAIRNESS, ACCURACY = "fairness_impact", "accuracy_impact"
 
@@ -128,7 +131,7 @@ def impact_dummy_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
     _sql(f"SELECT metric, fairness_impact, count(*) AS count, {r('count(*) / 318.0')} AS perc FROM impact GROUP BY ALL"),
 )
 def impact_metric_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ops.metric_share(impact(spark, sf_dir, ["metric", FAIRNESS])))
+    return rounded(ops.metric_share(impact(spark, sf_dir, ["metric", FAIRNESS]), ops.PUBLISHED_ROWS_PER_METRIC))
 
 
 @query(
@@ -203,3 +206,57 @@ _exists(
     "b.fairness_impact = 'positive' AND b.accuracy_impact <> 'negative'",
     "cleaning_found",
 )
+
+
+# --- the questions as SQL text, asked of the registered table ------------------------------------------
+
+_SAFE_MODELS = """
+    SELECT DISTINCT dataset, criteria, model, TRUE AS never_worse FROM impact AS a
+    WHERE EXISTS (SELECT 1 FROM impact AS b WHERE b.dataset = a.dataset AND b.criteria = a.criteria
+        AND b.model = a.model AND b.fairness_impact <> 'negative' AND b.accuracy_impact <> 'negative')"""
+_OUTCOMES = """
+    SELECT error, fairness_impact, accuracy_impact, count(*) AS count FROM impact
+    WHERE detection LIKE '%STEEL' GROUP BY error, fairness_impact, accuracy_impact"""
+_REPAIRS = """
+    SELECT repair, test_repaired AND fairness_impact = 'positive' AS better, count(*) AS count FROM impact
+    WHERE error = 'A' GROUP BY repair, test_repaired AND fairness_impact = 'positive'"""
+
+IMPACT_COLUMNS = (
+    "dataset", "criteria", "metric", "model", "error", "detection", "repair", "test_repaired", FAIRNESS, ACCURACY,
+)
+
+
+def _asked(spark: SparkSession, sf_dir: str, statement: str, columns: Sequence[str]) -> DataFrame:
+    impact(spark, sf_dir, columns).createOrReplaceTempView("impact")
+    return spark.sql(statement)
+
+
+@query("impact_sql_safe_models", _sql(_SAFE_MODELS))
+def impact_sql_safe_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _asked(spark, sf_dir, _SAFE_MODELS, ["dataset", "criteria", "model", FAIRNESS, ACCURACY])
+
+
+@query("impact_sql_outcomes", _sql(_OUTCOMES))
+def impact_sql_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _asked(spark, sf_dir, _OUTCOMES, ["error", "detection", FAIRNESS, ACCURACY])
+
+
+@query("impact_file_repairs", _sql(_REPAIRS))
+def impact_file_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table written as CSV, read again, registered and asked by SQL."""
+    path = f"{checkpoint_dir(spark)}/impact-{uuid.uuid4().hex}.csv"
+    write_impact(impact(spark, sf_dir, IMPACT_COLUMNS), path)
+    register_impact(spark, path)
+    return spark.sql(_REPAIRS)
+
+
+_NULL_KEYS_SQL = """SELECT DISTINCT nullif(model, 'O') AS model, error FROM impact
+    WHERE model <> 'O' AND fairness_impact = 'positive' AND accuracy_impact = 'positive'"""
+
+
+@query("impact_null_keys", _sql(_NULL_KEYS_SQL))
+def impact_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key that is NULL equals nothing, so no row of its scenario is found."""
+    rows = impact(spark, sf_dir, ["model", "error", FAIRNESS, ACCURACY])
+    rows = rows.withColumn("model", F.nullif(F.col("model"), F.lit("O")))
+    return ops.keys_with(rows, ["model", "error"], _both_positive(), ordered=False)

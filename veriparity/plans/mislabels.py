@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriparity.functions.values import ratio
 from veriparity.operators.audit import mislabel_polarity
 from veriparity.operators.features import encode_rows
-from veriparity.operators.forest import outliers_by_isolation
+from veriparity.operators.forest import anomaly_score, beyond_percentile, outliers_by_isolation, path_length
 from veriparity.operators.mislabel import confident_issues
-from veriparity.operators.models import fold_of, mislabelled_by_model, train_and_evaluate
+from veriparity.operators.models import impact_of_cleaning, mislabelled_by_model, train_and_evaluate
 from veriparity.operators.valuation import knn_shapley, mislabelled_by_value, stratified_holdout, suspicious
 from veriparity.plans.check_sql import g_p_sql, g_sql
-from veriparity.plans.registry import query, r, rounded
+from veriparity.plans.registry import query, r, rounded, table
 from veriparity.plans.standins import DOC_SPEC, DOC_SQL, EMB_SQL, doc_audit, emb_audit
+from veriparity.session import cut_lineage
 
 # --- feature encoding -------------------------------------------------------------------------------
 
@@ -185,8 +190,79 @@ def mislabel_shapley_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(mislabelled_by_value(doc_audit(spark, sf_dir), DOC_SPEC, seed=42))
 
 
+def _split_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = doc_audit(spark, sf_dir).where(F.col("quality").isNotNull())
+    test = F.col("doc_id") % 4 == 0
+    return train_and_evaluate(labelled.where(~test), labelled.where(test), DOC_SPEC, "lang")
+
+
 @query("train_eval_groups")
 def train_eval_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_split_predictions(spark, sf_dir))
+
+
+_EVAL_SQL = f"""WITH {DOC_SQL}, test AS (
+        SELECT grp, quality = 1 AS label FROM doc_audit WHERE quality IS NOT NULL AND doc_id % 4 = 0)
+    SELECT count(*) FILTER (WHERE grp = 'priv') AS rows_priv, count(*) FILTER (WHERE grp = 'dis') AS rows_nonpriv,
+        count(*) FILTER (WHERE grp = 'priv' AND label) AS positives_priv,
+        count(*) FILTER (WHERE grp = 'dis' AND label) AS positives_nonpriv, TRUE AS accuracy_of_cells"""
+
+
+@query("train_eval_totals", f"{_EVAL_SQL} FROM test")
+def train_eval_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of an evaluation: its rows and labels by group, and that the accuracy is that of the cells."""
+    cell = lambda side, names: sum((F.col(f"{c}_{side}") for c in names), F.lit(0)).cast("bigint")
+    every, right, sides = ("tp", "tn", "fp", "fn"), ("tp", "tn"), ("priv", "nonpriv")
+    accuracy = ratio(sum(cell(s, right) for s in sides), sum(cell(s, every) for s in sides))
+    return _split_predictions(spark, sf_dir).select(
+        *[cell(s, every).alias(f"rows_{s}") for s in sides],
+        *[cell(s, ("tp", "fn")).alias(f"positives_{s}") for s in sides],
+        (F.abs(F.col("accuracy") - accuracy) < 1e-9).alias("accuracy_of_cells"),
+    )
+
+
+@query("cleaning_impact_totals", f"{_EVAL_SQL}, count(*) FILTER (WHERE label) AS positives_after FROM test")
+def cleaning_impact_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training before and after cleaning (unlabelled lengths capped), tested on the same rows, end to end."""
     labelled = doc_audit(spark, sf_dir).where(F.col("quality").isNotNull())
-    fold = fold_of(F.col("doc_id"), 4, 1)
-    return rounded(train_and_evaluate(labelled.where(fold > 0), labelled.where(fold == 0), DOC_SPEC, "lang"))
+    test = labelled.where(F.col("doc_id") % 4 == 0)
+    dirty = labelled.where(F.col("doc_id") % 4 != 0)
+    cleaned = dirty.withColumn("n_chars", F.least("n_chars", F.lit(8000)))
+    both = impact_of_cleaning(dirty, cleaned, test, DOC_SPEC, "lang")
+    cell = lambda side, names, when="orig": sum((F.col(f"{when}_{c}_{side}") for c in names), F.lit(0)).cast("bigint")
+    every, sides = ("tp", "tn", "fp", "fn"), ("priv", "nonpriv")
+    same = [cell(s, names) == cell(s, names, "clean") for s in sides for names in (every, ("tp", "fn"))]
+    return both.select(
+        *[cell(s, every).alias(f"rows_{s}") for s in sides],
+        *[cell(s, ("tp", "fn")).alias(f"positives_{s}") for s in sides],
+        reduce(and_, same).alias("accuracy_of_cells"),
+        sum(cell(s, ("tp", "fn"), "clean") for s in sides).alias("positives_after"),
+    )
+
+
+# feature, threshold, left, right, path length: three small trees over length and id
+_GIVEN_TREES = (
+    ((0, 0, -1, -1, -1), (1000.0, 5000.0, 0.0, 0.0, 0.0), (2, 3, -1, -1, -1), (1, 4, -1, -1, -1), (0.0, 0.0, 9.0, 5.0, 2.5)),
+    ((1, -1, -1), (6.0, 0.0, 0.0), (1, -1, -1), (2, -1, -1), (0.0, 1.5, 8.0)),
+    ((0, 1, -1, -1, -1), (300.0, 500.0, 0.0, 0.0, 0.0), (1, 3, -1, -1, -1), (2, 4, -1, -1, -1), (0.0, 0.0, 7.0, 4.5, 6.5)),
+)
+_GIVEN_SAMPLE = 256
+
+
+@query(
+    "outliers_given_forest",
+    f"""WITH depths AS (SELECT doc_id AS id,
+            CASE WHEN n_chars <= 1000 THEN 9.0 WHEN n_chars <= 5000 THEN 5.0 ELSE 2.5 END
+            + CASE WHEN doc_id % 1000 <= 6 THEN 1.5 ELSE 8.0 END
+            + CASE WHEN n_chars > 300 THEN 7.0 WHEN doc_id % 1000 <= 500 THEN 4.5 ELSE 6.5 END AS depth FROM documents),
+        scored AS (SELECT id, pow(2.0::DOUBLE, -depth::DOUBLE / (3 * {path_length(_GIVEN_SAMPLE)!r})) AS score FROM depths)
+        SELECT id, {r('score')} AS score FROM scored, (SELECT quantile_cont(-score, 0.01) AS cut FROM scored)
+        WHERE -score < cut""",
+)
+def outliers_given_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scoring and the one percent cut of the isolation forest, with trees that are given instead of grown."""
+    forest = [tuple(np.array(part) for part in tree) for tree in _GIVEN_TREES]
+    features = F.array(F.col("n_chars").cast("double"), (F.col("doc_id") % 1000).cast("double"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), features.alias("features"))
+    scores = cut_lineage(rows.select("id", anomaly_score(forest, _GIVEN_SAMPLE)(F.col("features")).alias("score")))
+    return rounded(beyond_percentile(scores))

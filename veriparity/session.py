@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCOPES: list[list[str]] = []  # paths written inside each open ``scratch``
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, choosing one only on a local master.
 
-    A cluster names its folder in ``spark.checkpoint.dir``.  Without one a local
-    run gets a temporary folder; a cluster run is refused, because executors
-    could not see a folder of the driver's machine.
+    A cluster names its folder in ``spark.checkpoint.dir``; that it is shared is the
+    cluster's word, as a mounted folder cannot be told from a machine's own.
+    Without one a run in a single process gets a temporary folder; any other is
+    refused, because executors could not see a folder of the driver's machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -21,7 +27,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="veriparity-checkpoint-"))
     return sc.getCheckpointDir()
@@ -37,4 +43,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that operators write inside the block when it ends.
+
+    Results that are still lazy read those tables, so write or collect them inside.
+    """
+    written: list[str] = []
+    _SCOPES.append(written)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(written)
+        for path in written:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

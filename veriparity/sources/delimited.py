@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,18 +26,35 @@ def normalise(df: DataFrame, tokens: Sequence[str], columns: Sequence[str] | Non
 DAMAGED = "_damaged_line"
 
 
+def _reader(spark: SparkSession, sep: str, header: bool) -> DataFrameReader:
+    return spark.read.option("sep", sep).option("ignoreLeadingWhiteSpace", False).option("header", header)
+
+
+def _by_header(spark: SparkSession, paths: Sequence[str], sep: str) -> dict[tuple[str, ...], list[str]]:
+    """The files below ``paths`` by the names in their headers; the first line of each file is read for it."""
+    files = _reader(spark, sep, True).csv(list(paths)).inputFiles()
+    found: dict[tuple[str, ...], list[str]] = {}
+    for file in sorted(files):
+        found.setdefault(tuple(_reader(spark, sep, True).csv(file).columns), []).append(file)
+    return found
+
+
 def _text_rows(
-    spark: SparkSession, path: str, names: Sequence[str], sep: str, header: bool, junk: Mapping[str, str]
+    spark: SparkSession,
+    paths: Sequence[str],
+    found: Sequence[str],
+    names: Sequence[str],
+    sep: str,
+    header: bool,
+    junk: Mapping[str, str],
 ) -> DataFrame:
-    """The named columns as text; lines with too few or too many values raise, junk lines are left out."""
-    reader = spark.read.option("sep", sep).option("ignoreLeadingWhiteSpace", False)
-    found = list(names)
-    if header:
-        found = reader.option("header", True).option("inferSchema", False).csv(path).columns
-        # files of one path whose headers differ raise instead of being read by position
-        reader = reader.option("header", True).option("enforceSchema", False)
+    """The named columns of files that hold the found ones, as text.
+
+    Lines with too few or too many values raise, junk lines are left out.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in (*found, DAMAGED)])
-    text = reader.schema(schema).option("columnNameOfCorruptRecord", DAMAGED).option("columnPruning", False).csv(path)
+    reader = _reader(spark, sep, header).schema(schema)
+    text = reader.option("columnNameOfCorruptRecord", DAMAGED).option("columnPruning", False).csv(list(paths))
     for name, value in junk.items():
         text = text.where(~col(name).eqNullSafe(F.lit(value)))
     what = F.concat_ws(" ", F.lit("damaged line:"), DAMAGED, col(found[0]))
@@ -69,11 +86,12 @@ def read_delimited(
     recognised, rows whose ``junk`` column holds the junk text are left out, and
     a value that is no number of its type raises instead of turning into a missing
     or a rounded one.  Files with a header may have their columns in any order and
-    others besides; each path is read by its own header, and files of one path with
-    different headers raise.  Lines with too few or too many values raise.
+    others besides, as each file is read by its own header.  Lines with too few or
+    too many values raise.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    parts = [_text_rows(spark, path, list(schema), sep, header, junk or {}) for path in paths]
+    groups = _by_header(spark, paths, sep) if header else {tuple(schema): paths}
+    parts = [_text_rows(spark, files, found, list(schema), sep, header, junk or {}) for found, files in groups.items()]
     text = reduce(DataFrame.unionByName, parts)
     words = (*DEFAULT_NA_WORDS, *na_words)
 
