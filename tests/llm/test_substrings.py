@@ -38,8 +38,8 @@ def test_sample(documents, texts):
 @pytest.mark.parametrize("seed", range(6))
 def test_random_passages(spark, seed, monkeypatch):
     """Passages of about the window's length at random places, overlapping, from texts that change hands."""
-    monkeypatch.setattr(substrings, "GROUP_LEAVES", 30)  # long prefixes are used
-    monkeypatch.setattr(substrings, "SALTS", 3)
+    monkeypatch.setattr(substrings, "DEEPER", (2, 4))  # long prefixes are used, and crowds occur
+    monkeypatch.setattr(substrings, "CROWD", 6 if seed % 2 else 10**6)
     rng = random.Random(seed)
     pool = [f"w{i}" for i in range(3 if seed == 0 else 300)]
     source = [rng.choice(pool) for _ in range(400)]
@@ -67,7 +67,7 @@ def test_edges(odd_documents, no_documents):
     assert got(odd_documents) == brute(rows)
     assert got(no_documents) == []
     with pytest.raises(ValueError, match="words"):
-        substrings.repeats_of(odd_documents, window=10)
+        substrings.repeats_of(substrings.keyed(odd_documents), window=10)
 
 
 def test_strip_keeps_columns_and_spacing(spark, documents, no_documents):

@@ -12,20 +12,24 @@ window that also starts in an earlier document (smaller doc_id) is removed.
    where spans differ although they share their gram, which is around the ends of
    repeats.
 3. Suffix trees.  For the windows of those spans, the suffixes that start there
-   are grouped by a prefix: 8 words, and 16 or 32 where a prefix has more than
-   ``GROUP_LEAVES`` leaves.  Equal suffixes of one salt are summed before they are
-   shuffled.  Each group's leaves are sorted by their path, which is the order of
-   a walk through its subtree; a node of ``window`` words with leaves of several
-   documents is deep enough, and its windows repeat.
-4. Repeated windows return to their documents, where overlapping ones merge into
+   are grouped by a prefix.  The more different spans share the gram of a suffix,
+   the longer its prefix is (``PREFIXES`` words), which keeps the groups small.  A
+   group's suffixes are sorted by their path, which is the order of a walk through
+   its subtree: the leaves of a node of ``window`` words follow each other, the one
+   of the first document ahead, and all later ones repeat.
+4. Where more than ``CROWD`` different spans share a gram, suffixes that no prefix
+   can tell apart may be many.  There the first document of each node is found by
+   sums over the tasks, and joined back.
+5. Repeated windows return to their documents, where overlapping ones merge into
    maximal repeated passages.
 
-Words and paths are compared by 64-bit codes, windows and spans by 128 bits.
+Words and paths are compared by 64-bit codes, spans by those of gram and words,
+windows by those of prefix and words.
 
 Cases: a null, empty or short text has no windows; rows without doc_id count as
 later than all others and not as earlier than each other, as do rows with equal
-doc_id; an empty table gives an empty table; ``repeats_of`` and
-``without_repeats`` ignore other columns, ``strip_repeats`` carries them.
+doc_id; an empty table gives an empty table; ``without_repeats``
+ignores other columns, ``strip_repeats`` carries them.
 """
 
 from __future__ import annotations
@@ -38,40 +42,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriparity.llm.common import (
-    BASE, LAST_ID, Memo, as_bytes, coded, gram_codes, prefix_hashes, range_hashes, signed, slices, sliding_min, word_codes,
+    LAST_ID, Memo, as_bytes, coded, gram_codes, prefix_hashes, range_hashes, signed, slices, sliding_min, word_codes,
 )
 from veriparity.session import cut_lineage
 
 WINDOW = 50
 SEED = 8
 PREFIXES = (8, 16, 32)
-GROUP_LEAVES = 20_000
-SALTS = 16
-OTHER_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
+DEEPER = (64, 512)  # different spans of a gram beyond which the next prefix is taken
+CROWD = 4096
 WORD = re.compile(rb"[^ \t-\r]+[ \t-\r]*")
 
 
 def keyed(docs: DataFrame, *more: Column) -> DataFrame:
     """``place`` (the order of documents), ``mark`` (of the text; tells rows of equal id apart) and ``text``."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("place"), F.xxhash64(text).alias("mark"), text.alias("text"), *more
-    )
+    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
+    return docs.select(place.alias("place"), F.hash(text).alias("mark"), text.alias("text"), *more)
 
 
 class Words:
-    """Word codes of a slice of documents, with both prefix hashes."""
+    """Word codes of a slice of documents, with their prefix hashes."""
 
     def __init__(self, texts: list[bytes], codes: Memo):
         self.codes, self.counts = coded(texts, codes)
         self.first = np.cumsum(self.counts) - self.counts
-        self.hashes = [(base, prefix_hashes(self.codes, base)) for base in (BASE, OTHER_BASE)]
+        self.hashes = prefix_hashes(self.codes)
 
-    def ranges(self, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-        return [range_hashes(h, start, end, base) for base, h in self.hashes]
+    def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return range_hashes(self.hashes, start, end)
 
 
-SPAN = "place long, mark long, start int, n int, seed long, a long, b long"
+SPAN = "place long, mark int, start int, n int, seed long, a long"
 
 
 def spans_of(rows: DataFrame, window: int) -> DataFrame:
@@ -91,122 +93,105 @@ def spans_of(rows: DataFrame, window: int) -> DataFrame:
             new = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | np.append(True, seed[1:] != seed[:-1]))
             n = np.diff(np.append(new, len(doc)))
             at = w.first[doc[new]] + start[new]
-            a, b = w.ranges(at, at + n + window - 1)
+            a = w.ranges(at, at + n + window - 1)
             take = pa.array(doc[new])
             yield pa.RecordBatch.from_arrays(
                 [part["place"].take(take), part["mark"].take(take), pa.array(start[new].astype(np.int32)),
-                 pa.array(n.astype(np.int32)), signed(seed[new]), signed(a), signed(b)],
-                names=["place", "mark", "start", "n", "seed", "a", "b"],
+                 pa.array(n.astype(np.int32)), signed(seed[new]), signed(a)],
+                names=["place", "mark", "start", "n", "seed", "a"],
             )
 
     return rows.select("place", "mark", "text").mapInArrow(run, SPAN)
 
 
-SUFFIX = "place long, mark long, start int, p0 long, p1 long, p2 long, a long, b long"
+SUFFIX = "place long, mark int, start int, p long, a long"
 
 
 def suffixes_of(rows: DataFrame, window: int) -> DataFrame:
-    """The windows of the ``spans`` of each row, as suffixes: codes of their prefixes and of the whole window."""
+    """The windows of the ``spans`` of each row, as suffixes: codes of their prefix and of the whole window."""
 
     def run(batches):
         codes = word_codes()
+        lengths = np.array(PREFIXES)
         for part in slices(batches):
             w = Words(as_bytes(part["text"]), codes)
             lists = part["spans"]
             owner = np.repeat(np.arange(part.num_rows), np.asarray(lists.value_lengths()))
             flat = lists.flatten()
-            start, n = (np.asarray(flat.field(i)).astype(np.int64) for i in (0, 1))
+            start, n, depth = (np.asarray(flat.field(i)).astype(np.int64) for i in range(3))
             owner = np.repeat(owner, n)
             start = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
-            at = w.first[owner] + start
-            if not len(at):
+            if not len(owner):
                 continue
-            paths = [w.ranges(at, at + min(k, window))[0] for k in PREFIXES]
+            at = w.first[owner] + start
             take = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
                 [part["place"].take(take), part["mark"].take(take), pa.array(start.astype(np.int32)),
-                 *map(signed, paths), *map(signed, w.ranges(at, at + window))],
-                names=["place", "mark", "start", "p0", "p1", "p2", "a", "b"],
+                 signed(w.ranges(at, at + lengths[np.repeat(depth, n)])), signed(w.ranges(at, at + window))],
+                names=["place", "mark", "start", "p", "a"],
             )
 
     return rows.select("place", "mark", "text", "spans").mapInArrow(run, SUFFIX)
 
 
-def deep_nodes(leaves):
-    """Walks sorted leaves, one subtree after the other: windows whose leaves belong to several documents."""
-    held = None  # the node that is open: its path, the first and the last document below it
-
-    def closed(rows):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ((), (), ()))], names=["a", "b", "first"]
-        )
-
+def repeated_leaves(leaves):
+    """Walks sorted suffixes, one subtree after the other: those of a node's later documents."""
+    held = None  # the node that is open, and its first document
     for batch in leaves:
-        paths = np.stack([batch[c].to_numpy() for c in ("p0", "p1", "p2", "a", "b")])
         if not batch.num_rows:
             continue
-        new = np.flatnonzero(np.append(True, (paths[:, 1:] != paths[:, :-1]).any(axis=0)))
-        first = np.minimum.reduceat(batch["first"].to_numpy(), new)
-        last = np.maximum.reduceat(batch["last"].to_numpy(), new)
-        out = []
-        if held is not None:
-            if held[0] == paths[:, 0].tolist():
-                first[0], last[0] = min(first[0], held[1]), max(last[0], held[2])
-            elif held[1] < held[2]:
-                out.append((*held[0][3:], held[1]))
-        held = paths[:, new[-1]].tolist(), int(first[-1]), int(last[-1])
-        deep = np.flatnonzero(first[:-1] < last[:-1])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x[deep]) for x in (paths[3, new[:-1]], paths[4, new[:-1]], first[:-1])], names=["a", "b", "first"]
-        )
-        if out:
-            yield closed(out)
-    if held is not None and held[1] < held[2]:
-        yield closed([(*held[0][3:], held[1])])
-
-
-def nodes_of(suffixes: DataFrame) -> DataFrame:
-    """(a, b, first): windows that start in several documents, and the first of these."""
-    path = ["p0", "p1", "p2", "a", "b"]
-    leaves = cut_lineage(
-        suffixes.groupBy(*path, F.pmod("place", F.lit(SALTS)).alias("salt"))
-        .agg(F.min("place").alias("first"), F.max("place").alias("last")).drop("salt")
-    )
-    group, crowded = F.col("p0"), None
-    for k, p in enumerate(path[:2]):
-        sizes = leaves.groupBy(p).count().where(F.col("count") > GROUP_LEAVES).select(p, F.lit(True).alias(f"long{k}"))
-        leaves = leaves.join(sizes, p, "left")
-        crowded = F.col("long0") if crowded is None else crowded & F.col(f"long{k}")
-        group = F.when(crowded, F.col(path[k + 1])).otherwise(group)
-    n = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        leaves.select(*path, "first", "last", group.alias("prefix")).repartition(n, "prefix")
-        .sortWithinPartitions(*path).drop("prefix").mapInArrow(deep_nodes, "a long, b long, first long")
-    )
-
-
-def listed_spans(spans: DataFrame) -> DataFrame:
+        p, a, place = (batch[c].to_numpy() for c in ("p", "a", "place"))
+        new = np.append(True, (p[1:] != p[:-1]) | (a[1:] != a[:-1]))
+        first = place[new]
+        if held is not None and held[:2] == (p[0], a[0]):
+            first[0] = held[2]
+        node = np.cumsum(new) - 1
+        held = p[-1], a[-1], first[-1]
+        yield batch.filter(pa.array(place > first[node])).select(["place", "mark", "start"])
+
+
+def in_trees(suffixes: DataFrame) -> DataFrame:
+    walked = suffixes.repartition("p").sortWithinPartitions("p", "a", "place")
+    return walked.mapInArrow(repeated_leaves, "place long, mark int, start int")
+
+
+def in_crowds(suffixes: DataFrame) -> DataFrame:
+    """The same for nodes of any number of leaves: their first document by sums, joined back."""
+    nodes = suffixes.groupBy("p", "a").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    nodes = nodes.where("first < last").select("p", "a", "first")
+    return suffixes.join(nodes, ["p", "a"]).where("place > first").select("place", "mark", "start")
+
+
+def listed_spans(spans: DataFrame, *fields: str) -> DataFrame:
     """One row per document with the array of its spans; a document's spans are fewer than its words."""
-    return spans.groupBy("place", "mark").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    return spans.groupBy("place", "mark").agg(F.collect_list(F.struct("start", "n", *fields)).alias("spans"))
+
 
+def repeats_of(rows: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Repeated runs of windows of each document: place, mark, start and n (the passage is n + window - 1 words).
 
-def repeats_of(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Repeated runs of windows of each document: place, mark, start and n (the passage is n + window - 1 words)."""
+    ``rows`` come from ``keyed``.  What reads their texts again is left to the caller's plan, where the
+    exchange that deals out the texts by document is made once.
+    """
     if window < max(PREFIXES):
         raise ValueError(f"a window has at least {max(PREFIXES)} words")
-    rows = keyed(docs)
     spans = cut_lineage(spans_of(rows, window))
     shared = spans.groupBy("seed").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low < high")
     live = cut_lineage(spans.join(shared.select("seed"), "seed"))
-    classes = live.groupBy("seed", "a", "b").agg(F.min("place").alias("first"))
-    several = classes.groupBy("seed").agg((F.count(F.lit(1)) > 1).alias("several")).where("several")
-    live = live.join(classes, ["seed", "a", "b"]).join(several, "seed", "left")
-    live = cut_lineage(live.select("place", "mark", "start", "n", "first", F.col("several").isNotNull().alias("open")))
-    whole = live.where("place > first").select("place", "mark", "start", "n")
-    ends = listed_spans(live.where("open AND place = first")).hint("shuffle_hash")
-    suffixes = cut_lineage(suffixes_of(rows.join(ends, ["place", "mark"]), window))
-    found = suffixes.join(nodes_of(suffixes), ["a", "b"]).where("place > first")
-    return whole.unionByName(found.select("place", "mark", "start", F.lit(1).alias("n")))
+    paths = live.groupBy("seed", "a").agg(F.min("place").alias("first"))
+    sizes = paths.groupBy("seed").agg(F.count(F.lit(1)).alias("paths"))
+    depth = sum(((F.col("paths") > d).cast("int") for d in DEEPER), F.lit(0)).alias("depth")
+    live = live.join(paths, ["seed", "a"]).join(sizes, "seed")
+    live = cut_lineage(live.select("place", "mark", "start", "n", "first", "paths", depth))
+    found = live.where("place > first").select("place", "mark", "start", "n")
+    ends = live.where("place = first AND paths > 1")
+    for chosen, search in ((f"paths <= {CROWD}", in_trees), (f"paths > {CROWD}", in_crowds)):
+        some = ends.where(chosen)
+        if not some.isEmpty():
+            lists = listed_spans(some, "depth").hint("shuffle_hash")
+            more = search(suffixes_of(rows.join(lists, ["place", "mark"]), window))
+            found = found.unionByName(more.withColumn("n", F.lit(1)))
+    return found
 
 
 def covered(counts: np.ndarray, first: np.ndarray, lists: pa.Array, window: int) -> np.ndarray:
@@ -221,8 +206,8 @@ def covered(counts: np.ndarray, first: np.ndarray, lists: pa.Array, window: int)
     return np.cumsum(change)[:-1] > 0
 
 
-def with_spans(docs: DataFrame, window: int, *more: Column) -> DataFrame:
-    return keyed(docs, *more).join(listed_spans(repeats_of(docs, window)).hint("shuffle_hash"), ["place", "mark"], "left")
+def with_spans(rows: DataFrame, window: int) -> DataFrame:
+    return rows.join(listed_spans(repeats_of(rows, window)).hint("shuffle_hash"), ["place", "mark"], "left")
 
 
 def cleaned(part: pa.RecordBatch, window: int, pattern: re.Pattern | None = None):
@@ -248,11 +233,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             _, counts, removed, kept = cleaned(part, window)
             texts = pa.array([b" ".join(w) for w in kept], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(
-                [part["doc_id"], pa.array(counts), pa.array(removed), texts], names=["doc_id", "n_words", "n_removed", "kept"]
+                [part["place"], pa.array(counts), pa.array(removed), texts], names=["doc_id", "n_words", "n_removed", "kept"]
             )
 
-    rows = with_spans(docs, window, F.col("doc_id").cast("long").alias("doc_id"))
-    return rows.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    rows = with_spans(keyed(docs), window).select("place", "mark", "text", "spans")
+    cleaned_rows = rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return cleaned_rows.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST_ID)))
 
 
 def strip_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -271,5 +257,5 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 names=[row.type.field(k).name for k in range(row.type.num_fields)],
             )
 
-    rows = with_spans(docs, window, F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    rows = with_spans(keyed(docs, F.struct(*[F.col(c) for c in docs.columns]).alias("row")), window)
     return rows.select("row", "text", "spans").mapInArrow(run, docs.schema)
