@@ -4,7 +4,9 @@ The model is one of character n-grams, trained on the whole text of every row
 that is labelled as trusted, so its counts grow with the input.  Counts, counts of
 counts, contexts and probabilities are grouped and joined by n-gram.  A row's
 score is its mean negative log probability per character; rows of a language whose
-score lies above a quantile of that language's trusted rows are rejected.  Scores
+score lies above a quantile of that language's trusted rows, and a slack, are
+rejected.  The slack (in nats per character) makes up for the model having seen the
+trusted rows, which lowers their scores, the more the smaller the corpus.  Scores
 of short texts are drawn towards the mean of their language, as few characters
 say little.
 
@@ -38,11 +40,13 @@ BITS = 12
 SYMBOLS = 1 << BITS
 OWN = 3072
 CELL = 1e-3  # width of the score cells in which quantiles are counted
+FEW_LANGUAGES = 10_000  # a table with a row per language is broadcast up to that size
 
 
 @dataclass(frozen=True)
 class Settings:
     quantile: float = 0.998
+    slack: float = 0.12
     prior_chars: float = 60.0
     broadcast_entries: int = 8_000_000
 
@@ -126,7 +130,7 @@ def model_of(trusted: DataFrame) -> DataFrame:
     ``logp`` is null for contexts that are no n-grams themselves, ``gamma`` for n-grams that are no contexts.
     The empty context is order 0, key 0.
     """
-    counts = cut_lineage(count_tables(top_counts(trusted)))
+    counts = cut_lineage(count_tables(cut_lineage(top_counts(trusted))))
     d = discounts(counts)
     by_k = lambda pick: F.element_at(F.create_map(*[F.lit(x) for k in d for x in (k, pick(d[k]))]), F.col("k"))
     cut = F.when(F.col("c") == 1, by_k(lambda x: x[0])).when(F.col("c") == 2, by_k(lambda x: x[1])).otherwise(by_k(lambda x: x[2]))
@@ -286,17 +290,18 @@ def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
     scored = cut_lineage(scored.join(marks, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))))
     trusted = scored.where("trusted AND n_chars > 0")
     # one row per language; a language and a cell of scores can be hot, both are summed before they meet
-    means = trusted.groupBy("lang").agg((F.sum("nll") / F.sum("n_chars")).alias("mean"))
+    means = cut_lineage(trusted.groupBy("lang").agg((F.sum("nll") / F.sum("n_chars")).alias("mean")))
+    few = F.broadcast if means.count() <= FEW_LANGUAGES else lambda rows: rows
     overall = trusted.agg((F.sum("nll") / F.sum("n_chars")).alias("m")).first()["m"]
     shrunk = (F.col("nll") + settings.prior_chars * F.coalesce("mean", F.lit(overall or 0.0))) / (F.col("n_chars") + settings.prior_chars)
-    scored = scored.join(means, "lang", "left").withColumn("score", shrunk).drop("mean")
+    scored = scored.join(few(means), "lang", "left").withColumn("score", shrunk).drop("mean")
     cells = scored.where("trusted AND n_chars > 0").groupBy("lang", F.ceil(F.col("score") / CELL).alias("cell")).count()
     together = cells.groupBy(F.lit(None).cast("string").alias("lang"), "cell").agg(F.sum("count").alias("count"))
-    limits = quantile_cells(cells.unionByName(together), settings.quantile)
+    limits = cut_lineage(quantile_cells(cells.unionByName(together), settings.quantile))
     any_limit = limits.where("lang IS NULL").first()
-    limit = F.coalesce("limit", F.lit(any_limit["limit"] if any_limit else float("inf")))
+    limit = F.coalesce("limit", F.lit(any_limit["limit"] if any_limit else float("inf"))) + settings.slack
     return (
-        scored.join(limits.where("lang IS NOT NULL"), "lang", "left")
+        scored.join(few(limits.where("lang IS NOT NULL")), "lang", "left")
         .select("doc_id", "n_chars", F.exp("score").alias("perplexity"), F.exp(limit).alias("threshold"),
                 (F.col("score") <= limit).alias("kept"))
     )
