@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from veriparity.llm import graph, minhash, vector_links
@@ -124,6 +125,22 @@ def test_chains_across_components_are_found(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == brute_documents(rows, 3, 85)
 
 
+def test_intersections_are_counted_whole(monkeypatch):
+    monkeypatch.setattr(minhash, "COLUMNS", 7)
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 90, n)) for n in (0, 1, 5, 40, 80, 33)]
+    counts = minhash.common_counts(pa.array([s.tolist() for s in sets], pa.list_(pa.int64())))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            assert i == j or counts[i, j] == len(np.intersect1d(x, y))
+
+
+def test_bands_miss_next_to_nothing():
+    for percent in (50, 80, 85, 95):
+        r = minhash.band_length(percent)
+        assert r == 1 or (1 - (percent / 100) ** r) ** (minhash.REGISTERS // r) < minhash.MISSED
+
+
 def test_signatures_estimate_likeness():
     """Each register is uniform over the union, so agreement estimates the Jaccard similarity."""
     rng = np.random.default_rng(3)

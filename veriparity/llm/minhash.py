@@ -8,12 +8,15 @@ below j + 1, no later visit can change anything, so long texts stop after a visi
 or two.  All shingles of a slice of documents make their j-th visit together.
 
 Documents with equal shingle sets are one class.  Classes that agree in a band of
-registers are candidates.  First each class of a bucket is compared to the
-bucket's first one, which joins almost all that belongs together without looking
-at pairs.  Then, in buckets whose classes still lie in several components, all
-pairs across components are compared by signature, block by block, and those that
-may reach the threshold are verified too.  Verification counts the intersection
-of whole shingle sets.
+registers are candidates, and the classes that candidates connect are a cluster.
+Within a cluster the intersections of all whole shingle sets are counted, block by
+block, as products of 0/1 matrices over the shingles that several sets hold; no
+pair becomes a row.  Each pair of blocks returns, per class, the smallest class it
+is connected with by links at the threshold, and the components of these links
+are the groups.  A cluster of any size is cut into blocks, so no task grows with it.
+
+Bands are as long as they can be while a pair right at the threshold shares none
+with a probability below ``MISSED``.
 
 Cases: null, empty and blank texts have the empty set and link with nothing;
 texts with fewer words than a shingle are one shingle; repeated rows are one
@@ -30,14 +33,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriparity.llm.common import LAST_ID, Memo, as_bytes, coded, gram_codes, mixed, slices, texts_of, word_codes
-from veriparity.llm.graph import components
+from veriparity.llm.graph import components, local_roots
 from veriparity.session import cut_lineage
 
-REGISTERS = 128
-BAND = 4
-BANDS = REGISTERS // BAND
-BLOCK = 512
-DEVIATIONS = 5.5  # how far below the threshold a signature may lie for its pair to be verified
+REGISTERS = 256
+MISSED = 1e-5
+BLOCK = 256
+COLUMNS = 4096  # shingles counted at once
+
+
+def band_length(percent: int) -> int:
+    share = percent / 100
+    return max(r for r in range(1, 17) if r == 1 or (1 - share**r) ** (REGISTERS // r) < MISSED)
 
 
 def shingle_sets(texts: list[bytes], size: int, codes: Memo) -> list[np.ndarray]:
@@ -86,11 +93,12 @@ def signatures(sets: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
     return out
 
 
-SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, sig binary, bands array<long>"
+SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
-def signed_documents(docs: DataFrame, size: int) -> DataFrame:
-    """Set size, digest of the set, signature in a byte per register, and the bands' keys."""
+def signed_documents(docs: DataFrame, size: int, band: int) -> DataFrame:
+    """Set size, digest of the set, and the keys of the signature's bands."""
+    n = REGISTERS // band
 
     def run(batches):
         codes = word_codes()
@@ -100,73 +108,76 @@ def signed_documents(docs: DataFrame, size: int) -> DataFrame:
             with np.errstate(over="ignore"):
                 a = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
                 b = np.array([mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64)
-                bands = np.zeros((len(sets), BANDS), np.uint64)
-                for i in range(BAND):
-                    bands = mixed(bands * np.uint64(31) + sig[:, i::BAND])
-                small = (mixed(sig) & np.uint64(0xFF)).astype(np.uint8)
+                bands = np.zeros((len(sets), n), np.uint64)
+                for i in range(band):
+                    bands = mixed(bands * np.uint64(31) + sig[:, i * n : (i + 1) * n])
             lists = pa.ListArray.from_arrays(
-                pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel().view(np.int64))
+                pa.array(np.arange(len(sets) + 1, dtype=np.int32) * n), pa.array(bands.ravel().view(np.int64))
             )
             yield pa.RecordBatch.from_arrays(
                 [part["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(a.view(np.int64)),
-                 pa.array(b.view(np.int64)), pa.array([x.tobytes() for x in small], pa.binary()), lists],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "sig", "bands"],
+                 pa.array(b.view(np.int64)), lists],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "bands"],
             )
 
     return texts_of(docs).mapInArrow(run, SIGNED)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(id, shingles) of the documents that represent a class in some pair."""
+    """The rows of ``wanted`` (``id`` and more) with the shingle sets of the documents they name."""
+    more = [c for c in wanted.columns if c != "id"]
 
     def run(batches):
         codes = word_codes()
         for part in slices(batches):
             sets = shingle_sets(as_bytes(part["text"]), size, codes)
             lists = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part["doc_id"], lists], names=["id", "shingles"])
-
-    rows = texts_of(docs).join(wanted.withColumnRenamed("id", "doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
-    return rows.mapInArrow(run, "id long, shingles array<long>")
-
-
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                x, y = np.asarray(x.values), np.asarray(y.values)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def close_pairs(percent: int):
-    """Pairs across components whose signatures agree nearly enough, in one pair of blocks of a bucket."""
-    share = percent / 100
-    least = REGISTERS * share - DEVIATIONS * (REGISTERS * share * (1 - share)) ** 0.5
+            yield pa.RecordBatch.from_arrays([part["doc_id"], lists, *(part[c] for c in more)], names=["id", "shingles", *more])
+
+    rows = texts_of(docs).join(wanted.withColumnRenamed("id", "doc_id").hint("shuffle_hash"), "doc_id")
+    kinds = dict(wanted.dtypes)
+    return rows.mapInArrow(run, ", ".join(["id long, shingles array<long>", *(f"{c} {kinds[c]}" for c in more)]))
+
+
+def common_counts(lists: pa.ListArray) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, from the shingles that several sets hold."""
+    sizes = np.asarray(lists.value_lengths())
+    _, column, times = np.unique(np.asarray(lists.flatten()), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    shared = times[column] > 1
+    number = np.cumsum(times > 1) - 1
+    row, column = row[shared], number[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    counts = np.zeros((len(sizes), len(sizes)), np.float64)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (start, start + COLUMNS))
+        held = np.zeros((len(sizes), COLUMNS), np.float32)
+        held[row[a:b], column[a:b] - start] = 1
+        counts += held @ held.T
+    return counts
+
+
+def linked(percent: int):
+    """Links of the classes in one pair of blocks of a cluster, as (class, smallest class it reaches there)."""
 
     def run(key, group):
-        i, j = (x.as_py() for x in key[2:])
-        block, rep, size, component = (group[c].to_numpy() for c in ("block", "rep", "n_shingles", "component"))
-        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint8).reshape(len(rep), REGISTERS)
-        left, right = (np.flatnonzero(block == b) for b in (i, j))
-        a, b = [], []
-        for x in left:
-            y = right[right > x] if i == j else right
-            y = y[component[y] != component[x]]
-            y = y[100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])]
-            y = y[(sig[y] == sig[x]).sum(axis=1) >= least]
-            a.append(np.full(len(y), x))
-            b.append(y)
-        a, b = (rep[np.concatenate(z)] if z else rep[:0] for z in (a, b))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        group = group.combine_chunks()
+        rep, block = group["id"].to_numpy(), group["block"].to_numpy()
+        lists = group["shingles"].chunk(0)
+        sizes = np.asarray(lists.value_lengths()).astype(np.float64)
+        common = common_counts(lists)
+        close = (common > 0) & (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common))
+        i, j = key[1].as_py(), key[2].as_py()
+        if i != j:  # pairs within a block have their own group
+            close &= block[:, None] != block[None, :]
+        a, b = np.nonzero(np.triu(close, 1))
+        order = np.argsort(rep, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        root = rep[order][local_roots(len(rep), place[a], place[b])][place]
+        keep = root != rep
+        return pa.table({"a": root[keep], "b": rep[keep]})
 
     return run
 
@@ -176,41 +187,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     ``size`` is the number of words of a shingle; rows link at 100 * intersection >= percent * union.
     """
-    signed = cut_lineage(signed_documents(docs, size))
+    signed = cut_lineage(signed_documents(docs, size, band_length(percent)))
     place = F.coalesce("doc_id", F.lit(LAST_ID))
     same = ["set_a", "set_b", "n_shingles"]
-    classes = cut_lineage(
-        signed.where("n_shingles > 0").groupBy(*same, "sig", "bands").agg(F.min(place).alias("rep"))
-        .where(F.col("rep") < LAST_ID)
-    )
-    spread = classes.select("rep", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    classes = signed.where("n_shingles > 0").groupBy(*same, "bands").agg(F.min(place).alias("rep"))
+    classes = cut_lineage(classes.where(F.col("rep") < LAST_ID))
+    spread = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = spread.groupBy("band", "key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
-    members = cut_lineage(spread.join(buckets.select("band", "key", "first"), ["band", "key"]))
-    stars = members.where("first < rep").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = cut_lineage(fitting(stars, classes, percent))
-    sets = cut_lineage(sets_of(docs, members.select(F.col("rep").alias("id")).distinct(), size))
-    links = cut_lineage(linked(stars, sets, percent))
-    groups = components(links)
-
-    groups = groups.withColumnRenamed("id", "rep")
-    marked = members.join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    split = (
-        marked.groupBy("band", "key")
-        .agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count(F.lit(1)).alias("n"))
-        .where("c < d").select("band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    )
-    rest = marked.join(split, ["band", "key"]).join(classes.select("rep", "sig"), "rep")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    more = (
-        rest.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                    "block", "rep", "n_shingles", "component", "sig")
-        .groupBy("band", "key", "i", "j").applyInArrow(close_pairs(percent), "a long, b long").distinct()
-    )
-    more = cut_lineage(more.join(stars, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = cut_lineage(links.unionByName(linked(more, sets, percent)))
-        groups = components(links).withColumnRenamed("id", "rep")
+    stars = spread.join(buckets.select("band", "key", "first"), ["band", "key"]).where("first < rep")
+    clusters = components(stars.select(F.col("first").alias("a"), F.col("rep").alias("b")))
+
+    sizes = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    members = clusters.join(sizes, "component").select(
+        "id", F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block")
+    )
+    sets = sets_of(docs, members, size)
+    pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "shingles")
+    links = pairs.groupBy("cluster", "i", "j").applyInArrow(linked(percent), "a long, b long")
+    groups = components(links).withColumnRenamed("id", "rep")
     facts = classes.join(groups, "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", *same).join(facts, same, "left")
     component = F.coalesce("component", "doc_id")
@@ -220,14 +215,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     )
 
 
-def fitting(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose set sizes allow the similarity."""
-    for end, n in (("a", "na"), ("b", "nb")):
-        pairs = pairs.join(classes.select(F.col("rep").alias(end), F.col("n_shingles").alias(n)), end)
-    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return pairs.where(fits).select("a", "b")
-
-
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group, with all their columns; rows without id stay."""
     gone = near_duplicates(docs, size, percent).where(~F.col("kept")).select("doc_id").distinct()
