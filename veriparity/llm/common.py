@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 200_000
 LAST_ID = 2**63 - 1
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse
 
@@ -51,16 +51,23 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 
 class Memo(dict):
-    """Remembers ``of(key)`` for frequent keys; forgets everything when full, which changes no value."""
+    """Remembers ``of(key)`` for keys in use, at most ``2 * entries`` of them.
+
+    When full, what it holds becomes the older generation, from which keys in use return.
+    """
 
     def __init__(self, of, entries: int = MEMO_ENTRIES):
         super().__init__()
-        self.of, self.entries = of, entries
+        self.of, self.entries, self.older = of, entries, {}
 
     def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.of(key)
         if len(self) >= self.entries:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.of(key)
+        self[key] = value
         return value
 
 

@@ -23,19 +23,18 @@ import zlib
 from bisect import insort
 from collections import defaultdict
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriparity.llm.common import as_bytes, slices, texts_of
+from veriparity.llm.common import Memo, as_bytes, slices, texts_of
 from veriparity.session import cut_lineage
 
 CAPACITY = 4096
 END_ID = 2
-MEMO_WORDS = 250_000
+MEMO_WORDS = 600_000  # of a generation; about 120 MB
 
 
 def default_tokenizer() -> str:
@@ -60,19 +59,23 @@ class WordTokens:
     """
 
     def __init__(self, path: str | None):
-        self.tokenizer, self.memo = loaded(path), {}
+        tokenizer = loaded(path)
+        self.kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+
+        def packed(word: bytes) -> bytes:
+            return np.array(tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.kind).tobytes()
+
+        self.memo = Memo(packed, MEMO_WORDS)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        words = [x.split() for x in texts]
-        wanted = set(chain.from_iterable(words))
-        new = wanted - self.memo.keys()
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo, new = {}, wanted
-        new = list(new)
-        found = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        self.memo.update((w, tuple(e.ids)) for w, e in zip(new, found, strict=True))
         get = self.memo.__getitem__
-        return [np.fromiter(chain.from_iterable(map(get, w)), np.uint32) for w in words]
+        return [np.frombuffer(b"".join(map(get, x.split())), self.kind).astype(np.uint32) for x in texts]
+
+
+@lru_cache(1)
+def word_tokens(path: str | None) -> WordTokens:
+    """One memory per Python worker, which lives on from task to task."""
+    return WordTokens(path)
 
 
 PIECE = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
@@ -82,7 +85,7 @@ def pieces_of(docs: DataFrame, capacity: int, tokenizer: str | None, keep_ids: b
     """Every document's ids, the end id included, cut into pieces of ``capacity`` and a remainder."""
 
     def run(batches):
-        tokens = WordTokens(tokenizer)
+        tokens = word_tokens(tokenizer)
         for part in slices(batches):
             rows = defaultdict(list)
             encoded = tokens.encode(as_bytes(part["text"]))
