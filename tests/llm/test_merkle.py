@@ -33,7 +33,7 @@ def test_insertions_shift_nothing():
 def test_texts_of_different_size_are_compared():
     long = "\n".join([TEXT.replace("w", f"v{i}") for i in range(30)])
     assert fp(long).split(":")[1] != fp(TEXT).split(":")[1]
-    assert merkle.likeness(fp(long), fp(long + "\n" + TEXT)) > 0.8
+    assert merkle.likeness(fp(long), fp(long + "\n" + TEXT)) > 0.7
     assert merkle.likeness(fp(long), fp(TEXT)) < 0.1
 
 

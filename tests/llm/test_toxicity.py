@@ -1,4 +1,5 @@
 import random
+from math import log
 
 from pyspark.sql import functions as F
 
@@ -38,8 +39,9 @@ def test_scores_and_neutral_mentions(spark):
         return {r["doc_id"]: r["score"] for r in rows}
     plain, fair = scores(0.0), scores(500.0)
     assert fair[1002] > 0.7 and all(0 <= s <= 1 for s in fair.values())
-    assert plain[1000] - plain[1001] > 0.1
-    assert abs(fair[1000] - fair[1001]) < 0.3 * (plain[1000] - plain[1001])
+    gap = lambda s: log(s[1000] / (1 - s[1000])) - log(s[1001] / (1 - s[1001]))
+    assert gap(plain) > 0.5  # without the penalty one group counts as toxic
+    assert abs(gap(fair)) < 0.3 * gap(plain)
     assert fair[1003] == fair[1004]
     right = sum((fair[i] >= 0.5) == (i % 4 == 0) for i in range(600))
     assert right > 570

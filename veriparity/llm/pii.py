@@ -37,7 +37,9 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL_REST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?::[0-9]+)?(?:[/?#][^\s<>\"']*)?")
 SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
-ACCOUNT = re.compile(r"(?:\s?(?:number|num|no|nr|nummer|id))?[.\x20:#=]{1,4}([A-Za-z0-9](?:[-\x20]?[A-Za-z0-9]){5,33})", re.I)
+# groups of an identifier hold a digit, or are the four capitals of a bank
+GROUP = r"(?:[A-Za-z0-9]{0,33}[0-9][A-Za-z0-9]{0,33}|[A-Z]{4})"
+ACCOUNT = re.compile(r"(?i:\s?(?:number|num|no|nr|nummer|id))?[.\x20:#=]{1,4}(" + GROUP + r"(?:[-\x20]" + GROUP + r"){0,16})(?![A-Za-z0-9])")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
 
 SCHEMA = (
@@ -99,12 +101,7 @@ def account(text: str, at: int, last: int) -> tuple[int, int, bool] | None:
     m = ACCOUNT.match(text, at)
     if not m:
         return None
-    found = m[1]
-    words = found.split(" ")
-    while len(words) > 1 and not any(c.isdigit() for c in words[-1]):  # prose behind the identifier
-        words.pop()
-    found = " ".join(words)
-    start = m.start(1)
+    found, start = m[1], m.start(1)
     compact = found.replace(" ", "").replace("-", "")
     valid = len(only_digits(found)) >= 4 and len(compact) >= 6
     if IBAN.fullmatch(compact):
