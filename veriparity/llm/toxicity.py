@@ -51,7 +51,7 @@ SWAP = {term: group[(i + 1) % len(group)] for group in IDENTITY_GROUPS for i, te
 class Fit:
     """Settings of the fit; ``sample_rows`` bounds the labelled rows it sees."""
 
-    sample_rows: int = 12_000
+    sample_rows: int = 8_000
     features: int = 1_024
     least_rows: int = 6
     ridge: float = 0.2
@@ -123,10 +123,9 @@ def collect_sample(docs: DataFrame, labels: DataFrame, training: Column, fit: Fi
 class Rows:
     """Sparse rows of 0/1 features, over the chosen features only."""
 
-    def __init__(self, lists: list, index: np.ndarray):
-        sizes = np.array([len(x) for x in lists], np.int64)
-        flat = np.concatenate([np.asarray(x, np.int64) for x in lists]) if len(lists) else np.zeros(0, np.int64)
-        column, row = index[flat], np.repeat(np.arange(len(lists)), sizes)
+    def __init__(self, lists: pa.ListArray, index: np.ndarray):
+        column = index[np.asarray(lists.flatten())]
+        row = np.repeat(np.arange(len(lists), dtype=np.int32), np.asarray(lists.value_lengths()))
         self.column, self.row, self.n = column[column >= 0], row[column >= 0], len(lists)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
@@ -159,21 +158,20 @@ def fitted(sample: pa.Table, fit: Fit) -> tuple[np.ndarray, np.ndarray, float]:
     none = np.zeros(0, np.int64), np.zeros(0), -np.inf
     if not 0 < y.sum() < len(y):
         return none
-    own = sample["own"].to_pylist()
-    seen = np.concatenate([np.asarray(x, np.int64) for x in own])
-    labels = np.repeat(y, [len(x) for x in own])
+    own = sample["own"].combine_chunks()
+    seen, labels = np.asarray(own.flatten()), np.repeat(y, np.asarray(own.value_lengths()))
     n, hit = np.bincount(seen, minlength=1 << SPACE_BITS), np.bincount(seen, labels, 1 << SPACE_BITS)
     gap = hit / y.sum() - (n - hit) / (len(y) - y.sum())
     z = np.abs(gap) / np.sqrt(np.maximum(n, 1) / len(y))
     z[n < fit.least_rows] = 0
     chosen = np.sort(np.argsort(-z, kind="stable")[: fit.features])
     chosen = chosen[z[chosen] > 0]
-    index = np.full(1 << SPACE_BITS, -1)
+    index = np.full(1 << SPACE_BITS, -1, np.int32)
     index[chosen] = np.arange(len(chosen))
+    del seen, labels
     k = len(chosen)
     x = Rows(own, index)
-    pairs = [[p for row in sample[c].to_pylist() for p in row] for c in ("before", "after")]
-    before, after = (Rows(p, index) for p in pairs)
+    before, after = (Rows(sample[c].combine_chunks().flatten(), index) for c in ("before", "after"))
 
     def curvature(v: np.ndarray, p: np.ndarray) -> np.ndarray:
         """The Hessian of the penalised loss times a vector; the last entry is the intercept's."""
