@@ -97,3 +97,18 @@ def test_a_length_that_all_share(spark):
     rows = spark.range(500).selectExpr("id AS doc_id", "'same text here' AS text")
     got = packing.pack_documents(rows, capacity=64, keep_ids=False).collect()
     assert check(got, {i: ["same text here"] for i in range(500)}, 64) > 0.9
+
+
+def test_batches_that_begin_inside_a_run_of_equal_lengths(spark, documents, texts):
+    repeats = [(1000 + i, " ".join(["same"] * (1 + i // 7))) for i in range(70)]  # runs of 7 pieces in batches of 3
+    rows = documents.select("doc_id", "text").union(spark.createDataFrame(repeats, "doc_id long, text string"))
+    expected = {i * 3 + 1: [t or ""] for i, t in enumerate(texts)} | {i: [t] for i, t in repeats}
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        for capacity in (64, 4096):
+            check(packing.pack_documents(rows, capacity=capacity, keep_ids=False).collect(), expected, capacity)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)

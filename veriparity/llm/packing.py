@@ -176,9 +176,9 @@ def pack_documents(
         for batch in batches:
             lengths = batch["length"].to_numpy()
             starts = np.flatnonzero(np.diff(lengths, prepend=length))
-            nth = np.arange(batch.num_rows) - np.repeat(starts, np.diff(np.append(starts, batch.num_rows))) if len(starts) else np.arange(batch.num_rows) + seen
-            if len(starts) and starts[0] > 0:
-                nth = np.concatenate([np.arange(starts[0]) + seen, nth])
+            head = int(starts[0]) if len(starts) else batch.num_rows  # rows that go on with the run before
+            tail = np.arange(head, batch.num_rows) - np.repeat(starts, np.diff(np.append(starts, batch.num_rows)))
+            nth = np.concatenate([np.arange(head) + seen, tail])
             length, seen = int(lengths[-1]) if batch.num_rows else length, int(nth[-1]) + 1 if batch.num_rows else seen
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([piece_range] * batch.num_rows, pa.int32()), pa.array(nth, pa.int64())],
