@@ -76,6 +76,18 @@ def test_cycles_end():
     assert secret_scan.secrets_in(text)[2] < 20
 
 
+@pytest.mark.parametrize("layers", [["url"], ["unicode"], ["entity"], ["base64"], ["gzip"], ["base64", "url"], ["gzip", "base64"]])
+def test_equal_runs_are_found_in_every_place(layers):
+    hidden = f"here {SECRET} there"
+    for kind in layers:
+        hidden = wrap(kind, hidden)
+    text = f"first {hidden} second {hidden} third"
+    spans = [(start, end) for start, kind, end, _ in secret_scan.secrets_in(text)[1] if kind == 0]
+    for at in (text.index(hidden), text.rindex(hidden)):
+        assert any(at <= start < end <= at + len(hidden) for start, end in spans)
+    assert secret_scan.masked(text, "[mask]").count("[mask]") == 2
+
+
 def test_find_secrets(spark, documents, odd_documents, no_documents, texts):
     got = {r["doc_id"]: r for r in secret_scan.find_secrets(documents).collect()}
     assert len(got) == len(texts)

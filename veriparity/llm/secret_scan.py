@@ -1,10 +1,12 @@
 """Secret scan by a recursive decoding worklist.
 
 The whole text is layer 0.  Every layer is scanned by the same three patterns;
-then each run that looks URL-escaped, Unicode-escaped or base64-coded is
-decoded (and decompressed, if it holds a compressed stream) into a layer of its
-own.  The worklist runs until no new layer appears; a layer whose content was
-seen before is dropped, which ends cycles.  Every character of a layer knows
+then its URL escapes and its Unicode escapes are decoded in place, each kind
+into a layer that is whole but for them, so that a key and its escaped value stay
+together, and each base64 run is decoded (and decompressed, if it holds a
+compressed stream) into a layer of its own.  The worklist runs until no new layer appears; a layer with the content and
+the place of an earlier one is dropped, which ends cycles, while equal runs in
+other places have layers of their own.  Every character of a layer knows
 the span of the original text it came from, so a finding in any layer is
 reported as a span of the original, in code points.
 
@@ -39,9 +41,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the greedy run is the whole run, so the least length can be asked at once
 ASSIGN_MIN, ACCESS_MIN = 6, 20
 
-URL_RUN = re.compile(r"[^\s%]{0,256}(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
 URL_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE_RUN = re.compile(r"[^\s\\&]{0,256}(?:(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#x[0-9A-Fa-f]{1,6};)[^\s\\&]*)+")
 UNICODE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#x([0-9A-Fa-f]{1,6});")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 MAGIC = ((b"\x1f\x8b", gzip.decompress), (b"BZh", bz2.decompress), (b"\xfd7zXZ", lzma.decompress),
@@ -81,6 +81,12 @@ class Layer:
             return lo, lo + 1
         return self.lo[start:end], self.hi[start:end]
 
+    def key(self) -> bytes:
+        """Tells layers apart that differ in their text or in the places of its characters."""
+        lo, hi = self.borders(0, len(self.text))
+        parts = (self.text.encode("utf-8", "surrogatepass"), lo.astype(np.int64).tobytes(), hi.astype(np.int64).tobytes())
+        return hashlib.blake2b(b"".join(parts), digest_size=16).digest()
+
 
 def readable(data: bytes) -> str | None:
     """The bytes as text, if they are UTF-8 without control characters (white space is fine)."""
@@ -106,24 +112,30 @@ def inflated(data: bytes) -> bytes | None:
     return None
 
 
-def replaced(layer: Layer, start: int, end: int, escape: re.Pattern, decode) -> Layer | None:
-    """The run [start, end) with its escapes decoded."""
-    run = layer.text[start:end]
-    lo, hi = layer.borders(start, end)
-    text, los, his, at = [], [], [], 0
-    for m in escape.finditer(run):
+def replaced(layer: Layer, escape: re.Pattern, decode) -> Layer | None:
+    """The whole layer with its escapes decoded."""
+    text, parts, starts, ends, widths, at = layer.text, [], [], [], [], 0
+    for m in escape.finditer(text):
         part = decode(m)
         if part is None:
             continue
-        text += [run[at : m.start()], part]
-        los += [lo[at : m.start()], np.full(len(part), lo[m.start() : m.end()].min())]
-        his += [hi[at : m.start()], np.full(len(part), hi[m.start() : m.end()].max())]
+        parts += [text[at : m.start()], part]
         at = m.end()
+        starts.append(m.start())
+        ends.append(at)
+        widths.append(len(part))
     if not at:
         return None
-    return Layer(
-        "".join(text) + run[at:], np.concatenate([*los, lo[at:]]), np.concatenate([*his, hi[at:]]), layer.depth + 1
-    )
+    edge = np.zeros(len(text) + 1, np.int64)
+    edge[starts] += 1
+    edge[ends] -= 1
+    repeats = 1 - np.cumsum(edge)[:-1]  # 0 inside escapes
+    repeats[starts] = widths
+    last = np.arange(len(text))
+    last[starts] = np.array(ends) - 1
+    first = np.repeat(np.arange(len(text)), repeats)
+    lo, hi = layer.borders(0, len(text))
+    return Layer("".join(parts) + text[at:], lo[first], hi[last[first]], layer.depth + 1)
 
 
 def percent(m: re.Match) -> str | None:
@@ -168,9 +180,9 @@ def unwrapped(layer: Layer):
     """Every layer that lies one decoding step below."""
     text = layer.text
     if "%" in text:
-        yield from (replaced(layer, *m.span(), URL_ESCAPE, percent) for m in URL_RUN.finditer(text))
+        yield replaced(layer, URL_ESCAPE, percent)
     if "\\" in text or "&#" in text:
-        yield from (replaced(layer, *m.span(), UNICODE_ESCAPE, escaped) for m in UNICODE_RUN.finditer(text))
+        yield replaced(layer, UNICODE_ESCAPE, escaped)
     yield from (unpacked(layer, *m.span()) for m in BASE64_RUN.finditer(text))
 
 
@@ -178,13 +190,14 @@ def secrets_in(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
     """Findings of layer 0, findings of all layers with the depth of the first, and the number of layers."""
     base = scan(text)
     every = {x: 0 for x in base}
-    work, seen = [Layer(text)], {text}
+    work = [Layer(text)]
+    seen = {work[0].key()}
     while work:
         layer = work.pop()
         for below in unwrapped(layer):
-            if below is None or below.text in seen:
+            if below is None or (key := below.key()) in seen:
                 continue
-            seen.add(below.text)
+            seen.add(key)
             work.append(below)
             for start, kind, end in scan(below.text):
                 lo, hi = below.origin(start, end)
