@@ -88,6 +88,17 @@ def test_equal_runs_are_found_in_every_place(layers):
     assert secret_scan.masked(text, "[mask]").count("[mask]") == 2
 
 
+@pytest.mark.parametrize("text, end", [
+    ("token=" + "a" * 300 + "%2F" + "b" * 40 + " x", " x"),
+    ("token=" + "a" * 300 + "\\u002F" + "b" * 40 + " x", " x"),
+    ("see token=" + "a1-" * 400 + "%2E" + "c" * 400 + "%2E" + "d" * 400 + "\nx", "\nx"),
+])
+def test_long_runs_before_an_escape(text, end):
+    start = text.index("token")
+    assert (start, 0, len(text) - len(end)) in [x[:3] for x in secret_scan.secrets_in(text)[1]]
+    assert secret_scan.masked(text, "#") == text[:start] + "#" + end
+
+
 def test_find_secrets(spark, documents, odd_documents, no_documents, texts):
     got = {r["doc_id"]: r for r in secret_scan.find_secrets(documents).collect()}
     assert len(got) == len(texts)
