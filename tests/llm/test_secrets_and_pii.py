@@ -99,6 +99,48 @@ def test_long_runs_before_an_escape(text, end):
     assert secret_scan.masked(text, "#") == text[:start] + "#" + end
 
 
+def first_secret(text):
+    return [text[start:end] for start, kind, end, _ in secret_scan.secrets_in(text)[1] if kind == 0]
+
+
+@pytest.mark.parametrize("kind", ["url", "unicode", "entity"])
+@pytest.mark.parametrize("key", ['{"password": "%s"}', "secret = %s end", "token: ab%s", "a line\nApi_Key : '%s'"])
+def test_escaped_values_behind_a_plain_key(key, kind):
+    hidden = wrap(kind, "hunter2hunter")
+    text = key % hidden
+    found = first_secret(text)
+    assert any(hidden in x for x in found)
+    assert hidden[3:] not in secret_scan.masked(text, "#")
+
+
+def lines(coded, width, joint="\n"):
+    return joint.join(coded[i : i + width] for i in range(0, len(coded), width))
+
+
+@pytest.mark.parametrize("kind", ["base64", "gzip", "zlib"])
+@pytest.mark.parametrize("width", [64, 76])
+@pytest.mark.parametrize("joint", ["\n", "\r\n", "\n    ", "\\n"])
+def test_base64_over_lines(kind, width, joint):
+    rest = hashlib.sha256(b"x").hexdigest().replace("0", "g") * 3
+    plain = "".join(chr(33 + i * 37 % 90) for i in range(width * 3 // 4 - 9)) + " " + SECRET + " " + rest
+    coded = lines(wrap(kind, plain), width, joint)
+    for text in (f"key: x\n{coded}\nmore words", f"a long_name_of_a_file_here\n{coded}", f"before {coded} after"):
+        found = [(s, e) for s, k, e, d in secret_scan.secrets_in(text)[1] if k == 0 and d]
+        start = text.index(coded)
+        assert any(start <= s < e <= start + len(coded) and joint in text[s:e] for s, e in found)
+
+
+@pytest.mark.parametrize("kind", ["base64", "gzip", "zlib"])
+@pytest.mark.parametrize("before", ["/srv/a/", "name_", "x-y-", "ab/cde_f-", "abc+"])
+@pytest.mark.parametrize("after", ["", "/etc", "_x-y"])
+def test_base64_joined_to_names(kind, before, after):
+    coded = wrap(kind, f"here {SECRET} there").rstrip("=")
+    text = f"see {before}{coded}{after} end"
+    found = [(s, e) for s, k, e, d in secret_scan.secrets_in(text)[1] if k == 0 and d]
+    start = text.index(coded)
+    assert any(start <= s < e <= start + len(coded) for s, e in found)
+
+
 def test_find_secrets(spark, documents, odd_documents, no_documents, texts):
     got = {r["doc_id"]: r for r in secret_scan.find_secrets(documents).collect()}
     assert len(got) == len(texts)

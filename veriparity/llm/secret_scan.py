@@ -3,8 +3,9 @@
 The whole text is layer 0.  Every layer is scanned by the same three patterns;
 then its URL escapes and its Unicode escapes are decoded in place, each kind
 into a layer that is whole but for them, so that a key and its escaped value stay
-together, and each base64 run is decoded (and decompressed, if it holds a
-compressed stream) into a layer of its own.  The worklist runs until no new layer appears; a layer with the content and
+together, and each base64 run, alone and with the lines it goes on in, is decoded
+from each of its four phases (a path or a name may stand before the coded part)
+into layers of the readable stretches and of the compressed streams.  The worklist runs until no new layer appears; a layer with the content and
 the place of an earlier one is dropped, which ends cycles, while equal runs in
 other places have layers of their own.  Every character of a layer knows
 the span of the original text it came from, so a finding in any layer is
@@ -17,10 +18,8 @@ and carried unchanged by ``redact_secrets``.
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
-import gzip
 import hashlib
 import lzma
 import re
@@ -44,8 +43,16 @@ ASSIGN_MIN, ACCESS_MIN = 6, 20
 URL_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#x([0-9A-Fa-f]{1,6});")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-MAGIC = ((b"\x1f\x8b", gzip.decompress), (b"BZh", bz2.decompress), (b"\xfd7zXZ", lzma.decompress),
-         (b"\x28\xb5\x2f\xfd", lambda x: zstandard.ZstdDecompressor().decompressobj().decompress(x)))
+BASE64_NEXT = re.compile(r"[ \t]*(?:\r\n?|\n|(?:\\r)?\\n)[ \t>|#*]*([A-Za-z0-9+/_-]+)")
+BASE64_START = re.compile(r"[+/_-]")  # a coded part may begin behind it
+ALPHABET = str.maketrans("-_", "+/")
+READABLE = re.compile(
+    rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}"
+    rb"|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){12,}"
+)  # UTF-8 of 12 characters, the least that a finding or a further layer has
+MAGIC = ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ", lzma.LZMADecompressor),
+         (b"\x28\xb5\x2f\xfd", lambda: zstandard.ZstdDecompressor().decompressobj()))
+HEADS = {magic[:2] for magic, _ in MAGIC}
 
 SCHEMA = (
     "doc_id long, n_assign long, n_access long, n_hex long, n_layers long, base_sha256 string, spans string, "
@@ -97,18 +104,25 @@ def readable(data: bytes) -> str | None:
     return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
 
 
-def inflated(data: bytes) -> bytes | None:
-    for magic, inflate in MAGIC:
-        if data.startswith(magic):
+def inflated(data: bytes) -> tuple[bytes, int] | None:
+    """What the compressed streams at the start of the data hold, and the number of bytes they take."""
+    for magic, stream in (*MAGIC, (b"", zlib.decompressobj)):
+        if not data.startswith(magic) or not magic and not (len(data) > 2 and data[0] & 0x0F == 8 and (data[0] << 8 | data[1]) % 31 == 0):
+            continue
+        out, rest = [], data
+        while rest and rest.startswith(magic):
             try:
-                return inflate(data)
+                one = stream()
+                more = one.decompress(rest)
             except (OSError, EOFError, zlib.error, lzma.LZMAError, zstandard.ZstdError, ValueError):
-                return None
-    if len(data) > 2 and data[0] & 0x0F == 8 and (data[0] << 8 | data[1]) % 31 == 0:
-        try:
-            return zlib.decompress(data)
-        except zlib.error:
-            return None
+                break
+            if not one.eof:
+                break
+            out.append(more)
+            rest = one.unused_data
+            if not magic:
+                break
+        return (b"".join(out), len(data) - len(rest)) if out else None
     return None
 
 
@@ -150,30 +164,70 @@ def escaped(m: re.Match) -> str | None:
     return chr(code) if code < 0xD800 or 0xE000 <= code < 0x110000 else None
 
 
-def unpacked(layer: Layer, start: int, end: int) -> Layer | None:
-    """The base64 run [start, end) decoded, and decompressed while it holds a compressed stream."""
-    run = layer.text[start:end]
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
-    lo, hi = layer.borders(start, end)
-    whole, seen = False, set()
-    while (more := inflated(data)) is not None and more not in seen:
-        seen.add(more)
-        data, whole = more, True
-    text = readable(data)
-    if text is None:
-        return None
-    if whole:
-        return Layer(text, np.full(len(text), lo.min()), np.full(len(text), hi.max()), layer.depth + 1)
-    widths = np.array([len(c.encode()) for c in text])
-    first = np.cumsum(widths) - widths
-    last = first + widths - 1
-    return Layer(text, lo[first * 8 // 6], hi[np.minimum((last * 8 + 7) // 6, len(body) - 1)], layer.depth + 1)
+def chains(text: str):
+    """Spans of base64 text: every run alone, then runs with the lines of base64 that follow.
+
+    Lines go on while they are no shorter than the one before; only the first may be shorter than the second,
+    as text may stand before it.
+    """
+    past = 0
+    for m in BASE64_RUN.finditer(text):
+        yield [m.span()]
+        if m.start() < past or text[m.end() - 1] == "=":
+            continue
+        spans = [m.span()]
+        while more := BASE64_NEXT.match(text, spans[-1][1]):
+            size, before = more.end(1) - more.start(1), spans[-1][1] - spans[-1][0]
+            if len(spans) > 1 and size > before:
+                break
+            spans.append(more.span(1))
+            if size < before:
+                break
+        if len(spans) > 1:
+            past = spans[-1][0]  # the last line may be the first one of another width
+            yield spans
+
+
+def unpacked(layer: Layer, spans: list[tuple[int, int]]):
+    """Layers of the readable stretches of a base64 text and of the compressed streams in it."""
+    runs = [layer.text[start:end].rstrip("=").translate(ALPHABET) for start, end in spans]
+    body, borders = "".join(runs), []
+
+    def origin() -> tuple[np.ndarray, np.ndarray]:
+        if not borders:
+            sides = [layer.borders(start, start + len(run)) for (start, _), run in zip(spans, runs, strict=True)]
+            borders.extend(np.concatenate(x) for x in zip(*sides, strict=True))
+            borders[1][-1] = layer.borders(spans[-1][0], spans[-1][1])[1][-1]  # the padding belongs to the last
+        return borders
+
+    begins = {0, *(m.end() for m in BASE64_START.finditer(body)), *np.cumsum([len(x) for x in runs[:-1]]).tolist()}
+    for phase in range(4):
+        coded = body[phase:]
+        coded = coded[: len(coded) - (len(coded) % 4 == 1)]
+        data = binascii.a2b_base64(coded + "=" * (-len(coded) % 4))
+        for m in READABLE.finditer(data):
+            text = m[0].decode()
+            widths = np.array([len(c.encode()) for c in text])
+            first = m.start() + np.cumsum(widths) - widths
+            lo, hi = origin()
+            at_hi = phase + ((first + widths - 1) * 8 + 7) // 6
+            yield Layer(text, lo[phase + first * 8 // 6], hi[np.minimum(at_hi, len(body) - 1)], layer.depth + 1)
+        for begin in sorted(x for x in begins if x % 4 == phase):
+            at = (begin - phase) // 4 * 3
+            head = data[at : at + 2]
+            if head not in HEADS and not (len(head) == 2 and head[0] & 0x0F == 8 and (head[0] << 8 | head[1]) % 31 == 0):
+                continue
+            if (more := inflated(data[at:])) is None:
+                continue
+            (inner, used), seen = more, set()
+            while (more := inflated(inner)) is not None and more[0] not in seen:
+                seen.add(more[0])
+                inner = more[0]
+            if (text := readable(inner)) is None:
+                continue
+            lo, hi = origin()
+            last = min(phase + ((at + used - 1) * 8 + 7) // 6, len(body) - 1)
+            yield Layer(text, np.full(len(text), lo[begin]), np.full(len(text), hi[last]), layer.depth + 1)
 
 
 def unwrapped(layer: Layer):
@@ -183,7 +237,8 @@ def unwrapped(layer: Layer):
         yield replaced(layer, URL_ESCAPE, percent)
     if "\\" in text or "&#" in text:
         yield replaced(layer, UNICODE_ESCAPE, escaped)
-    yield from (unpacked(layer, *m.span()) for m in BASE64_RUN.finditer(text))
+    for spans in chains(text):
+        yield from unpacked(layer, spans)
 
 
 def secrets_in(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]], int]:
