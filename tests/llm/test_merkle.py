@@ -37,6 +37,37 @@ def test_texts_of_different_size_are_compared():
     assert merkle.likeness(fp(long), fp(TEXT)) < 0.1
 
 
+def long_text(joint):
+    """20 000 words, and a copy with every fiftieth word changed."""
+    words = [f"w{i * i % 7919}" for i in range(20_000)]
+    changed = ["new" if i % 50 == 25 else w for i, w in enumerate(words)]
+    return [joint.join(" ".join(x[i : i + 40]) for i in range(0, len(x), 40)) for x in (words, changed)]
+
+
+def test_long_near_copies_are_alike():
+    for joint in (" ", "\n"):
+        text, changed = long_text(joint)
+        # a word lies in a leaf of about 16 words, so 0.68 of the text is in equal leaves: 0.68 / 1.32 = 0.52
+        assert 0.45 < merkle.likeness(fp(text), fp(changed)) < 0.6
+        short = [" ".join(x.split()[:1000]) for x in (text, changed)]
+        assert abs(merkle.likeness(*map(fp, short)) - merkle.likeness(fp(text), fp(changed))) < 0.15
+        ranges = merkle.differing(fp(text), fp(changed))
+        assert len(ranges) > 200 and sum(end - start for start, end in ranges) < len(text) / 2
+
+
+def test_edits_in_long_texts_are_located_by_leaf_paragraph_and_section():
+    text = long_text("\n")[0]
+    lines = text.split("\n")
+    lines[300] = lines[300][:50] + "X" + lines[300][51:]
+    start = len("\n".join(lines[:300])) + 1
+    end = start + len(lines[300]) + 1
+    found = [merkle.differing(fp(text), fp("\n".join(lines)), level) for level in (merkle.LEAVES, merkle.PARAGRAPHS, merkle.SECTIONS)]
+    assert found[1] == [(start, end)]
+    (leaf,), (section,) = found[0], found[2]
+    assert start <= leaf[0] <= start + 50 < leaf[1] <= end and leaf[1] - leaf[0] < end - start
+    assert section[0] <= start and end <= section[1] and section[1] - section[0] < len(text) / 10
+
+
 def brute(rows):
     ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
     out = []

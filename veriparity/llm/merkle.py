@@ -7,14 +7,11 @@ texts.  Below the paragraphs lie leaves of a few words, cut behind words whose
 hash says so.  All cuts depend on the words beside them alone: an edit changes
 the leaves it touches and the nodes above them, and nothing else.
 
-Every cut has a level, and nodes of a level reach to the next cut of that level
-or a higher one, so the nodes of a coarse level follow from those of a finer one.
-A fingerprint is ``root:level:node,node,...:word,word,...`` with the nodes of the
-finest level that has at most ``MAX_NODES``, each as ``name.cut.bytes``, and the
-words of texts that have at most ``MAX_WORDS``.  Two fingerprints are compared by
-their words if both list them, else at the coarser of their levels, by the share
-of bytes in nodes that both hold; ``differing`` lists the byte ranges of the other
-nodes, which locates edits.
+A fingerprint is ``root:leaves:leaf,leaf,...:word,word,...`` with the number of leaves, every leaf of the text as
+``name.ends.bytes``, and the words of texts that have at most ``MAX_WORDS``.  ``ends`` tells whether a paragraph (1) or
+a section (2) ends behind the leaf, so the nodes of paragraphs and sections follow from the leaves.  Two fingerprints
+are compared by their words if both list them, else by the share of bytes in leaves that both hold; ``differing``
+lists the byte ranges of the other leaves, paragraphs or sections, which locates edits.
 
 Cases: a null or empty text has a tree without nodes; repeated rows get equal
 fingerprints; an empty table gives an empty table; other columns are ignored.
@@ -36,30 +33,21 @@ from pyspark.sql import functions as F
 from veriparity.llm.common import Memo, slices, texts_of
 
 LEAF_WORDS = 8  # expected words of a leaf
-GROUPING = 4  # expected nodes in a node of the next level
-MAX_NODES = 128
 MAX_WORDS = 32
-MAX_LEVEL = 24
 SECTION = 4  # expected paragraphs of a section
 NO_ID = -(2**63)
+LEAVES, PARAGRAPHS, SECTIONS = range(3)
 
 WORD = re.compile(rb"[^ \t-\r]*[ \t-\r]+|[^ \t-\r]+")
 
-Node = tuple[int, int, int]  # name, level of the cut behind it, bytes
+Node = tuple[int, int, int]  # name, what ends behind it, bytes
+Tree = tuple[str, list[Node], list[Node]]  # root, leaves, words
 
 
 def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def trailing(value: int) -> int:
-    level = 0
-    while value % GROUPING == 0 and level < MAX_LEVEL:
-        value = value // GROUPING or 1
-        level += 1
-    return level
-
-
 def cut_words() -> Memo:
     """Tells the words behind which a leaf ends."""
     return Memo(lambda word: xxhash.xxh3_64_intdigest(word.rstrip()) % LEAF_WORDS == 0)
@@ -71,85 +59,98 @@ def paragraphs(text: bytes) -> list[bytes]:
     return [x + b"\n" for x in lines] + ([last] if last else [])
 
 
-def leaves(paragraph: bytes, ends: Memo) -> list[Node]:
+def leaves(paragraph: bytes, ends: Memo) -> tuple[bytes, list[Node]]:
+    """Hash and leaves of a paragraph."""
     out, start, at = [], 0, 0
     for word in WORD.findall(paragraph):
         at += len(word)
-        if ends[word] or at == len(paragraph):
-            name = xxhash.xxh3_64_intdigest(paragraph[start:at])
-            out.append((name, trailing(name >> 8), at - start))
+        if ends[word]:
+            out.append((xxhash.xxh3_64_intdigest(paragraph[start:at]), 0, at - start))
             start = at
-    name, cut, size = out[-1]
-    out[-1] = name, max(cut, 1 + trailing(xxhash.xxh3_64_intdigest(paragraph) >> 8)), size
-    return out
+    if start < at:
+        out.append((xxhash.xxh3_64_intdigest(paragraph[start:at]), 0, at - start))
+    name = digest(paragraph)
+    last, _, size = out[-1]
+    out[-1] = last, PARAGRAPHS if name[0] % SECTION else SECTIONS, size
+    return name, out
 
 
 def parents(nodes: list[Node], level: int) -> list[Node]:
+    """Nodes that reach to the next end of that level."""
     out, names, size = [], b"", 0
-    for name, cut, n in nodes:
+    for name, ends, n in nodes:
         names += name.to_bytes(8, "big")
         size += n
-        if cut >= level:
-            out.append((xxhash.xxh3_64_intdigest(names), cut, size))
+        if ends >= level:
+            out.append((xxhash.xxh3_64_intdigest(names), ends, size))
             names, size = b"", 0
     if names:
         out.append((xxhash.xxh3_64_intdigest(names), 0, size))
     return out
 
 
-def fingerprint(text: bytes, ends: Memo) -> str:
+def tree(text: bytes, ends: Memo) -> Tree:
     nodes, root, section = [], hashlib.blake2b(digest_size=16), b""
     for paragraph in paragraphs(text):
-        nodes += leaves(paragraph, ends)
-        name = digest(paragraph)
+        name, more = leaves(paragraph, ends)
+        nodes += more
         section += name
         if name[0] % SECTION == 0:
             root.update(digest(section))
             section = b""
     root.update(digest(section))
-    level = 0
-    while len(nodes) > MAX_NODES and level < MAX_LEVEL:
-        level += 1
-        nodes = parents(nodes, level)
     words = text.split() if len(text) < 32 * MAX_WORDS else ()
     words = [(xxhash.xxh3_64_intdigest(w) >> 32, 0, len(w)) for w in words] if len(words) <= MAX_WORDS else []
-    return f"{root.hexdigest()}:{level}:{written(nodes)}:{written(words)}"
+    return root.hexdigest(), nodes, words
 
 
-def written(nodes: list[Node]) -> str:
-    return ",".join(f"{name:x}.{cut:x}.{n:x}" for name, cut, n in nodes)
+def printed(t: Tree) -> str:
+    root, nodes, words = t
+    return f"{root}:{len(nodes)}:{written(nodes)}:{written(words)}"
+
+
+def fingerprint(text: bytes, ends: Memo) -> str:
+    return printed(tree(text, ends))
 
 
-def parsed(fp: str) -> tuple[int, list[Node], list[Node]]:
-    _, level, nodes, words = fp.split(":")
-    nodes, words = ([tuple(int(x, 16) for x in n.split(".")) for n in part.split(",") if n] for part in (nodes, words))
-    return int(level), nodes, words
+def written(nodes: list[Node]) -> str:
+    return ",".join(["%x.%x.%x" % node for node in nodes])
 
 
-def aligned(a: str, b: str) -> tuple[list[Node], list[Node]]:
-    """The nodes of both at the coarser of the two levels."""
-    (la, na, _), (lb, nb, _) = parsed(a), parsed(b)
-    for level in range(min(la, lb) + 1, max(la, lb) + 1):
-        na, nb = (parents(na, level), nb) if la < lb else (na, parents(nb, level))
-    return na, nb
+def parsed(fp: str) -> Tree:
+    root, _, *parts = fp.split(":")
+    nodes, words = ([tuple(int(x, 16) for x in n.split(".")) for n in part.split(",") if n] for part in parts)
+    return root, nodes, words
 
 
 def likeness(a: str, b: str) -> float:
     """Shared bytes over all bytes of the nodes of both, from 0 to 1; 1 if the roots are equal."""
-    if a.partition(":")[0] == b.partition(":")[0]:
+    return 1.0 if a.partition(":")[0] == b.partition(":")[0] else tree_likeness(parsed(a), parsed(b))
+
+
+def tree_likeness(a: Tree, b: Tree) -> float:
+    if a[0] == b[0]:
         return 1.0
-    words = parsed(a)[2], parsed(b)[2]
-    na, nb = Counter(), Counter()
-    for nodes, counts in zip(words if all(words) else aligned(a, b), (na, nb), strict=True):
-        for name, _, n in nodes:
-            counts[name] += n
-    every = sum((na | nb).values())
-    return sum((na & nb).values()) / every if every else 0.0
-
-
-def differing(a: str, b: str) -> list[tuple[int, int]]:
-    """Byte ranges of the first text in nodes that the second one lacks."""
-    na, nb = aligned(a, b)
+    na, nb = (a[2], b[2]) if a[2] and b[2] else (a[1], b[1])
+    left, every, shared = {}, 0, 0
+    for name, _, n in na:
+        left[name] = left.get(name, 0) + n
+        every += n
+    for name, _, n in nb:
+        every += n
+        if (there := left.get(name, 0)) > 0:
+            both = min(there, n)
+            left[name] = there - both
+            shared += both
+    every -= shared
+    return shared / every if every else 0.0
+
+
+def differing(a: str, b: str, level: int = LEAVES) -> list[tuple[int, int]]:
+    """Byte ranges of the first text in leaves (or paragraphs, or sections) that the second one lacks."""
+    (_, na, _), (_, nb, _) = parsed(a), parsed(b)
+    if level:
+        na, nb = parents(na, level), parents(nb, level)
     there, out, at = Counter(name for name, _, _ in nb), [], 0
     for name, _, n in na:
         if there[name]:
@@ -224,7 +225,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
                     )
 
     def compare(batches):
-        ends, held, fp = cut_words(), None, None
+        ends, held, fp, whole = cut_words(), None, None, None
         done = False
         for part in slices(batches):
             out = []
@@ -232,14 +233,15 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
             for extra, doc_id, text in zip(*columns, strict=True):
                 if done:
                     continue
-                mine = fingerprint(text.encode(), ends)
+                mine = tree(text.encode(), ends)
+                written_mine = None if extra else printed(mine)
                 if held is not None:
                     edited = half_replaced(held[1], text)
                     data = edited.encode()
-                    other = fp if edited == held[1] else fingerprint(data, ends)
-                    out.append((held[0], len(held[1]), hashlib.sha256(data).hexdigest(), fp, other,
-                                likeness(fp, other), likeness(fp, mine)))
-                held, fp, done = (doc_id, text), mine, extra
+                    other = whole if edited == held[1] else tree(data, ends)
+                    out.append((held[0], len(held[1]), hashlib.sha256(data).hexdigest(), fp, printed(other),
+                                tree_likeness(whole, other), tree_likeness(whole, mine)))
+                held, fp, whole, done = (doc_id, text), written_mine, mine, extra
             if out:
                 types = [pa.int64()] * 2 + [pa.string()] * 3 + [pa.float64()] * 2
                 yield pa.RecordBatch.from_arrays(
