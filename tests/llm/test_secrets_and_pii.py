@@ -197,6 +197,24 @@ def test_added_kinds():
     assert not any("accountant" in t for _, t in found) and len(found) == 3
 
 
+@pytest.mark.parametrize("text, found", [
+    ("pay to DE89 3704 0044 0532 0130 00 by noon", "DE89 3704 0044 0532 0130 00"),
+    ("pay to DE89370400440532013000, please", "DE89370400440532013000"),
+    ("to GB29 NWBK 6016 1331 9268 19 1234 USD", "GB29 NWBK 6016 1331 9268 19"),
+    ("to GB82-WEST-1234-5698-7654-32.", "GB82-WEST-1234-5698-7654-32"),
+    ("to DE89 3704 0044 0532 0130 01 by noon", None),
+    ("xDE89370400440532013000", None),
+    ('{"account": "12345678"}', "12345678"),
+    ('{"account_number" : "12345678"}', "12345678"),
+    ("account_no=12345678", "12345678"),
+    ("account_id: '12-345678'", "12-345678"),
+    ("iban:        DE89370400440532013000", "DE89370400440532013000"),
+])
+def test_bare_ibans_and_quoted_identifiers(text, found):
+    accounts = [text[s:e] for k, s, e in pii.personal_data(text, pii.automaton()) if pii.KINDS[k] == "account"]
+    assert accounts == [found] * (found is not None)
+
+
 def test_long_runs_take_linear_time():
     text = "1" * 300_000 + " " + "a" * 300_000 + "@" + "+1" * 50_000
     assert pii.personal_data(text, pii.automaton()) == []

@@ -8,7 +8,8 @@ a kind are the leftmost ones and do not overlap.
 
 Kinds ``email``, ``ip``, ``card`` and ``phone`` follow fixed patterns; ``url``
 (scheme, host and path) and ``account`` (an identifier of 6 or more characters
-with 4 or more digits behind an announcing word, or a valid IBAN) are added.
+with 4 or more digits behind an announcing word, or a valid IBAN anywhere) are
+added.  Overlapping spans of an identifier and an IBAN are joined.
 
 Cases: a null or empty text has no spans; repeated rows are searched each; an
 empty table gives an empty table; other columns are ignored.
@@ -39,8 +40,12 @@ URL_REST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?::[0-9]+)?(?:[/?#][^\
 SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
 # groups of an identifier hold a digit, or are the four capitals of a bank
 GROUP = r"(?:[A-Za-z0-9]{0,33}[0-9][A-Za-z0-9]{0,33}|[A-Z]{4})"
-ACCOUNT = re.compile(r"(?i:\s?(?:number|num|no|nr|nummer|id))?[.\x20:#=]{1,4}(" + GROUP + r"(?:[-\x20]" + GROUP + r"){0,16})(?![A-Za-z0-9])")
+ACCOUNT = re.compile(r"(?i:[\s_-]?(?:number|num|no|nr|nummer|id))?[.\x20:#=_'\"]+(" + GROUP + r"(?:[-\x20]" + GROUP + r"){0,16})(?![A-Za-z0-9])")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
+# written in one piece or in groups of four
+IBAN_WRITTEN = re.compile(
+    r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:[-\x20][A-Z0-9]{4}){2,7}(?:[-\x20][A-Z0-9]{1,4})?)(?![A-Za-z0-9])"
+)
 
 SCHEMA = (
     "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, "
@@ -96,6 +101,34 @@ def url(text: str, at: int, last: int) -> tuple[int, int, bool] | None:
     return (start, m.end(), text[start : start + 1].isalpha()) if m and start < at else None
 
 
+def iban(compact: str) -> bool:
+    return bool(IBAN.fullmatch(compact)) and int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
+
+
+def ibans(text: str):
+    """Spans of the valid IBANs, with or without an announcing word; groups that follow one do not belong to it."""
+    at = 0
+    while m := IBAN_WRITTEN.search(text, at):
+        start, end, at = m.start(), m.end(), m.start() + 4
+        while end > start + 4:
+            if iban(text[start:end].replace(" ", "").replace("-", "")):
+                yield start, end
+                at = end
+                break
+            end = max(text.rfind(" ", start, end), text.rfind("-", start, end))
+
+
+def joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Sorted spans, overlapping ones of a kind as one."""
+    out: list[tuple[int, int, int]] = []
+    for kind, start, end in sorted(spans):
+        if out and out[-1][0] == kind and start < out[-1][2]:
+            out[-1] = kind, out[-1][1], max(end, out[-1][2])
+        else:
+            out.append((kind, start, end))
+    return out
+
+
 def account(text: str, at: int, last: int) -> tuple[int, int, bool] | None:
     """The identifier behind an announcing word that ends at ``at``."""
     m = ACCOUNT.match(text, at)
@@ -105,7 +138,7 @@ def account(text: str, at: int, last: int) -> tuple[int, int, bool] | None:
     compact = found.replace(" ", "").replace("-", "")
     valid = len(only_digits(found)) >= 4 and len(compact) >= 6
     if IBAN.fullmatch(compact):
-        valid = int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
+        valid = iban(compact)
     return start, start + len(found), valid
 
 
@@ -137,7 +170,7 @@ def personal_data(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int,
                 last[kind] = found[1]
                 if found[2]:
                     spans.append((kind, found[0], found[1]))
-    return sorted(spans)
+    return joined(spans + [(KINDS.index("account"), *span) for span in ibans(text)])
 
 
 def listed(spans) -> str:
