@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veriparity.llm.alignment import align_tokenizers
 from veriparity.llm.common import table
+from veriparity.llm.lines import line_dedup
 from veriparity.llm.merkle import compare_with_next
 from veriparity.llm.minhash import near_duplicates
 from veriparity.llm.packing import pack_documents
@@ -70,6 +72,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents")).drop("pairs")
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 WORDS = r"'[^\x20\x09-\x0D]+'"
 
 SUBSTRINGS_SQL = rf"""
@@ -145,15 +156,35 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_i
 FROM groups LEFT JOIN sizes USING (doc_id)
 """
 
+LINES_SQL = r"""
+WITH l AS (
+    SELECT doc_id, unnest(w) AS line, unnest(range(len(w))) AS p
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents)
+), k AS (
+    SELECT *, translate(
+        trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM l
+), common AS (
+    SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), marked AS (
+    SELECT k.doc_id, p, line, coalesce(k.doc_id <> last, false) AS gone FROM k LEFT JOIN common USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_packing, op2_substring_dedup, op3_sentencepiece, op4_embedding_dedup, op5_quality, op6_fingerprints,
-        op7_secrets, op8_minhash, op9_toxicity, op10_pii,
+        op7_secrets, op8_minhash, op9_toxicity, op10_pii, op12_alignment, op13_line_dedup,
     )
 }
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": SUBSTRINGS_SQL,
     "op4_embedding_dedup": VECTORS_SQL,
     "op8_minhash": MINHASH_SQL,
+    "op13_line_dedup": LINES_SQL,
 }
