@@ -12,6 +12,7 @@ from veriparity.llm.common import table
 from veriparity.llm.lines import line_dedup
 from veriparity.llm.merkle import compare_with_next
 from veriparity.llm.minhash import near_duplicates
+from veriparity.llm.negatives import hard_negatives
 from veriparity.llm.packing import pack_documents
 from veriparity.llm.pii import find_pii
 from veriparity.llm.quality import classify
@@ -72,6 +73,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved)).drop("positive_rank")
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(table(spark, sf_dir, "documents")).drop("pairs")
 
@@ -156,6 +163,34 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_i
 FROM groups LEFT JOIN sizes USING (doc_id)
 """
 
+NEGATIVES_SQL = """
+WITH sound AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+), v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(e, lambda x: CAST(floor(256 * x) AS BIGINT)) AS e
+    FROM sound WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+           CAST(list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+), positives AS (
+    SELECT * FROM (
+        SELECT anchor_id, id AS positive_id, score AS positive_score,
+               row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS place
+        FROM scored WHERE same
+    ) WHERE place <= 5
+), placed AS (
+    SELECT p.anchor_id, positive_id, positive_score, id AS negative_id, score AS negative_score,
+           row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS place
+    FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same
+    WHERE 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM placed WHERE place <= 3
+"""
+
 LINES_SQL = r"""
 WITH l AS (
     SELECT doc_id, unnest(w) AS line, unnest(range(len(w))) AS p
@@ -179,12 +214,13 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_packing, op2_substring_dedup, op3_sentencepiece, op4_embedding_dedup, op5_quality, op6_fingerprints,
-        op7_secrets, op8_minhash, op9_toxicity, op10_pii, op12_alignment, op13_line_dedup,
+        op7_secrets, op8_minhash, op9_toxicity, op10_pii, op11_negatives, op12_alignment, op13_line_dedup,
     )
 }
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": SUBSTRINGS_SQL,
     "op4_embedding_dedup": VECTORS_SQL,
     "op8_minhash": MINHASH_SQL,
+    "op11_negatives": NEGATIVES_SQL,
     "op13_line_dedup": LINES_SQL,
 }
