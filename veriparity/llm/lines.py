@@ -30,6 +30,7 @@ from veriparity.session import cut_lineage
 BLANKS = " \t\n\v\f\r"
 LEAST_DOCUMENTS = 3
 LEAST_CHARS = 20
+HOT_SHARE = 1000
 
 
 def line_key(line: Column) -> Column:
@@ -54,11 +55,21 @@ def keyed_lines(rows: DataFrame, least_chars: int) -> DataFrame:
 
 
 def dropped_lines(keys: DataFrame, least_documents: int) -> DataFrame:
-    """Positions to drop, one row per document and text."""
-    per_document = keys.select("k1", "k2", "doc").distinct()
-    common = per_document.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("last"))
-    common = common.where(F.col("n") >= least_documents).select("k1", "k2", "last")
-    gone = keys.join(common, ["k1", "k2"]).where("doc <> last")
+    """Positions to drop, one row per document and text.
+
+    Keys of more than one in ``HOT_SHARE`` lines, of which there are fewer than ``HOT_SHARE``, meet their lines where
+    these are read; only the lines of the other keys move.
+    """
+    per_document = keys.groupBy("k1", "k2", "doc").agg(F.count(F.lit(1)).alias("lines"))
+    common = per_document.groupBy("k1", "k2").agg(
+        F.count(F.lit(1)).alias("n"), F.max("doc").alias("last"), F.sum("lines").alias("lines")
+    )
+    common = cut_lineage(common.where(F.col("n") >= least_documents).select("k1", "k2", "last", "lines"))
+    hot = F.col("lines") > keys.count() / HOT_SHARE
+    place = ["doc", "mark", "pos"]
+    here = keys.join(F.broadcast(common.where(hot).select("k1", "k2", F.col("last").alias("hot_last"))), ["k1", "k2"], "left")
+    moved = here.where("hot_last IS NULL").join(common.where(~hot), ["k1", "k2"]).where("doc <> last").select(place)
+    gone = here.where("doc <> hot_last").select(place).unionAll(moved)
     return gone.groupBy("doc", "mark").agg(F.collect_set("pos").alias("gone"))
 
 
