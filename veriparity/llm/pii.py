@@ -8,8 +8,8 @@ a kind are the leftmost ones and do not overlap.
 
 Kinds ``email``, ``ip``, ``card`` and ``phone`` follow fixed patterns; ``url``
 (scheme, host and path) and ``account`` (an identifier of 6 or more characters
-with 4 or more digits behind an announcing word, or a valid IBAN anywhere) are
-added.  Overlapping spans of an identifier and an IBAN are joined.
+with 4 or more digits behind an announcing word in any case, or a valid IBAN
+anywhere) are added.  Overlapping spans of an identifier and an IBAN are joined.
 
 Cases: a null or empty text has no spans; repeated rows are searched each; an
 empty table gives an empty table; other columns are ignored.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 
 import ahocorasick
 import pyarrow as pa
@@ -38,15 +39,17 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL_REST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?::[0-9]+)?(?:[/?#][^\s<>\"']*)?")
 SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
-# groups of an identifier hold a digit, or are the four capitals of a bank
-GROUP = r"(?:[A-Za-z0-9]{0,33}[0-9][A-Za-z0-9]{0,33}|[A-Z]{4})"
-ACCOUNT = re.compile(r"(?i:[\s_-]?(?:number|num|no|nr|nummer|id))?[.\x20:#=_'\"]+(" + GROUP + r"(?:[-\x20]" + GROUP + r"){0,16})(?![A-Za-z0-9])")
+BEHIND_CUE = re.compile(r"(?i:[\s_-]?(?:number|num|no|nr|nummer|id))?[.\x20:#=_'\"]+")
+GROUP = re.compile(r"[A-Za-z0-9]+")
+BANK = re.compile(r"[A-Z]{4}")  # the one kind of group without a digit
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
 # written in one piece or in groups of four
 IBAN_WRITTEN = re.compile(
     r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:[-\x20][A-Z0-9]{4}){2,7}(?:[-\x20][A-Z0-9]{1,4})?)(?![A-Za-z0-9])"
 )
 
+LOWER = {ord(c): ord(c.lower()) for c in string.ascii_uppercase}  # keeps the places of characters
+
 SCHEMA = (
     "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, "
     "found array<struct<kind:string,start:long,end:long>>"
@@ -77,7 +80,7 @@ def ip(text: str, at: int, last: int) -> tuple[int, int, bool]:
     m = IP.match(text, at)
     if not m:  # then none starts at a later digit of this run either
         return at, DIGITS.match(text, at).end(), False
-    return at, m.end(), all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in m[0].split("."))
+    return at, m.end(), all(len(p) < 4 and int(p or "0") < 256 for p in (x.lstrip("0") for x in m[0].split(".")))
 
 
 def card(text: str, at: int, last: int) -> tuple[int, int, bool] | None:
@@ -130,11 +133,18 @@ def joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 
 def account(text: str, at: int, last: int) -> tuple[int, int, bool] | None:
-    """The identifier behind an announcing word that ends at ``at``."""
-    m = ACCOUNT.match(text, at)
+    """The identifier behind an announcing word that ends at ``at``: groups with a blank or hyphen between two of them."""
+    m = BEHIND_CUE.match(text, at)
     if not m:
         return None
-    found, start = m[1], m.start(1)
+    start = end = m.end()
+    while (group := GROUP.match(text, end if end == start else end + 1)) and (DIGITS.search(group[0]) or BANK.fullmatch(group[0])):
+        end = group.end()
+        if text[end : end + 1] not in ("-", " "):
+            break
+    if end == start:
+        return None
+    found = text[start:end]
     compact = found.replace(" ", "").replace("-", "")
     valid = len(only_digits(found)) >= 4 and len(compact) >= 6
     if IBAN.fullmatch(compact):
@@ -150,8 +160,7 @@ def automaton() -> ahocorasick.Automaton:
     for anchor, parsers in PARSERS.items():
         found.add_word(anchor, (len(anchor) - 1, parsers))
     for cue in CUES:
-        for form in {cue, cue.capitalize(), cue.upper()}:
-            found.add_word(form, (-1, ((5, account),)))
+        found.add_word(cue, (-1, ((5, account),)))
     found.make_automaton()
     return found
 
@@ -160,7 +169,7 @@ def personal_data(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int,
     """(number of the kind, start, end) of the valid spans, in order."""
     last = [0] * len(KINDS)
     spans = []
-    for end, (back, parsers) in anchors.iter(text):
+    for end, (back, parsers) in anchors.iter(text.translate(LOWER)):
         for kind, parse in parsers:
             at = end - back
             if at < last[kind]:
