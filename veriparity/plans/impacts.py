@@ -216,7 +216,7 @@ _SAFE_MODELS = """
         AND b.model = a.model AND b.fairness_impact <> 'negative' AND b.accuracy_impact <> 'negative')"""
 _OUTCOMES = """
     SELECT error, fairness_impact, accuracy_impact, count(*) AS count FROM impact
-    WHERE detection LIKE '%STEEL' GROUP BY error, fairness_impact, accuracy_impact"""
+    WHERE detection LIKE '%O' GROUP BY error, fairness_impact, accuracy_impact"""
 _REPAIRS = """
     SELECT repair, test_repaired AND fairness_impact = 'positive' AS better, count(*) AS count FROM impact
     WHERE error = 'A' GROUP BY repair, test_repaired AND fairness_impact = 'positive'"""

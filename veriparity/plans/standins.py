@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veriparity.operators.experiments import CASES, MODELS
 from veriparity.plans.registry import table
 from veriparity.spec import Above, AuditSpec, Equals, LabelIn
 
@@ -194,18 +195,11 @@ EXPERIMENT_RUNS = (
     ("mislabel", "shapley-flip", "dirty", 40, 50),
     ("mislabel", "shapley-flip", "clean", 44, 44),
 )
-# a criterion is looked at on the return flag or on the line status
-EXPERIMENT_CRITERIA = (
-    ("adult", "sex", "flag"),
-    ("adult", "race", "status"),
-    ("folktables", "sex", "flag"),
-    ("folktables", "rac1p", "status"),
-    ("credit", "age", "flag"),
-    ("german", "age", "flag"),
-    ("heart", "gender", "status"),
-)
-EXPERIMENT_DATASETS = ("adult", "folktables", "credit", "german", "heart")
-EXPERIMENT_MODELS = ("logistic_regression", "knn_classification", "XGBoost")
+# a criterion is looked at on the return flag or, for these, on the line status
+_BY_STATUS = {("adult", "race"), ("folktables", "rac1p"), ("heart", "gender")}
+EXPERIMENT_CRITERIA = tuple((d, c, "status" if (d, c) in _BY_STATUS else "flag") for d, c, _ in CASES)
+EXPERIMENT_DATASETS = tuple(dict.fromkeys(d for d, _, _ in CASES))
+EXPERIMENT_MODELS = MODELS
 
 
 def _values(rows: Sequence[tuple]) -> str:
@@ -243,8 +237,7 @@ EXPERIMENTS_SQL = f"""
         FROM judged GROUP BY ALL),
     experiments AS (
         SELECT c.*, t.run_no, (split_seed * 10 + retrain_seed) * 20 + t.run_no AS pos
-        FROM cells c JOIN train_methods t USING (error, train_method)
-        WHERE (split_seed * 7 + retrain_seed * 3 + t.run_no) % 11 <> 0)"""
+        FROM cells c JOIN train_methods t USING (error, train_method))"""
 
 
 def _lookup(words: Sequence[str], position: Column) -> Column:
@@ -320,9 +313,7 @@ def experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
     collected = cells.groupBy(*keys).agg(F.flatten(F.collect_list(entries)).alias("entries"))
     experiment = F.concat_ws("/", "dataset", "split_seed", "error", "train_method", "model", "retrain_seed")
     pos = (F.col("split_seed") * 10 + F.col("retrain_seed")) * 20 + F.col("run_no")
-    # one run in eleven is absent, so the lists of an approach and its baseline differ in length
-    there = (F.col("split_seed") * 7 + F.col("retrain_seed") * 3 + F.col("run_no")) % 11 != 0
-    return collected.where(there).select(
+    return collected.select(
         "dataset",
         pos.alias("pos"),
         experiment.alias("experiment"),
