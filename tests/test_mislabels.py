@@ -14,7 +14,7 @@ from veriparity.operators.models import (
     mislabelled_by_model,
     train_and_evaluate,
 )
-from veriparity.operators.valuation import knn_shapley, mislabelled_by_value, stratified_holdout
+from veriparity.operators.valuation import knn_shapley, mislabelled_by_value, nearest_shapley, stratified_holdout
 from veriparity.spec import AuditSpec, Equals, LabelIn
 
 
@@ -43,6 +43,22 @@ def test_knn_shapley_matches_brute_force(spark, n, k):
     assert [got[i] for i in range(n)] == pytest.approx(list(brute_shapley(x, y, hx, hy, k)), abs=1e-12)
 
 
+@pytest.mark.parametrize("n, k, nearest", [(80, 5, 12), (80, 1, 1), (20, 3, 40), (12, 3, 12), (300, 10, 25)])
+def test_values_of_the_nearest_rows_are_within_their_bound(spark, n, k, nearest):
+    rng = np.random.default_rng(n + nearest)
+    x, y = rng.integers(0, 4, (n, 3)).astype(float), rng.integers(0, 2, n).astype(bool)
+    hx, hy = rng.integers(0, 4, (7, 3)).astype(float), rng.integers(0, 2, 7).astype(bool)
+    make = lambda a, b: spark.createDataFrame(
+        [(f"r{i:04}", bool(l), [float(v) for v in f]) for i, (f, l) in enumerate(zip(a, b))], "id string, label boolean, features array<double>"
+    )
+    got = dict(map(tuple, nearest_shapley(make(x, y).repartition(4), make(hx, hy), nearest, k).collect()))
+    exact = brute_shapley(x, y, hx, hy, k)
+    errors = [abs(got.get(f"r{i:04}", 0.0) - exact[i]) for i in range(n)]
+    assert max(errors) <= (1 / nearest if n > nearest else 1e-12) + 1e-12
+    with pytest.raises(ValueError, match="neighbours"):
+        nearest_shapley(make(x, y), make(hx, hy), k - 1, k)
+
+
 def test_values_sum_to_neighbour_agreement(spark):
     rng = np.random.default_rng(5)
     rows = spark.createDataFrame(
@@ -185,7 +201,8 @@ def test_encoder_divides_by_the_population_deviation(spark):
 
 def test_samples_of_a_forest_are_one_draw_at_all_sizes(spark):
     """The rows of a tree are those with its smallest hashes, whether or not a limit spares the sort."""
-    rows = spark.range(5000).select("id", F.array(F.col("id").cast("double")).alias("features"))
+    cell = F.struct(F.lit("x").alias("feature"), F.col("id").cast("double").alias("value"))
+    rows = spark.range(5000).select("id", F.array(cell).alias("cells"))
     few = draw_samples(rows, 5000, 3, trees=5, sample=40).select("tree", "id").collect()
     every = draw_samples(rows, 0, 3, trees=5, sample=40).select("tree", "id").collect()
     assert sorted(few) == sorted(every) and len(every) == 200

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriparity.operators.audit import audit_dataset, audit_marked, audit_matrix, mislabel_polarity
@@ -20,17 +20,17 @@ from veriparity.spec import AuditSpec
 Configuration = tuple[str, str, str, Sequence[str]]
 
 TUPLE_DETECTORS = {
-    FOREST: lambda df, spec, seed: outliers_by_isolation(df, spec, seed),
-    CONFIDENT: lambda df, spec, seed: mislabelled_by_model(df, spec),
-    SHAPLEY: lambda df, spec, seed: mislabelled_by_value(df, spec, seed),
+    FOREST: lambda df, spec, seed, fold: outliers_by_isolation(df, spec, seed),
+    CONFIDENT: lambda df, spec, seed, fold: mislabelled_by_model(df, spec, fold=fold),
+    SHAPLEY: lambda df, spec, seed, fold: mislabelled_by_value(df, spec, seed),
 }
 
 
-def marked_ids(df: DataFrame, spec: AuditSpec, detector: str, seed: int = 42) -> DataFrame:
+def marked_ids(df: DataFrame, spec: AuditSpec, detector: str, seed: int = 42, fold: Column | None = None) -> DataFrame:
     """Ids of the rows a detector over whole rows flags, written once."""
     if detector not in TUPLE_DETECTORS:
         raise ValueError(f"Unsupported: {detector}")
-    return cut_lineage(TUPLE_DETECTORS[detector](df, spec, seed).select(F.col("id").alias(spec.id_col)))
+    return cut_lineage(TUPLE_DETECTORS[detector](df, spec, seed, fold).select(F.col("id").alias(spec.id_col)))
 
 
 def mislabel_audit(
@@ -66,14 +66,16 @@ def audit_cases(tables: Tables, cases: Sequence[tuple[str, str]] = CASES, **opti
 
 
 def mislabel_cases(
-    tables: Tables, cases: Sequence[tuple[str, str]] = CASES, detector: str = CONFIDENT, seed: int = 42
-) -> DataFrame:
+    tables: Tables, cases: Sequence[tuple[str, str]] = CASES, detector: str = CONFIDENT, seed: int = 42,
+    fold: Column | None = None,
+) -> DataFrame:
     """Per dataset and criterion, the polarity of the labels that look wrong.
 
-    The rows of a dataset are flagged once, whatever the number of its criteria.
+    The rows of a dataset are flagged once, whatever the number of its criteria; ``fold`` deals them out to the
+    models of confident learning.
     """
     flagged = {
-        name: tables[name][0].join(marked_ids(*tables[name], detector, seed), tables[name][1].id_col, "left_semi")
+        name: tables[name][0].join(marked_ids(*tables[name], detector, seed, fold), tables[name][1].id_col, "left_semi")
         for name in dict.fromkeys(name for name, _ in cases)
     }
     marked = {name: (flagged[name], tables[name][1]) for name in flagged}

@@ -30,11 +30,14 @@ def category(name: str) -> Column:
     return F.coalesce(col(name).cast("string"), F.lit(MISSING_CATEGORY))
 
 
-def encode_rows(df: DataFrame, id_col: str, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
-    """Encoded features in long form: ``id, feature, value``, zeros left out for categories.
+def encoded_cells(
+    df: DataFrame, id_col: str, numeric: Sequence[str], categorical: Sequence[str]
+) -> DataFrame:
+    """``id, cells``: the encoded features of a row by name, zeros left out for categories.
 
     Numbers are standardised by the population deviation of the imputed column,
     which counts imputed rows as lying on the mean; a constant column becomes 0.
+    No vocabulary is made, so a column may have as many categories as rows.
     """
     stats = []
     for i, c in enumerate(numeric):
@@ -51,7 +54,12 @@ def encode_rows(df: DataFrame, id_col: str, numeric: Sequence[str], categorical:
     for c in categorical:
         name = F.concat(F.lit(f"{c}="), category(c))
         cells.append(F.struct(name.alias("feature"), F.lit(1.0).alias("value")))
-    return ready.select(col(id_col).alias("id"), F.inline(F.array(*cells)))
+    return ready.select(col(id_col).alias("id"), F.array(*cells).alias("cells"))
+
+
+def encode_rows(df: DataFrame, id_col: str, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
+    """Encoded features in long form: ``id, feature, value``."""
+    return encoded_cells(df, id_col, numeric, categorical).select("id", F.inline("cells"))
 
 
 def feature_input(

@@ -1,4 +1,9 @@
-"""Logistic models over encoded features: evaluation by group and out-of-fold probabilities."""
+"""Logistic models over encoded features: evaluation by group and out-of-fold probabilities.
+
+``solver="newton"`` encodes every fold by its own training rows and takes exact steps for all models of
+the search at once (``logistic.py``), up to ``MAX_WIDTH`` features; ``solver="mllib"`` takes any number of
+features, with one encoder for all folds.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +17,8 @@ from pyspark.sql import types as T
 
 from veriparity.operators.confusion import accuracy_and_auc, causal_impact, wide_confusion
 from veriparity.operators.features import encoder, feature_input
+from veriparity.operators.fold_encoders import EVERY, encoders_of
+from veriparity.operators.logistic import MAX_WIDTH, best_strength, fit_logistic, probabilities
 from veriparity.operators.mislabel import confident_issues
 from veriparity.session import cut_lineage
 from veriparity.spec import AuditSpec
@@ -64,18 +71,30 @@ def _input(df: DataFrame, spec: AuditSpec, prediction: bool, **keep: Column) ->
     return feature_input(df, numeric, categorical, columns), numeric, categorical
 
 
-def predictions(train: DataFrame, test: DataFrame, spec: AuditSpec, criteria: str, seed: int = 0) -> DataFrame:
+def predictions(
+    train: DataFrame, test: DataFrame, spec: AuditSpec, criteria: str, seed: int = 0, solver: str = "newton",
+    fold: Column | None = None,
+) -> DataFrame:
     """``id, label, predicted, score, grp`` of the test rows under the chosen model.
 
-    The encoder is fitted once on the training rows and its output written once,
-    since the search passes over it many times.
+    ``fold`` (``0 .. CHOICE_FOLDS - 1``) deals out the training rows for the choice; without it the id is hashed.
     """
-    fold = fold_of(F.col(spec.id_col), CHOICE_FOLDS, seed)
+    fold = fold_of(F.col(spec.id_col), CHOICE_FOLDS, seed) if fold is None else fold.cast("int")
     rows, numeric, categorical = _input(train, spec, True, fold=fold)
+    unseen, _, _ = _input(test, spec, True, grp=spec.group(criteria))
+    if solver == "newton":
+        encoders = encoders_of(rows, numeric, categorical, CHOICE_FOLDS, MAX_WIDTH)
+        models = fit_logistic(rows, encoders, [(s, f) for s in STRENGTHS for f in encoders.folds])
+        strength = best_strength(rows, encoders, models, STRENGTHS)
+        chosen = {(strength, EVERY): models[strength, EVERY]}
+        scored = probabilities(unseen, encoders, chosen, ["id", "label", "grp"])
+        return scored.select("id", "label", (F.col("p") > 0.5).alias("predicted"), F.col("p").alias("score"), "grp")
+    if solver != "mllib":
+        raise ValueError(f"unknown solver: {solver}")
+    # the encoder's output is written once, since the search passes over it many times
     fitted = encoder(numeric, categorical, rows.count()).fit(rows)
     encoded = cut_lineage(fitted.transform(rows).select("features", "target", "fold"))
     model = choose_logistic(encoded)
-    unseen, _, _ = _input(test, spec, True, grp=spec.group(criteria))
     scored = model.transform(fitted.transform(unseen))
     return scored.select(
         "id",
@@ -94,9 +113,12 @@ def evaluate_by_group(predicted: DataFrame) -> DataFrame:
     return whole.drop("n").join(groups, "_all").drop("_all")
 
 
-def train_and_evaluate(train: DataFrame, test: DataFrame, spec: AuditSpec, criteria: str, seed: int = 0) -> DataFrame:
+def train_and_evaluate(
+    train: DataFrame, test: DataFrame, spec: AuditSpec, criteria: str, seed: int = 0, solver: str = "newton",
+    fold: Column | None = None,
+) -> DataFrame:
     """Train on one table, test on another: accuracy, AUC and the eight group counts."""
-    return evaluate_by_group(predictions(train, test, spec, criteria, seed))
+    return evaluate_by_group(predictions(train, test, spec, criteria, seed, solver, fold))
 
 
 def before_and_after(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -124,36 +146,50 @@ def impact_of_cleaning(
     criteria: str,
     metric: str = "equal_opportunity",
     seed: int = 0,
+    solver: str = "newton",
+    fold: Column | None = None,
 ) -> DataFrame:
     """Train on dirty and on cleaned rows, test both on the same rows, and tell what cleaning did to fairness.
 
     One row: the eight group counts, accuracy and AUC of either side, and the outcome of ``causal_impact``.
     """
-    sides = [train_and_evaluate(train, test, spec, criteria, seed) for train in (dirty, cleaned)]
+    sides = [train_and_evaluate(train, test, spec, criteria, seed, solver, fold) for train in (dirty, cleaned)]
     both = cut_lineage(before_and_after(*sides))
     judged = causal_impact(both, metric)
     one = F.lit(0)
     return both.withColumn("_run", one).join(judged.withColumn("_run", one), "_run").drop("_run")
 
 
-def out_of_fold(df: DataFrame, spec: AuditSpec, folds: int = ISSUE_FOLDS, seed: int = 0) -> DataFrame:
-    """``id, given, probs``: class probabilities from a model that did not see the row."""
-    rows, numeric, categorical = _input(df, spec, False, fold=fold_of(F.col(spec.id_col), folds, seed))
+def out_of_fold(
+    df: DataFrame, spec: AuditSpec, folds: int = ISSUE_FOLDS, seed: int = 0, solver: str = "newton", fold: Column | None = None
+) -> DataFrame:
+    """``id, given, probs``: class probabilities from a model, and an encoder, that did not see the row."""
+    fold = fold_of(F.col(spec.id_col), folds, seed) if fold is None else fold.cast("int")
+    rows, numeric, categorical = _input(df, spec, False, fold=fold)
+    given = F.col("target").cast("int").alias("given")
+    if solver == "newton":
+        encoders = encoders_of(rows, numeric, categorical, folds, MAX_WIDTH)
+        models = fit_logistic(rows, encoders, [(STRENGTHS[0], f) for f in encoders.folds if f != EVERY])
+        scored = probabilities(rows, encoders, models, ["id", "target"])
+        return scored.select("id", given, F.array(1 - F.col("p"), F.col("p")).alias("probs"))
+    if solver != "mllib":
+        raise ValueError(f"unknown solver: {solver}")
     fitted = encoder(numeric, categorical, rows.count()).fit(rows)
     encoded = cut_lineage(fitted.transform(rows).select("id", "features", "target", "fold"))
     parts = []
-    for fold in range(folds):
-        model = logistic().setRegParam(STRENGTHS[0]).fit(encoded.where(F.col("fold") != fold))
+    for held_out in range(folds):
+        model = logistic().setRegParam(STRENGTHS[0]).fit(encoded.where(F.col("fold") != held_out))
         converged(model, MAX_ITERATIONS)
-        scored = model.transform(encoded.where(F.col("fold") == fold))
-        probs = vector_to_array("probability")
-        parts.append(scored.select("id", F.col("target").cast("int").alias("given"), probs.alias("probs")))
+        scored = model.transform(encoded.where(F.col("fold") == held_out))
+        parts.append(scored.select("id", given, vector_to_array("probability").alias("probs")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-def mislabelled_by_model(df: DataFrame, spec: AuditSpec, folds: int = ISSUE_FOLDS) -> DataFrame:
+def mislabelled_by_model(
+    df: DataFrame, spec: AuditSpec, folds: int = ISSUE_FOLDS, solver: str = "newton", fold: Column | None = None
+) -> DataFrame:
     """Rows whose label a cross-validated logistic model confidently contradicts."""
-    return confident_issues(out_of_fold(df, spec, folds), 2)
+    return confident_issues(out_of_fold(df, spec, folds, solver=solver, fold=fold), 2)

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import and_
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriparity.functions.values import ratio
 from veriparity.operators.audit import mislabel_polarity
-from veriparity.operators.features import encode_rows
-from veriparity.operators.forest import anomaly_score, beyond_percentile, outliers_by_isolation, path_length
+from veriparity.operators.configured import mislabel_cases
+from veriparity.operators.features import encode_rows, feature_input
+from veriparity.operators.fold_encoders import encode_by_fold, encoders_of
+from veriparity.operators.forest import DRAWS, SAMPLE, TREES, anomaly_scores, beyond_percentile, outliers_by_isolation, path_length
+from veriparity.operators.logistic import MAX_WIDTH, fit_logistic
 from veriparity.operators.mislabel import confident_issues
-from veriparity.operators.models import impact_of_cleaning, mislabelled_by_model, train_and_evaluate
-from veriparity.operators.valuation import knn_shapley, mislabelled_by_value, stratified_holdout, suspicious
+from veriparity.operators.models import STRENGTHS, impact_of_cleaning, mislabelled_by_model, train_and_evaluate
+from veriparity.operators.valuation import knn_shapley, mislabelled_by_value, nearest_shapley, stratified_holdout, suspicious
 from veriparity.plans.check_sql import g_p_sql, g_sql
+from veriparity.plans.forest_sql import forest_sql
+from veriparity.plans.model_sql import encoded_sql, evaluation_sql, measures_sql, newton_sql
 from veriparity.plans.registry import query, r, rounded, table
 from veriparity.plans.standins import DOC_SPEC, DOC_SQL, EMB_SQL, doc_audit, emb_audit
 from veriparity.session import cut_lineage
@@ -85,6 +90,24 @@ def knn_shapley_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(embedding_values(spark, sf_dir))
 
 
+_NEAREST = 40
+_NEAREST_SQL = (
+    _SHAPLEY_SQL.replace("placed AS (SELECT *", "placed AS (SELECT * FROM (SELECT *")
+    .replace("WINDOW w AS (PARTITION BY point ORDER BY dist, id))", f"WINDOW w AS (PARTITION BY point ORDER BY dist, id)) WHERE i <= {_NEAREST})")
+    .replace("CASE WHEN i = n THEN a::DOUBLE / n ELSE", f"CASE WHEN i = n THEN a::DOUBLE / n WHEN i >= {_NEAREST} THEN 0 ELSE")
+    .replace("avg(value) AS value", "sum(value) / 100 AS value")
+)
+
+
+@query("knn_shapley_nearest", f"WITH {_NEAREST_SQL} SELECT id, {r('value')} AS value FROM valued")
+def knn_shapley_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values by the nearest rows of each held-out row alone, at most 1 / 40 from the exact ones."""
+    rows = emb_audit(spark, sf_dir)
+    ids = F.broadcast(stratified_holdout(rows.select("id", "label"), [F.col("id")]))
+    found = nearest_shapley(rows.join(ids, "id", "left_anti"), rows.join(ids, "id", "left_semi"), _NEAREST, decimals=6)
+    return rounded(found)
+
+
 @query("mislabel_knn_shapley", f"WITH {_SHAPLEY_SQL} SELECT id, {r('value')} AS value FROM valued WHERE value < -1e-12")
 def mislabel_knn_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(suspicious(embedding_values(spark, sf_dir)))
@@ -92,17 +115,8 @@ def mislabel_knn_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- confident learning -------------------------------------------------------------------------------
 
-_PROBS_SQL = f"""{DOC_SQL},
-    cells AS (SELECT doc_id AS id, quality AS given, grp, lang, doc_id % 5 AS fold,
-        CASE WHEN n_chars < 200 THEN 0 WHEN n_chars < 1000 THEN 1 WHEN n_chars < 4000 THEN 2 ELSE 3 END AS bucket
-        FROM doc_audit WHERE quality IS NOT NULL),
-    folds AS (SELECT lang, bucket, fold, sum(given) AS y, count(*) AS n FROM cells GROUP BY ALL),
-    wholes AS (SELECT lang, bucket, sum(y) AS y, sum(n) AS n FROM folds GROUP BY ALL),
-    probs AS (SELECT c.id, c.given, c.grp,
-            round((w.y - f.y + 1)::DOUBLE / (w.n - f.n + 2), 6) AS p1,
-            round(1 - round((w.y - f.y + 1)::DOUBLE / (w.n - f.n + 2), 6), 6) AS p0
-        FROM cells c JOIN folds f USING (lang, bucket, fold) JOIN wholes w USING (lang, bucket)),
-    thresholds AS (SELECT avg(p0) FILTER (WHERE given = 0) AS t0, avg(p1) FILTER (WHERE given = 1) AS t1 FROM probs),
+# from held-out probabilities ``probs`` (id, given, p0, p1) to ``issues``
+_CONFIDENT_SQL = """thresholds AS (SELECT avg(p0) FILTER (WHERE given = 0) AS t0, avg(p1) FILTER (WHERE given = 1) AS t1 FROM probs),
     confident AS (SELECT given, CASE
             WHEN p0 >= t0 - 1e-6 AND p1 >= t1 - 1e-6 THEN CASE WHEN p0 >= p1 THEN 0 ELSE 1 END
             WHEN p0 >= t0 - 1e-6 THEN 0 WHEN p1 >= t1 - 1e-6 THEN 1 END AS other FROM probs, thresholds),
@@ -118,6 +132,17 @@ _PROBS_SQL = f"""{DOC_SQL},
     issues AS (SELECT l.id, l.given, 1 - l.given AS suggested, l.margin FROM leads l JOIN cuts c ON c.given = l.given
         WHERE l.margin >= c.cut AND (CASE l.given WHEN 0 THEN l.p1 > l.p0 ELSE l.p0 >= l.p1 END))"""
 
+_PROBS_SQL = f"""{DOC_SQL},
+    cells AS (SELECT doc_id AS id, quality AS given, grp, lang, doc_id % 5 AS fold,
+        CASE WHEN n_chars < 200 THEN 0 WHEN n_chars < 1000 THEN 1 WHEN n_chars < 4000 THEN 2 ELSE 3 END AS bucket
+        FROM doc_audit WHERE quality IS NOT NULL),
+    folds AS (SELECT lang, bucket, fold, sum(given) AS y, count(*) AS n FROM cells GROUP BY ALL),
+    wholes AS (SELECT lang, bucket, sum(y) AS y, sum(n) AS n FROM folds GROUP BY ALL),
+    probs AS (SELECT c.id, c.given, c.grp,
+            round((w.y - f.y + 1)::DOUBLE / (w.n - f.n + 2), 6) AS p1,
+            round(1 - round((w.y - f.y + 1)::DOUBLE / (w.n - f.n + 2), 6), 6) AS p0
+        FROM cells c JOIN folds f USING (lang, bucket, fold) JOIN wholes w USING (lang, bucket)),
+    {_CONFIDENT_SQL}"""
 
 def held_out_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, given, probs``: smoothed label rate of similar documents in the other folds."""
@@ -170,34 +195,86 @@ def mislabel_polarity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(mislabel_polarity(marked, DOC_SPEC, "lang"))
 
 
-# --- model-based detectors: no SQL states their result -----------------------------------------------
+# --- models -----------------------------------------------------------------------------------------
 
 
-@query("outliers_iforest")
-def outliers_iforest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(outliers_by_isolation(doc_audit(spark, sf_dir), DOC_SPEC, seed=42))
+def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc_audit(spark, sf_dir).where(F.col("quality").isNotNull())
 
 
-@query("mislabel_cl_lr")
-def mislabel_cl_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = doc_audit(spark, sf_dir).where(F.col("quality").isNotNull())
-    return rounded(mislabelled_by_model(labelled, DOC_SPEC))
+_LABELLED_SQL = f"""{DOC_SQL},
+    labelled AS (SELECT doc_id AS id, (quality = 1)::INT AS y, grp, n_chars, lang, source FROM doc_audit WHERE quality IS NOT NULL)"""
+_FOLDS = 3
+_ISSUE_FOLDS = 5
+_SPLIT_SQL = f"""{_LABELLED_SQL},
+    test AS (SELECT * FROM labelled WHERE id % 4 = 0),
+    train AS (SELECT *, id % {_FOLDS} AS fold FROM labelled WHERE id % 4 <> 0)"""
 
 
-@query("mislabel_shapley_encoded")
-def mislabel_shapley_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Valuation on encoded features with a hash-drawn holdout; a document without label counts as not good."""
-    return rounded(mislabelled_by_value(doc_audit(spark, sf_dir), DOC_SPEC, seed=42))
+@query(
+    "fold_encoders",
+    f"""WITH {_LABELLED_SQL}, dealt AS (SELECT *, id % {_FOLDS} AS fold FROM labelled),
+        parts AS (SELECT unnest(range({_FOLDS})) AS f),
+        stats AS (SELECT f, avg(n_chars) AS m, stddev_pop(n_chars) AS s FROM parts JOIN dealt ON fold <> f GROUP BY f),
+        cells AS (SELECT id, fold, 'lang=' || lang AS feature FROM dealt UNION ALL SELECT id, fold, 'source=' || source FROM dealt),
+        seen AS (SELECT DISTINCT f, feature FROM parts JOIN cells ON fold <> f)
+        SELECT id, fold, 'n_chars' AS feature, {r('coalesce((n_chars - m) / nullif(s, 0), 0)')} AS value
+        FROM dealt JOIN stats ON f = fold
+        UNION ALL SELECT id, fold, feature, 1.0::DOUBLE FROM cells SEMI JOIN seen ON seen.f = cells.fold AND seen.feature = cells.feature""",
+)
+def fold_encoders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every labelled document under the encoder that has not seen its fold."""
+    fold = F.col("doc_id") % _FOLDS
+    return rounded(encode_by_fold(labelled_documents(spark, sf_dir), "doc_id", ["n_chars"], ["lang", "source"], fold, _FOLDS))
+
+
+@query(
+    "logistic_weights",
+    f"""WITH {_SPLIT_SQL}, {encoded_sql("train", ["n_chars"], ["source"], [-1, *range(_FOLDS)])},{newton_sql(STRENGTHS)},
+        names AS (SELECT ['(intercept)', 'n_chars'] || list_transform(v0, lambda c: 'source=' || c) AS names FROM vocab)
+        SELECT s AS strength, f::INT AS left_out, feature, {r('weight')} AS weight FROM (
+            SELECT s, f, unnest(names) AS feature, unnest(w) AS weight FROM w, names)""",
+)
+def logistic_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of the models of a search: every strength, without each fold and on all training rows."""
+    train = labelled_documents(spark, sf_dir).where(F.col("doc_id") % 4 != 0)
+    keep = {"target": DOC_SPEC.label_column().cast("double"), "fold": (F.col("doc_id") % _FOLDS).cast("int")}
+    rows = feature_input(train, ["n_chars"], ["source"], keep)
+    encoders = encoders_of(rows, ["n_chars"], ["source"], _FOLDS, MAX_WIDTH)
+    models = fit_logistic(rows, encoders, [(s, f) for s in STRENGTHS for f in encoders.folds])
+    names = ("(intercept)", *encoders.names)
+    cells = [(s, f, name, float(v)) for (s, f), w in models.items() for name, v in zip(names, w, strict=True)]
+    return rounded(spark.createDataFrame(cells, "strength double, left_out int, feature string, weight double"))
+
+
+@query(
+    "mislabel_cl_lr",
+    f"""WITH {_LABELLED_SQL}, dealt AS (SELECT *, id % {_ISSUE_FOLDS} AS fold FROM labelled),
+        {encoded_sql("dealt", ["n_chars"], ["lang", "source"], range(_ISSUE_FOLDS))},{newton_sql(STRENGTHS[:1])},
+        probs AS (SELECT id, given, p1, 1 - p1 AS p0 FROM (
+            SELECT id, y AS given, round(1 / (1 + exp(-list_dot_product(x, w))), 10) AS p1
+            FROM w m JOIN xs r ON r.f = m.f AND r.fold = m.f)),
+        {_CONFIDENT_SQL} SELECT id, given, suggested, {r('margin')} AS margin FROM issues""",
+)
+def mislabel_cl_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose quality label a cross-validated model confidently contradicts."""
+    labelled = labelled_documents(spark, sf_dir)
+    return rounded(mislabelled_by_model(labelled, DOC_SPEC, _ISSUE_FOLDS, fold=F.col("doc_id") % _ISSUE_FOLDS))
 
 
 def _split_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = doc_audit(spark, sf_dir).where(F.col("quality").isNotNull())
+    labelled = labelled_documents(spark, sf_dir)
     test = F.col("doc_id") % 4 == 0
-    return train_and_evaluate(labelled.where(~test), labelled.where(test), DOC_SPEC, "lang")
+    return train_and_evaluate(labelled.where(~test), labelled.where(test), DOC_SPEC, "lang", fold=F.col("doc_id") % _FOLDS)
 
 
-@query("train_eval_groups")
+@query(
+    "train_eval_groups",
+    f"""WITH {_SPLIT_SQL}, {evaluation_sql("train", "test", ["n_chars"], ["source"], STRENGTHS, _FOLDS)}
+        SELECT {r('accuracy')} AS accuracy, {r('auc')} AS auc, * EXCLUDE (accuracy, auc) FROM {measures_sql()}""",
+)
 def train_eval_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search, fit and evaluation on held-out documents: accuracy, AUC and confusion counts by group."""
     return rounded(_split_predictions(spark, sf_dir))
 
 
@@ -206,45 +283,136 @@ _EVAL_SQL = f"""WITH {DOC_SQL}, test AS (
     SELECT count(*) FILTER (WHERE grp = 'priv') AS rows_priv, count(*) FILTER (WHERE grp = 'dis') AS rows_nonpriv,
         count(*) FILTER (WHERE grp = 'priv' AND label) AS positives_priv,
         count(*) FILTER (WHERE grp = 'dis' AND label) AS positives_nonpriv, TRUE AS accuracy_of_cells"""
+_EVERY, _SIDES = ("tp", "tn", "fp", "fn"), ("priv", "nonpriv")
+
+
+def _cell(side: str, names: tuple[str, ...], when: str = "") -> Column:
+    return sum((F.col(f"{when}{c}_{side}") for c in names), F.lit(0)).cast("bigint")
+
+
+def _accuracy_of_cells(when: str = "") -> Column:
+    accuracy = ratio(sum(_cell(s, ("tp", "tn"), when) for s in _SIDES), sum(_cell(s, _EVERY, when) for s in _SIDES))
+    return F.abs(F.col(f"{when}accuracy") - accuracy) < 1e-9
 
 
 @query("train_eval_totals", f"{_EVAL_SQL} FROM test")
 def train_eval_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What SQL can tell of an evaluation: its rows and labels by group, and that the accuracy is that of the cells."""
-    cell = lambda side, names: sum((F.col(f"{c}_{side}") for c in names), F.lit(0)).cast("bigint")
-    every, right, sides = ("tp", "tn", "fp", "fn"), ("tp", "tn"), ("priv", "nonpriv")
-    accuracy = ratio(sum(cell(s, right) for s in sides), sum(cell(s, every) for s in sides))
+    """Rows and labels of an evaluation by group, and that its accuracy is that of the cells."""
     return _split_predictions(spark, sf_dir).select(
-        *[cell(s, every).alias(f"rows_{s}") for s in sides],
-        *[cell(s, ("tp", "fn")).alias(f"positives_{s}") for s in sides],
-        (F.abs(F.col("accuracy") - accuracy) < 1e-9).alias("accuracy_of_cells"),
+        *[_cell(s, _EVERY).alias(f"rows_{s}") for s in _SIDES],
+        *[_cell(s, ("tp", "fn")).alias(f"positives_{s}") for s in _SIDES],
+        _accuracy_of_cells().alias("accuracy_of_cells"),
     )
 
 
-@query("cleaning_impact_totals", f"{_EVAL_SQL}, count(*) FILTER (WHERE label) AS positives_after FROM test")
-def cleaning_impact_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training before and after cleaning (unlabelled lengths capped), tested on the same rows, end to end."""
-    labelled = doc_audit(spark, sf_dir).where(F.col("quality").isNotNull())
+def _cleaned_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training before and after cleaning (lengths capped), tested on the same rows, end to end."""
+    labelled = labelled_documents(spark, sf_dir)
     test = labelled.where(F.col("doc_id") % 4 == 0)
     dirty = labelled.where(F.col("doc_id") % 4 != 0)
     cleaned = dirty.withColumn("n_chars", F.least("n_chars", F.lit(8000)))
-    both = impact_of_cleaning(dirty, cleaned, test, DOC_SPEC, "lang")
-    cell = lambda side, names, when="orig": sum((F.col(f"{when}_{c}_{side}") for c in names), F.lit(0)).cast("bigint")
-    every, sides = ("tp", "tn", "fp", "fn"), ("priv", "nonpriv")
-    same = [cell(s, names) == cell(s, names, "clean") for s in sides for names in (every, ("tp", "fn"))]
+    return impact_of_cleaning(dirty, cleaned, test, DOC_SPEC, "lang", "predictive_parity", fold=F.col("doc_id") % _FOLDS)
+
+
+@query("cleaning_impact_totals", f"{_EVAL_SQL}, count(*) FILTER (WHERE label) AS positives_after FROM test")
+def cleaning_impact_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides test the same rows and labels, and the accuracy of each is that of its cells."""
+    both = _cleaned_impact(spark, sf_dir)
+    same = [_cell(s, names, "orig_") == _cell(s, names, "clean_") for s in _SIDES for names in (_EVERY, ("tp", "fn"))]
     return both.select(
-        *[cell(s, every).alias(f"rows_{s}") for s in sides],
-        *[cell(s, ("tp", "fn")).alias(f"positives_{s}") for s in sides],
-        reduce(and_, same).alias("accuracy_of_cells"),
-        sum(cell(s, ("tp", "fn"), "clean") for s in sides).alias("positives_after"),
+        *[_cell(s, _EVERY, "orig_").alias(f"rows_{s}") for s in _SIDES],
+        *[_cell(s, ("tp", "fn"), "orig_").alias(f"positives_{s}") for s in _SIDES],
+        reduce(and_, [*same, _accuracy_of_cells("orig_"), _accuracy_of_cells("clean_")]).alias("accuracy_of_cells"),
+        sum(_cell(s, ("tp", "fn"), "clean_") for s in _SIDES).alias("positives_after"),
     )
 
 
+_PRECISION = "{0}tp_{1}::DOUBLE / nullif({0}tp_{1} + {0}fp_{1}, 0)"
+_GAPS = ", ".join(f"{_PRECISION.format(when, 'priv')} - {_PRECISION.format(when, 'nonpriv')} AS {when}gap" for when in ("orig_", "clean_"))
+_SCORES = ("orig_accuracy", "orig_auc", "clean_accuracy", "clean_auc", "orig_gap", "clean_gap")
+
+
+@query(
+    "cleaning_impact",
+    f"""WITH {_SPLIT_SQL}, cleaned AS (SELECT * REPLACE (least(n_chars, 8000) AS n_chars) FROM train),
+        {evaluation_sql("train", "test", ["n_chars"], ["source"], STRENGTHS, _FOLDS, "o")},
+        {evaluation_sql("cleaned", "test", ["n_chars"], ["source"], STRENGTHS, _FOLDS, "c")},
+        both_sides AS (SELECT *, {_GAPS} FROM {measures_sql("o", "orig_")}, {measures_sql("c", "clean_")}),
+        told AS (SELECT *, coalesce(orig_gap > 0, FALSE) AS applicable,
+            coalesce(orig_gap > 0 AND orig_gap > clean_gap, FALSE) AS unfair FROM both_sides)
+        SELECT * EXCLUDE ({", ".join(_SCORES)}), {", ".join(f"{r(c)} AS {c}" for c in _SCORES)},
+            {r("CASE WHEN unfair THEN (orig_gap - greatest(clean_gap, 0)) / orig_gap END")} AS responsibility,
+            {r("CASE WHEN unfair THEN clean_accuracy - orig_accuracy END")} AS accuracy_change,
+            {r("CASE WHEN unfair THEN clean_auc - orig_auc END")} AS auc_change FROM told""",
+)
+def cleaning_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What capping lengths in the training rows does to the precision gap of the fitted model."""
+    return rounded(_cleaned_impact(spark, sf_dir))
+
+
+_CASES = ("lang", "toxicity")
+
+
+@query(
+    "mislabel_cases",
+    f"""WITH {_LABELLED_SQL}, dealt AS (SELECT *, id % {_ISSUE_FOLDS} AS fold FROM labelled),
+        {encoded_sql("dealt", ["n_chars"], ["lang", "source"], range(_ISSUE_FOLDS))},{newton_sql(STRENGTHS[:1])},
+        probs AS (SELECT id, given, p1, 1 - p1 AS p0 FROM (
+            SELECT id, y AS given, round(1 / (1 + exp(-list_dot_product(x, w))), 10) AS p1
+            FROM w m JOIN xs r ON r.f = m.f AND r.fold = m.f)),
+        {_CONFIDENT_SQL},
+        sided AS (SELECT c.criteria, quality = 1 AS label, CASE c.criteria WHEN 'lang' THEN d.grp
+                ELSE CASE WHEN toxic > 0 THEN 'priv' WHEN toxic <= 0 THEN 'dis' END END AS side
+            FROM doc_audit d SEMI JOIN issues ON issues.id = d.doc_id, (SELECT unnest({list(_CASES)}) AS criteria) c),
+        counted AS (SELECT criteria, count(*) FILTER (WHERE side = 'priv') AS n_priv,
+            count(*) FILTER (WHERE side = 'priv' AND label) AS dirty_priv,
+            count(*) FILTER (WHERE side = 'dis') AS n_dis,
+            count(*) FILTER (WHERE side = 'dis' AND label) AS dirty_dis FROM sided GROUP BY criteria),
+        tested AS (SELECT *, {g_sql('n_priv', 'dirty_priv', 'n_dis', 'dirty_dis')} AS g,
+            dirty_priv::DOUBLE / nullif(n_priv, 0) AS sp, dirty_dis::DOUBLE / nullif(n_dis, 0) AS sd FROM counted)
+        SELECT 'documents' AS dataset, criteria, n_priv AS flagged_priv, dirty_priv AS positive_priv, n_dis AS flagged_dis,
+            dirty_dis AS positive_dis,
+            {r('sp')} AS positive_share_priv, {r('sd')} AS positive_share_dis, {r('1 - sp')} AS negative_share_priv,
+            {r('1 - sd')} AS negative_share_dis, coalesce(sp > sd, FALSE) AS priv_higher, {r('g')} AS g,
+            {r(g_p_sql('g'))} AS p_value, coalesce(g > 3.841458820694124, FALSE) AS disparate FROM tested""",
+)
+def mislabel_cases_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report over all cases: which way the labels that a model contradicts lean in the groups of each criterion."""
+    tables = {"documents": (labelled_documents(spark, sf_dir), DOC_SPEC)}
+    cases = [("documents", criteria) for criteria in _CASES]
+    return rounded(mislabel_cases(tables, cases, fold=F.col("doc_id") % _ISSUE_FOLDS))
+
+
+@query("mislabel_shapley_encoded")
+def mislabel_shapley_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valuation on encoded features with a hash-drawn holdout; a document without label counts as not good."""
+    return rounded(mislabelled_by_value(doc_audit(spark, sf_dir), DOC_SPEC, seed=42))
+
+
+_SEED = 42
+
+# --- isolation forest ---------------------------------------------------------------------------------
+
+
+@query(
+    "outliers_iforest",
+    f"""WITH {DOC_SQL}, ids AS (SELECT doc_id AS id, n_chars, lang, source FROM doc_audit),
+        cells AS (SELECT id, 'n_chars' AS feature, (n_chars - m) / s AS value
+            FROM ids, (SELECT avg(n_chars) AS m, stddev_pop(n_chars) AS s FROM ids)
+            UNION ALL SELECT id, 'lang=' || lang, 1 FROM ids UNION ALL SELECT id, 'source=' || source, 1 FROM ids),
+        {forest_sql("cells", "ids", _SEED, TREES, SAMPLE, math.ceil(math.log2(SAMPLE)), DRAWS)}
+        SELECT id, {r('score')} AS score FROM scored, (SELECT quantile_cont(-score, 0.01) AS cut FROM scored) WHERE -score < cut""",
+)
+def outliers_iforest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most isolated documents under a forest whose samples and splits are hashes."""
+    return rounded(outliers_by_isolation(doc_audit(spark, sf_dir), DOC_SPEC, seed=_SEED))
+
+
 # feature, threshold, left, right, path length: three small trees over length and id
 _GIVEN_TREES = (
-    ((0, 0, -1, -1, -1), (1000.0, 5000.0, 0.0, 0.0, 0.0), (2, 3, -1, -1, -1), (1, 4, -1, -1, -1), (0.0, 0.0, 9.0, 5.0, 2.5)),
-    ((1, -1, -1), (6.0, 0.0, 0.0), (1, -1, -1), (2, -1, -1), (0.0, 1.5, 8.0)),
-    ((0, 1, -1, -1, -1), (300.0, 500.0, 0.0, 0.0, 0.0), (1, 3, -1, -1, -1), (2, 4, -1, -1, -1), (0.0, 0.0, 7.0, 4.5, 6.5)),
+    (("n", "n", None, None, None), (1000.0, 5000.0, 0.0, 0.0, 0.0), (2, 3, -1, -1, -1), (1, 4, -1, -1, -1), (0.0, 0.0, 9.0, 5.0, 2.5)),
+    (("place", None, None), (6.0, 0.0, 0.0), (1, -1, -1), (2, -1, -1), (0.0, 1.5, 8.0)),
+    (("n", "place", None, None, None), (300.0, 500.0, 0.0, 0.0, 0.0), (1, 3, -1, -1, -1), (2, 4, -1, -1, -1), (0.0, 0.0, 7.0, 4.5, 6.5)),
 )
 _GIVEN_SAMPLE = 256
 
@@ -261,8 +429,7 @@ _GIVEN_SAMPLE = 256
 )
 def outliers_given_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scoring and the one percent cut of the isolation forest, with trees that are given instead of grown."""
-    forest = [tuple(np.array(part) for part in tree) for tree in _GIVEN_TREES]
-    features = F.array(F.col("n_chars").cast("double"), (F.col("doc_id") % 1000).cast("double"))
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), features.alias("features"))
-    scores = cut_lineage(rows.select("id", anomaly_score(forest, _GIVEN_SAMPLE)(F.col("features")).alias("score")))
-    return rounded(beyond_percentile(scores))
+    cells = [("n", F.col("n_chars").cast("double")), ("place", (F.col("doc_id") % 1000).cast("double"))]
+    named = F.array(*[F.struct(F.lit(name).alias("feature"), value.alias("value")) for name, value in cells])
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), named.alias("cells"))
+    return rounded(beyond_percentile(cut_lineage(anomaly_scores(rows, _GIVEN_TREES, _GIVEN_SAMPLE))))
