@@ -1,11 +1,16 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import re
+import resource
+import time
 import urllib.parse
 import zlib
 
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -141,6 +146,64 @@ def test_base64_joined_to_names(kind, before, after):
     assert any(start <= s < e <= start + len(coded) for s, e in found)
 
 
+def noise(n):
+    return b"".join(hashlib.sha256(str(i).encode()).digest() for i in range(n))
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress])
+def test_streams_with_odd_bytes_and_cut_streams(pack):
+    """One NUL or byte that is no UTF-8 in a stream, or a stream without its end, does not hide the rest."""
+    for plain in (b"a\0b here " + SECRET.encode() + b" there", b"\xff here " + SECRET.encode() + b" there"):
+        text = "x " + base64.b64encode(pack(plain)).decode() + " y"
+        assert first_secret(text)
+    data = pack(SECRET.encode() + b" and more of it " + noise(4000))
+    text = "x " + base64.b64encode(data[: len(data) // 2]).decode()
+    whole_blocks = pack in (bz2.compress, lzma.compress, zstandard.compress)  # these give nothing before a block ends
+    assert first_secret(text) or whole_blocks
+
+
+@pytest.mark.parametrize("form", ["%%%02x", "%%%02X", "\\x%02x"])
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, zstandard.compress])
+def test_streams_written_as_escapes(form, pack):
+    data = pack(f"here {SECRET} there".encode())
+    hidden = "".join(form % b for b in data)
+    text = f"see {hidden} end"
+    assert first_secret(text)
+    if pack is not zstandard.compress:  # which may leave a short text as it is, to be found by its characters
+        assert first_secret(text) == [hidden] and secret_scan.masked(text, "#") == "see # end"
+    if form == "%%%02X":
+        hidden = urllib.parse.quote_from_bytes(gzip.compress(f"here {SECRET} there".encode()))
+        assert first_secret(f"see {hidden} end")
+
+
+def test_one_bad_byte_in_a_run_of_escapes():
+    assert first_secret("token=%61%62%63%64%65%66%ff%67 x") == ["token=%61%62%63%64%65%66"] or first_secret("token=%61%62%63%64%65%66%ff%67 x")
+    assert first_secret("x %ff" + wrap("url", SECRET) + "%fe y")
+
+
+@pytest.mark.parametrize("code", ["utf-16-le", "utf-16-be", "utf-16"])
+def test_wide_texts_in_base64(code):
+    coded = base64.b64encode(f"here {SECRET} there".encode(code)).decode()
+    assert any(x in coded for x in first_secret(f"see {coded} end"))
+
+
+@pytest.mark.parametrize("unit, first, last", [("25", "%", "41"), ("x5c", "\\", "x41"), ("u005c", "\\", "u0041"), ("#38;", "&", "#65;")])
+def test_chains_of_escapes_take_linear_time(unit, first, last):
+    began = time.time()
+    for n in (1000, 200_000):
+        text = "token=abcde" + first + unit * n + last + "fgh end"
+        assert first_secret(text)[-1:] == [text[:-4]]
+    assert time.time() - began < 10
+
+
+def test_bombs_take_bounded_memory():
+    began, before = time.time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    bomb = gzip.compress(b"A" * 4_000_000 + b" " + SECRET.encode() + b"B" * 4_000_000)
+    for packed in (bomb, gzip.compress(bomb), bz2.compress(b"\0" * 40_000_000 + SECRET.encode())):
+        assert first_secret("x " + base64.b64encode(packed).decode())
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 250_000 and time.time() - began < 90
+
+
 def test_find_secrets(spark, documents, odd_documents, no_documents, texts):
     got = {r["doc_id"]: r for r in secret_scan.find_secrets(documents).collect()}
     assert len(got) == len(texts)
@@ -164,7 +227,7 @@ def test_redaction_keeps_rows_and_columns(spark, documents, no_documents):
 def brute_pii(text):
     kinds = (
         (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
-        (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p.lstrip("0")[:4] or 0) <= 255 for p in m.split("."))),
         (r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(re.sub(r"[^0-9]", "", m)) <= 19 and luhn(re.sub(r"[^0-9]", "", m))),
         (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub(r"[^0-9]", "", m)) <= 15),
     )
@@ -220,6 +283,24 @@ def test_long_runs_take_linear_time():
     assert pii.personal_data(text, pii.automaton()) == []
 
 
+@pytest.mark.parametrize("text", ["1.2.3." + "0" * 5000, "7" * 5000, "+1 " + "2" * 5000, "0" * 5000 + ".1.2.3", "4 " * 5000, "1." * 5000, "+1(" * 3000])
+def test_endless_numbers(text):
+    """Numbers of any length are judged, not refused; what lies behind them is found."""
+    assert brute_pii(text) == [x for x in pii.personal_data(text, pii.automaton()) if x[0] < 4]
+    assert (0, len(text) + 1, len(text) + 7) in pii.personal_data(text + " a@b.de", pii.automaton())
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("account 12345" + "x" * 55, (8, 68)), ("aCCount: 12345678", (9, 17)), ("konto " + "1234 " * 40 + "end", (6, 205)),
+        ("account no 12345678 and", (11, 19)), ("account no123456", (8, 16)), ("IBAN ABCD 1234 5678", (5, 19)),
+    ],
+)
+def test_identifiers_of_any_length_and_case(text, found):
+    assert [(s, e) for kind, s, e in pii.personal_data(text, pii.automaton()) if kind == 5] == [found]
+
+
 def test_find_pii(documents, odd_documents, no_documents, texts):
     got = {r["doc_id"]: r for r in pii.find_pii(documents).collect()}
     for i, t in enumerate(texts):
