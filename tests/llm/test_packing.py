@@ -13,17 +13,17 @@ def whole(text):
 
 
 @pytest.mark.parametrize("text", [
-    "", " ", "Hello, World! it's 12 o'clock", "<|endoftext|> x <|startoftext|>y", "a b c　d ́e", "É é É ſ K ΑΣ Σ",
+    "", " ", "Hello, World! it's 12 o'clock", "<|endoftext|> x <|startoftext|>y", "a<|endoftext|>. <|ENDOFTEXT|> B<|startoftext|>", "A <|ENDOFTEXT|>.", "a b c　d ́e", "É é É ſ K ΑΣ Σ",
     "日本語 テキスト", "x" * 5000, "tab\tnew\nline\r\x0b\x0c\x1c\x1d\x85end", "😀😀 👩‍👩‍👧", "́ ́x",
 ])
 def test_ids_from_words_are_those_of_the_text(text):
-    assert packing.WordTokens(None).encode([text.encode()])[0].tolist() + [packing.END_ID] == whole(text)
+    assert packing.word_tokens(None).encode([text.encode()])[0].tolist() + [packing.END_ID] == whole(text)
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.text())
 def test_ids_from_words_of_any_text(text):
-    assert packing.WordTokens(None).encode([text.encode()])[0].tolist() + [packing.END_ID] == whole(text)
+    assert packing.word_tokens(None).encode([text.encode()])[0].tolist() + [packing.END_ID] == whole(text)
 
 
 @settings(max_examples=200, deadline=None)
@@ -112,3 +112,11 @@ def test_batches_that_begin_inside_a_run_of_equal_lengths(spark, documents, text
     finally:
         for k, v in kept.items():
             spark.conf.set(k, v)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abÉ日İª1.,!'…。_́̈-s\x01"), min_size=1, max_size=6), max_size=12))
+def test_ids_of_words_with_signs_at_their_ends(words):
+    """Punctuation is remembered apart from the letters before it, and words of letters are encoded together."""
+    text = " ".join(words)
+    assert packing.word_tokens(None).encode([text.encode()])[0].tolist() + [packing.END_ID] == whole(text)

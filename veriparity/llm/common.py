@@ -71,6 +71,16 @@ class Memo(dict):
         return value
 
 
+    def fill(self, keys: set, of_many) -> None:
+        """Learn what ``keys`` stand for, all that are not remembered at once."""
+        new = [key for key in keys if key not in self and key not in self.older]
+        for key, value in zip(new, of_many(new), strict=True):
+            if len(self) >= self.entries:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+
+
 def word_codes() -> Memo:
     """64-bit codes of words (bytes)."""
     return Memo(xxhash.xxh3_64_intdigest)

@@ -18,7 +18,9 @@ an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import string
 import zlib
 from bisect import insort
 from collections import defaultdict
@@ -35,6 +37,10 @@ from veriparity.session import cut_lineage
 CAPACITY = 4096
 END_ID = 2
 MEMO_WORDS = 600_000  # of a generation; about 120 MB
+TOGETHER = 500  # words of letters encoded as one text
+PUNCTUATION = string.punctuation.encode()
+# fixed value: how a tokenizer file says that letters are one piece, digits alone and all other signs another
+LETTERS_OR_OTHERS = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def default_tokenizer() -> str:
@@ -54,22 +60,72 @@ def loaded(path: str | None):
 class WordTokens:
     """Ids of texts, put together from remembered ids of words.
 
-    The tokenizer neither joins nor normalises across ASCII white space, which it drops, so the ids of a text
-    are those of its words in a row; ``tests/llm`` hold this against encoding whole texts.
+    The tokenizer neither joins nor normalises across ASCII white space, which it drops, and lowers case, so the ids
+    of a text are those of its words in a row; ``tests/llm`` hold this against encoding whole texts.  Words not
+    remembered are encoded together, once for a slice of texts.  Where the tokenizer cuts between letters and
+    punctuation, punctuation at the end of a word is remembered on its own, and words of letters, which end with one
+    end-of-word token each, are encoded as one text.
     """
 
     def __init__(self, path: str | None):
-        tokenizer = loaded(path)
-        self.kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-
-        def packed(word: bytes) -> bytes:
-            return np.array(tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.kind).tobytes()
-
-        self.memo = Memo(packed, MEMO_WORDS)
+        self.tokenizer = loaded(path)
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        one = "Aa"  # a tokenizer that keeps case gets words as they are
+        self.lowers = self.tokenizer.encode(one).ids == self.tokenizer.encode(one.lower()).ids
+        told = json.loads(self.tokenizer.to_str())
+        suffix = told["model"].get("end_of_word_suffix")
+        self.cuts = bool(suffix) and LETTERS_OR_OTHERS in json.dumps(told["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.parts = Memo(lambda part: self.encoded([part])[0], MEMO_WORDS)
+        self.memo = Memo(lambda word: self.packed([word])[0], MEMO_WORDS)
+
+    def special(self, text: bytes) -> bool:
+        """Whether the string of an added token stands in the text, which is neither cut nor lowered then."""
+        return any(token in text for token in self.added)
+
+    def packed(self, words: list[bytes]) -> list[bytes]:
+        if not self.cuts:
+            return self.encoded(words)
+        pairs = []
+        for word in words:
+            core = word.rstrip(PUNCTUATION)
+            # behind a letter only: other signs would be one piece with the punctuation
+            if len(core) < len(word) and core and core.decode()[-1].lower()[-1:].isalpha() and not self.special(word):
+                pairs.append((core, word[len(core) :]))
+            else:
+                pairs.append((word, b""))
+        self.parts.fill({part for pair in pairs for part in pair if part}, self.encoded)
+        get = self.parts.__getitem__
+        return [get(core) + get(tail) if tail else get(core) for core, tail in pairs]
+
+    def encoded(self, words: list[bytes]) -> list[bytes]:
+        texts = [w.decode() for w in words]
+        out: list = [None] * len(words)
+        letters = [i for i, t in enumerate(texts) if self.cuts and t.lower().isalpha()]
+        groups = [letters[i : i + TOGETHER] for i in range(0, len(letters), TOGETHER)]
+        joined = self.tokenizer.encode_batch_fast([" ".join(texts[i] for i in g) for g in groups], add_special_tokens=False)
+        for group, found in zip(groups, joined, strict=True):
+            ids = np.array(found.ids, self.kind)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(group):  # else some word is in two pieces, and the group is encoded word by word
+                data, at = ids.tobytes(), 0
+                for i, stop in zip(group, (stops * ids.itemsize).tolist(), strict=True):
+                    out[i] = data[at:stop]
+                    at = stop
+        rest = [i for i, found in enumerate(out) if found is None]
+        for i, found in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(found.ids, self.kind).tobytes()
+        return out
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        lowered = [x.lower() for x in texts] if self.lowers else texts
+        words = [(x if low is not x and self.special(low) else low).split() for x, low in zip(texts, lowered, strict=True)]
+        self.memo.fill(set().union(*words), self.packed)
         get = self.memo.__getitem__
-        return [np.frombuffer(b"".join(map(get, x.split())), self.kind).astype(np.uint32) for x in texts]
+        return [np.frombuffer(b"".join(map(get, x)), self.kind).astype(np.uint32) for x in words]
 
 
 @lru_cache(1)
