@@ -9,7 +9,9 @@ from veriparity.functions.significance import (
     g_or_null,
     g_p_value,
     impact_verdict,
+    log_erfc,
     one_sided,
+    paired_log_p,
     paired_p,
     paired_t,
     t_two_sided,
@@ -152,3 +154,25 @@ def test_one_sided_and_verdicts(spark):
     assert got[3].up == pytest.approx(0.5) and got[3].down == pytest.approx(0.5)
     with pytest.raises(ValueError):
         one_sided(t, p, "sideways")
+
+
+def test_logarithms_of_tails(spark):
+    """Equal to the logarithm of p where p is a number, and in order where it is 0."""
+    xs = [0.0, 1e-6, 0.3, 1.0, 1.9999, 2.0001, 3.5, 6.0, 20.0]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", log_erfc(F.col("x")).alias("v")).collect()
+    for r in rows:
+        assert r["v"] == pytest.approx(math.log(math.erfc(r["x"])) if r["x"] < 26 and math.erfc(r["x"]) > 0 else r["v"], rel=1e-10, abs=1e-12)
+    far = [r["v"] for r in spark.createDataFrame([(float(x),) for x in (30, 100, 1000)], "x double").select(log_erfc(F.col("x")).alias("v")).collect()]
+    for x, v in zip((30, 100, 1000), far, strict=True):
+        assert v == pytest.approx(-x * x - math.log(x * math.sqrt(math.pi)) - 1 / (2 * x * x), rel=1e-9)
+    cases = [(2, 0.5), (2, 1e6), (30, 2.0), (30, -60.0), (1000, 5.0), (10**6, 100.0), (10**6, 1e4), (5, 0.0), (1, 3.0)]
+    got = spark.createDataFrame(cases, "n long, t double").select(
+        "n", "t", paired_p(F.col("n"), F.col("t")).alias("p"), paired_log_p(F.col("n"), F.col("t")).alias("log_p")
+    ).collect()
+    for r in got:
+        assert math.isfinite(r["log_p"]) and r["log_p"] <= 0
+        if r["p"] > 1e-300:
+            assert r["log_p"] == pytest.approx(math.log(r["p"]), rel=1e-9, abs=1e-12)
+    by = {(r["n"], r["t"]): r["log_p"] for r in got}
+    assert by[10**6, 1e4] < by[10**6, 100.0] < by[30, -60.0]
+    assert spark.range(1).select(paired_log_p(F.lit(5), F.lit(float("inf")))).first()[0] == float("-inf")

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from py4j.protocol import Py4JJavaError
@@ -127,8 +128,6 @@ def test_documents_keep_key_order(spark, tmp_path):
     assert [(r.dataset, r.pos, r.experiment) for r in rows] == [("adult", i, k) for i, k in enumerate(DOCUMENT)]
     assert rows[0].metrics == {"dirty_test_acc": 0.8, "dirty__sex_priv__tp": 30.0, "note": None}
     assert rows[1].metrics == {"dirty_test_acc": None}
-    with pytest.raises(PySparkException, match="line format"):
-        results.read_documents(spark, str(tmp_path / "docs"), adult, max_bytes=10).collect()
     with pytest.raises(ValueError, match="absent: .*Cardio"):
         results.read_documents(spark, str(tmp_path / "docs"))
     write(tmp_path / "docs", "unrelated.json", "{}")
@@ -136,6 +135,43 @@ def test_documents_keep_key_order(spark, tmp_path):
         results.read_documents(spark, str(tmp_path / "docs"), adult)
 
 
+@pytest.mark.parametrize("size", [1, 7, 64, 333, 1 << 20])
+def test_documents_are_the_same_for_every_split(spark, tmp_path, size):
+    """Strings with commas, brackets, quotes and escapes, read in blocks of any size, against the whole text parsed at once."""
+    rng = random.Random(size)
+    odd = ['x,"y"', "{", "}}", "\\", '\\"', "[1,2]", "é,日,\U0001f600", ",", "\n,\t", "a\\,b"]
+    (tmp_path / "docs").mkdir()
+    files, whole = {"adult": "USCensus_result.json", "heart": "Cardio_result.json", "german": "GermanCredit_result.json"}, []
+    for k, (dataset, file) in enumerate(files.items()):
+        entries = {
+            f"ds/{i}/{rng.choice(odd)}/m": {rng.choice(odd) + str(j): rng.choice([1.5, -2, "t,}", None, float("nan")]) for j in range(rng.randint(0, 4))}
+            for i in range(25 * k)
+        }
+        text = json.dumps(entries, indent=k or None, ensure_ascii=bool(k))
+        write(tmp_path / "docs", file, text)
+        whole.append((dataset, text))
+    want = results.parse_documents(spark.createDataFrame(whole, "dataset string, value string")).collect()
+    conf = {"spark.sql.files.maxPartitionBytes": f"{size}b", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = results.read_documents(spark, str(tmp_path / "docs"), files).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    key = lambda r: (r.dataset, r.pos)
+    assert [(key(r), r.experiment, r.metrics) for r in sorted(got, key=key)] == [(key(r), r.experiment, r.metrics) for r in sorted(want, key=key)]
+
+
+@pytest.mark.parametrize("text", ['{"a": {}} , {"b": {}}', '{"a": {"x": 1}}}', '{"a": {"x": "1}}', '{"a": {}, "b"}'])
+def test_documents_with_something_wrong_between_entries_raise(spark, tmp_path, text):
+    (tmp_path / "docs").mkdir()
+    write(tmp_path / "docs", "Cardio_result.json", text)
+    with pytest.raises((PySparkException, Py4JJavaError, ValueError)):
+        results.read_documents(spark, str(tmp_path / "docs"), {"heart": "Cardio_result.json"}).collect()
+
+
 @pytest.mark.parametrize("text", ['{"a/1/b": {"x": 1', "[1]", "", '{"a": 5}'])
 def test_damaged_documents_raise(spark, tmp_path, text):
     (tmp_path / "docs").mkdir()

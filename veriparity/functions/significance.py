@@ -51,12 +51,15 @@ def _erfc_series(x: Column) -> Column:
     return F.greatest(1.0 - F.lit(2.0 / math.sqrt(math.pi)) * F.exp(-x * x) * series, F.lit(0.0))
 
 
-def _erfc_tail(x: Column) -> Column:
+def _erfc_fraction(x: Column) -> Column:
     """Laplace's continued fraction, from its innermost term outwards; no difference is taken."""
-    fraction = F.aggregate(
+    return F.aggregate(
         F.sequence(F.lit(ERF_TERMS), F.lit(1), F.lit(-1)), x, lambda acc, k: x + k.cast("double") / 2.0 / acc
     )
-    return F.exp(-x * x) / (fraction * math.sqrt(math.pi))
+
+
+def _erfc_tail(x: Column) -> Column:
+    return F.exp(-x * x) / (_erfc_fraction(x) * math.sqrt(math.pi))
 
 
 def erfc(x: Column) -> Column:
@@ -69,6 +72,15 @@ def erfc(x: Column) -> Column:
     )
 
 
+def log_erfc(x: Column) -> Column:
+    """Logarithm of ``erfc`` for x >= 0, finite where erfc itself is too small for a double."""
+    far = lambda v: -v * v - F.ln(_erfc_fraction(v)) - math.log(math.pi) / 2
+    return _bind(
+        x.cast("double"),
+        lambda v: F.when(v < ERF_SERIES_LIMIT, F.ln(_erfc_series(v))).otherwise(far(F.greatest(v, F.lit(ERF_SERIES_LIMIT)))),
+    )
+
+
 def normal_two_sided(z: Column) -> Column:
     return erfc(F.abs(z) / math.sqrt(2.0))
 
@@ -117,6 +129,11 @@ def g_p_value(g: Column) -> Column:
     return F.when(g.isNotNull(), erfc(F.sqrt(F.greatest(g, F.lit(0.0)) / 2.0)))
 
 
+def g_log_p(g: Column) -> Column:
+    """Logarithm of ``g_p_value``: tells strongly significant tables apart whose p is 0 to any printed digits."""
+    return F.when(g.isNotNull(), log_erfc(F.sqrt(F.greatest(g, F.lit(0.0)) / 2.0)))
+
+
 def g_disparate(g: Column) -> Column:
     """p below the level; FALSE when not testable."""
     return F.coalesce(g > CHI2_1_AT_ALPHA, F.lit(False))
@@ -143,8 +160,8 @@ def _nodes() -> Column:
     return F.array(*out)
 
 
-def t_two_sided(t: Column, dof: Column) -> Column:
-    """Two-sided p of Student's t, one formula for all degrees of freedom.
+def t_two_sided(t: Column, dof: Column, log: bool = False) -> Column:
+    """Two-sided p of Student's t (or its logarithm), one formula for all degrees of freedom.
 
     With k2 = dof / (dof + t**2) the tail is k2**(dof/2) times the integral of
     exp(-z) / sqrt(1 - k2 * exp(-2 z / dof)) over z > 0, up to a constant; the
@@ -158,6 +175,8 @@ def t_two_sided(t: Column, dof: Column) -> Column:
             _nodes(), F.lit(0.0), lambda acc, at: acc + at["w"] / F.sqrt(rest - k2 * F.expm1(at["z"] * -2.0 / n))
         )
         constant = _gamma_ratio(n / 2.0) * 2.0 / (n * math.sqrt(math.pi))
+        if log:
+            return F.least(F.ln(constant * area) + F.log1p(square / n) * n * -0.5, F.lit(0.0))
         return F.least(constant * F.exp(F.log1p(square / n) * n * -0.5) * area, F.lit(1.0))
 
     return _bind(F.struct(t.cast("double").alias("t"), dof.cast("double").alias("dof")), tail)
@@ -186,6 +205,15 @@ def paired_p(n: Column, t: Column) -> Column:
     )
 
 
+def paired_log_p(n: Column, t: Column) -> Column:
+    """Logarithm of ``paired_p``; minus infinity for differences that are all equal and not zero."""
+    return (
+        F.when((n < 2) | (t == 0), F.lit(0.0))
+        .when(F.abs(t) == float("inf"), F.lit(float("-inf")))
+        .otherwise(t_two_sided(t, F.greatest(n - 1, F.lit(1)), log=True))
+    )
+
+
 def one_sided(t: Column, p_two: Column, direction: str) -> Column:
     """One-sided p from the two-sided one; ``direction`` is positive or negative."""
     if direction not in ("positive", "negative"):

@@ -53,24 +53,34 @@ def audit_flag(df: DataFrame, spec: AuditSpec, criteria: str, dirty: Column) ->
     return judge(df.agg(*count_groups(spec.group(criteria), dirty)))
 
 
-def audit_detectors(
+def audit_criteria(
     df: DataFrame,
     spec: AuditSpec,
-    criteria: str,
+    criteria: Sequence[str],
     columns: Mapping[str, Sequence[str]],
     nulls: str = "propagate",
     exact: bool = True,
 ) -> DataFrame:
-    """One judged row per detector; a row is dirty when any of the detector's columns is flagged.
+    """One judged row per criterion and detector; a row is dirty when any of the detector's columns is flagged.
 
-    All detectors are counted in one pass, per combination of group and flags.
+    All criteria and detectors are counted in one pass, per combination of groups and flags.
     """
     ready, found = with_flags(df, columns, nulls, exact)
     hits = [any_flag(by_column).alias(f"hit{i}") for i, by_column in enumerate(found.values())]
-    combined = ready.groupBy(spec.group(criteria).alias("grp"), *hits).agg(F.count(F.lit(1)).alias("n"))
+    groups = [spec.group(c).alias(f"grp{i}") for i, c in enumerate(criteria)]
+    combined = ready.groupBy(*groups, *hits).agg(F.count(F.lit(1)).alias("n"))
     seen = [F.struct(F.lit(d).alias("detector"), F.col(f"hit{i}").alias("dirty")) for i, d in enumerate(found)]
-    spread = combined.select("grp", "n", F.inline(F.array(*seen)))
-    return judge(spread.groupBy("detector").agg(*count_groups(F.col("grp"), F.col("dirty"), F.col("n"))))
+    sides = [F.struct(F.lit(c).alias("criteria"), F.col(f"grp{i}").alias("grp")) for i, c in enumerate(criteria)]
+    spread = combined.select("n", F.array(*seen).alias("seen"), F.inline(F.array(*sides)))
+    spread = spread.select("n", "criteria", "grp", F.inline("seen"))
+    return judge(spread.groupBy("criteria", "detector").agg(*count_groups(F.col("grp"), F.col("dirty"), F.col("n"))))
+
+
+def audit_detectors(
+    df: DataFrame, spec: AuditSpec, criteria: str, columns: Mapping[str, Sequence[str]], **options: object
+) -> DataFrame:
+    """One judged row per detector under one criterion."""
+    return audit_criteria(df, spec, [criteria], columns, **options).drop("criteria")
 
 
 def audit_rows(
@@ -80,12 +90,17 @@ def audit_rows(
     return audit_detectors(df, spec, criteria, {detector: columns}, **options).drop("detector")
 
 
-def audit_dataset(df: DataFrame, spec: AuditSpec, criteria: str, **options: object) -> DataFrame:
+def listed_columns(spec: AuditSpec) -> dict[str, Sequence[str]]:
     """Missing values in any column, outliers in any numeric column by both rules."""
-    columns = {MISSING: (*spec.categorical, *spec.numeric)}
+    columns: dict[str, Sequence[str]] = {MISSING: (*spec.categorical, *spec.numeric)}
     if spec.numeric:
         columns |= {SD: spec.numeric, IQR: spec.numeric}
-    return audit_detectors(df, spec, criteria, columns, **options)
+    return columns
+
+
+def audit_dataset(df: DataFrame, spec: AuditSpec, criteria: str, **options: object) -> DataFrame:
+    """The detectors of ``listed_columns`` under one criterion."""
+    return audit_detectors(df, spec, criteria, listed_columns(spec), **options)
 
 
 def audit_marked(df: DataFrame, spec: AuditSpec, criteria: str, marked_ids: DataFrame) -> DataFrame:
@@ -160,17 +175,25 @@ def disparate_report(judged: DataFrame) -> DataFrame:
     })
 
 
-def mislabel_polarity(flagged: DataFrame, spec: AuditSpec, criteria: str) -> DataFrame:
-    """Of the rows flagged as mislabelled, how many carry the positive label per group?
+def mislabel_polarities(flagged: DataFrame, spec: AuditSpec, criteria: Sequence[str]) -> DataFrame:
+    """Of the rows flagged as mislabelled, how many carry the positive label per group of each criterion?
 
     The share with a negative label is the remainder.  ``priv_higher`` tells which
-    group has the larger positive share; the G-test compares the two shares.
+    group has the larger positive share; the G-test compares the two shares.  All
+    criteria are counted in one pass; one without flagged rows has zeros.
     """
-    label = spec.label_column()
-    counted = flagged.agg(*count_groups(spec.group(criteria), label))
+    groups = [spec.group(c).alias(f"grp{i}") for i, c in enumerate(criteria)]
+    combined = flagged.groupBy(*groups, spec.label_column().alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    sides = [F.struct(F.lit(c).alias("criteria"), F.col(f"grp{i}").alias("grp")) for i, c in enumerate(criteria)]
+    spread = combined.select("n", "label", F.inline(F.array(*sides)))
+    named = flagged.sparkSession.createDataFrame([(c,) for c in criteria], "criteria string")
+    counted = named.join(
+        F.broadcast(spread.groupBy("criteria").agg(*count_groups(F.col("grp"), F.col("label"), F.col("n")))), "criteria", "left"
+    ).fillna(0, list(COUNTS))
     judged = judge(counted)
     rate = {g: ratio(F.col(f"dirty_{g}"), F.col(f"n_{g}")) for g in (PRIV, DIS)}
     return judged.select(
+        "criteria",
         F.col("n_priv").alias("flagged_priv"),
         F.col("dirty_priv").alias("positive_priv"),
         F.col("n_dis").alias("flagged_dis"),
@@ -184,3 +207,8 @@ def mislabel_polarity(flagged: DataFrame, spec: AuditSpec, criteria: str) -> Dat
         "p_value",
         "disparate",
     )
+
+
+def mislabel_polarity(flagged: DataFrame, spec: AuditSpec, criteria: str) -> DataFrame:
+    """One row: the polarity under one criterion."""
+    return mislabel_polarities(flagged, spec, [criteria]).drop("criteria")

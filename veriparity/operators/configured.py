@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriparity.operators.audit import audit_dataset, audit_marked, audit_matrix, mislabel_polarity
+from veriparity.operators.audit import audit_criteria, audit_marked, audit_matrix, listed_columns, mislabel_polarities, mislabel_polarity
 from veriparity.operators.detectors import IQR, MISSING, SD
 from veriparity.operators.forest import outliers_by_isolation
 from veriparity.operators.models import mislabelled_by_model
@@ -45,14 +45,17 @@ Tables = Mapping[str, tuple[DataFrame, AuditSpec]]
 
 
 def _over_cases(tables: Tables, cases: Sequence[tuple[str, str]], audit) -> DataFrame:
-    """One report of ``audit(df, spec, criteria)`` for every case; a case without a table raises ``KeyError``."""
+    """One report of ``audit(df, spec, criteria)``, asked once per table for all its criteria.
+
+    A case without a table raises ``KeyError``.
+    """
     if not cases:
         raise ValueError("no cases")
     parts = []
-    for name, criteria in cases:
+    for name in dict.fromkeys(name for name, _ in cases):
         df, spec = tables[name]
-        named = [F.lit(name).alias("dataset"), F.lit(criteria).alias("criteria")]
-        parts.append(audit(df, spec, criteria).select(*named, "*"))
+        criteria = list(dict.fromkeys(c for owner, c in cases if owner == name))
+        parts.append(audit(df, spec, criteria).select(F.lit(name).alias("dataset"), "*"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -62,7 +65,9 @@ def audit_cases(tables: Tables, cases: Sequence[tuple[str, str]] = CASES, **opti
     ``tables`` holds the rows and the roles of every dataset that ``cases`` names.
     Result: ``dataset, criteria, detector``, the counts and the verdict.
     """
-    return _over_cases(tables, cases, lambda df, spec, criteria: audit_dataset(df, spec, criteria, **options))
+    return _over_cases(
+        tables, cases, lambda df, spec, criteria: audit_criteria(df, spec, criteria, listed_columns(spec), **options)
+    )
 
 
 def mislabel_cases(
@@ -79,7 +84,7 @@ def mislabel_cases(
         for name in dict.fromkeys(name for name, _ in cases)
     }
     marked = {name: (flagged[name], tables[name][1]) for name in flagged}
-    return _over_cases(marked, cases, mislabel_polarity)
+    return _over_cases(marked, cases, mislabel_polarities)
 
 
 def run_configurations(

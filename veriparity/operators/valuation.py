@@ -13,12 +13,13 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from veriparity.operators.features import encoder, feature_input
+from veriparity.functions.values import ratio
+from veriparity.operators.detectors import number
+from veriparity.operators.features import category
 from veriparity.operators.ordered import SLICE, running_sums, slice_by
 from veriparity.session import cut_lineage
 from veriparity.spec import AuditSpec
@@ -97,9 +98,14 @@ def knn_shapley(
     if not points or len(points) > holdout:
         raise ValueError(f"the holdout must have 1 to {holdout} rows")
     to_points = distances_to(np.array([p["features"] for p in points], dtype=np.float64), decimals)
-    labels = F.array(*[F.lit(p["label"]) for p in points])
+    dists = train.select("id", "label", to_points(F.col("features")).alias("dists"))
+    return values_by_distance(dists, [p["label"] for p in points], k)
+
 
-    seen = train.select("id", "label", F.posexplode(to_points(F.col("features"))).alias("point", "dist"))
+def values_by_distance(dists: DataFrame, point_labels: Sequence[object], k: int) -> DataFrame:
+    """``id, value`` from ``id, label, dists`` (one distance per held-out row)."""
+    labels = F.array(*[F.lit(x) for x in point_labels])
+    seen = dists.select("id", "label", F.posexplode("dists").alias("point", "dist"))
     agrees = (F.col("label") == F.get(labels, F.col("point"))).cast("int")
     # written, as cutting into slices passes over its input twice
     seen = cut_lineage(seen.select("point", "dist", "id", agrees.alias("a")))
@@ -114,7 +120,7 @@ def knn_shapley(
     placed = placed.select("point", "dist", "id", SLICE, (F.col("a") * here).alias("own"), step.alias("step"))
     totals = placed.groupBy("point").agg(F.sum("step").alias("total"))
     summed = running_sums(placed, by, order, {"upto": F.col("step")}).join(F.broadcast(totals), "point")
-    value = F.sum(F.col("own") + F.col("total") - F.col("upto")) / len(points)
+    value = F.sum(F.col("own") + F.col("total") - F.col("upto")) / len(point_labels)
     return summed.groupBy("id").agg(value.alias("value"))
 
 
@@ -189,24 +195,97 @@ def suspicious(values: DataFrame, tolerance: float = 1e-12) -> DataFrame:
     return values.where(F.col("value") < -tolerance)
 
 
-def mislabelled_by_value(df: DataFrame, spec: AuditSpec, seed: int = 42, k: int = NEIGHBOURS) -> DataFrame:
-    """Ids and values of the rows a nearest-neighbour model would rather do without.
+def scaled_cells(train: DataFrame, rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """``keep`` and ``cells`` (feature by name, value) of ``rows`` under the encoder of ``train``.
 
-    The held-out rows are drawn by a hash of id and seed, so the draw does not
-    depend on partitioning; they are not valued themselves.  The encoder is
-    fitted on the training rows.
+    Both have ``num*`` and ``cat*`` columns.  Numbers are imputed and standardised; a category is one over the
+    deviation of its 0/1 column, which is a table that is joined: no vocabulary is collected, and a category that
+    the training rows lack, or that all of them have, has no cell.
     """
-    rows = feature_input(
-        df, spec.numeric, spec.categorical, {"id": F.col(spec.id_col), "label": spec.label_column()}
+    stats = []
+    for i in range(len(numeric)):
+        spread = F.stddev_pop(f"num{i}") * F.sqrt(ratio(F.count(f"num{i}"), F.count(F.lit(1))))
+        stats += [F.avg(f"num{i}").alias(f"mean{i}"), spread.alias(f"sd{i}")]
+    total = F.count(F.lit(1)).alias("rows")
+    whole = train.agg(total, *stats).select(F.struct("*").alias("s")).scalar()
+    numbers = []
+    for i, c in enumerate(numeric):
+        mean, sd = F.col(f"_s.mean{i}"), F.col(f"_s.sd{i}")
+        scaled = F.coalesce(ratio(F.coalesce(F.col(f"num{i}"), mean) - mean, sd), F.lit(0.0))
+        numbers.append(F.struct(F.lit(c).alias("feature"), scaled.alias("value")))
+    names = [F.concat(F.lit(f"{c}="), F.col(f"cat{i}")) for i, c in enumerate(categorical)]
+    ready = rows.select(*keep, whole.alias("_s"), F.array(*numbers).cast(CELLS).alias("numbers"), F.array(*names).cast("array<string>").alias("names"))
+    if not categorical:
+        return ready.select(*keep, F.col("numbers").alias("cells"))
+    counts = train.select(F.explode(F.array(*names)).alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    share = F.col("n") / F.col("_s.rows")
+    deviation = F.sqrt(share * (1 - share) * F.col("_s.rows") / (F.col("_s.rows") - 1))
+    weights = counts.select("feature", F.col("n"))
+    spread = ready.select("id", "_s", F.explode("names").alias("feature")).join(weights, "feature")
+    hot = spread.where(F.col("n") < F.col("_s.rows")).select("id", F.struct("feature", (1 / deviation).alias("value")).alias("cell"))
+    hot = hot.groupBy("id").agg(F.collect_list("cell").cast(CELLS).alias("hot"))  # as many as there are columns
+    return ready.join(hot, "id", "left").select(
+        *keep, F.concat("numbers", F.coalesce("hot", F.array().cast(CELLS))).alias("cells")
     )
+
+
+CELLS = "array<struct<feature: string, value: double>>"
+
+
+def sparse_distances(rows: DataFrame, points: Sequence[dict[str, float]], decimals: int = 6) -> DataFrame:
+    """``id, label, dists`` of rows of ``id, label, cells``: distances to each point, absent cells being 0.
+
+    Only names that a point has tell the points apart; they are at most the cells of all points.
+    """
+    names = sorted({name for point in points for name in point})
+    table = np.array([[point.get(name, 0.0) for name in names] for point in points]).reshape(len(points), len(names))
+    squares = np.square(table)
+    kind = {c: rows.schema[c].dataType.simpleString() for c in ("id", "label")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                batch = whole.slice(start, 2048)
+                lists = batch["cells"]
+                flat = lists.flatten()
+                owner = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
+                value = np.asarray(flat.field("value"))
+                found = np.asarray(pa.compute.index_in(flat.field("feature"), pa.array(names, pa.string())).fill_null(-1))
+                out = np.tile(squares.sum(axis=1), (batch.num_rows, 1))
+                out += np.bincount(owner, np.where(found < 0, value * value, 0), batch.num_rows)[:, None]
+                known = np.flatnonzero(found >= 0)
+                place = table[:, found[known]]
+                np.add.at(out, owner[known], (np.square(value[known] - place) - np.square(place)).T)
+                dists = np.round(np.sqrt(np.maximum(out, 0)), decimals)
+                offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(points))
+                yield pa.RecordBatch.from_arrays(
+                    [batch["id"], batch["label"], pa.ListArray.from_arrays(offsets, pa.array(dists.ravel()))], names=["id", "label", "dists"]
+                )
+
+    return rows.select("id", "label", "cells").mapInArrow(run, f"id {kind['id']}, label {kind['label']}, dists array<double>")
+
+
+def mislabelled_by_value(
+    df: DataFrame, spec: AuditSpec, seed: int = 42, k: int = NEIGHBOURS, order: Sequence[Column] | None = None
+) -> DataFrame:
+    """Ids and values of the rows a nearest-neighbour model would rather do without.
+
+    The held-out rows are the first of each label in ``order`` -- by default that of a hash of id and seed, so the
+    draw does not depend on partitioning; they are not valued themselves.  The encoder is fitted on the training
+    rows.  Rows are sparse cells by name, so columns may have any number of categories.
+    """
+    keep = {"id": F.col(spec.id_col), "label": spec.label_column()}
+    rows = cut_lineage(df.select(
+        *[value.alias(name) for name, value in keep.items()],
+        *[number(c).alias(f"num{i}") for i, c in enumerate(spec.numeric)],
+        *[category(c).alias(f"cat{i}") for i, c in enumerate(spec.categorical)],
+    ))
     if rows.count() <= HOLDOUT:
         raise ValueError(f"more than {HOLDOUT} rows are needed")
-    held_ids = stratified_holdout(rows.select("id", "label"), [F.xxhash64("id", F.lit(seed)), F.col("id")])
-    held_ids = F.broadcast(held_ids)
+    order = [F.xxhash64("id", F.lit(seed)), F.col("id")] if order is None else order
+    held_ids = F.broadcast(stratified_holdout(rows.select("id", "label"), order))
     train, held = rows.join(held_ids, "id", "left_anti"), rows.join(held_ids, "id", "left_semi")
-    model = encoder(spec.numeric, spec.categorical, train.count(), scale_categories=True).fit(train)
-
-    def encoded(part: DataFrame) -> DataFrame:
-        return model.transform(part).select("id", "label", vector_to_array("features").alias("features"))
-
-    return suspicious(knn_shapley(encoded(train), encoded(held), k))
+    encoded = [scaled_cells(train, part, spec.numeric, spec.categorical, ["id", "label"]) for part in (train, held)]
+    points = encoded[1].orderBy("id").collect()  # as many as are held out
+    cells = [{c["feature"]: c["value"] for c in p["cells"]} for p in points]
+    return suspicious(values_by_distance(sparse_distances(encoded[0], cells), [p["label"] for p in points], k))

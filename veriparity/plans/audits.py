@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veriparity.functions.significance import g_log_p, g_or_null
 from veriparity.operators.audit import (
+    COUNTS,
     audit_dataset,
     audit_detectors,
     audit_flag,
@@ -16,12 +21,13 @@ from veriparity.operators.audit import (
     judge,
 )
 from veriparity.operators.configured import audit_cases, run_configurations
-from veriparity.operators.detectors import IQR, MISSING, SD, dirty_rows, is_missing
-from veriparity.plans.check_sql import audit_sql, counts_sql
-from veriparity.plans.registry import query, r, rounded
+from veriparity.operators.detectors import IQR, MISSING, SD, dirty_rows, is_missing, long_numbers
+from veriparity.operators.sketches import RANK_ERROR, column_sketches, merged_sketches, sketch_quantiles
+from veriparity.plans.check_sql import audit_sql, counts_sql, g_sql, log_erfc_sql
+from veriparity.plans.registry import query, r, rounded, table
 from veriparity.plans.standins import DOC_SPEC, DOC_SQL, EVENT_NA, EVENT_SPEC, EVENT_SQL, doc_audit, event_audit
 from veriparity.sources.delimited import normalise
-from veriparity.spec import Above, Equals, LabelAtLeast, LabelIn, LabelNot
+from veriparity.spec import DIS, PRIV, Above, Equals, LabelAtLeast, LabelIn, LabelNot
 
 
 def events_with_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,6 +147,53 @@ def gtest_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(judge(counts))
 
 
+@query(
+    "gtest_log_p",
+    f"""WITH {DOC_SQL} SELECT source, {r('g')} AS g, {r('CASE WHEN g IS NOT NULL THEN ' + log_erfc_sql('sqrt(greatest(g, 0) / 2)') + ' END')} AS log_p
+        FROM (SELECT *, {g_sql('n_priv', 'dirty_priv', 'n_dis', 'dirty_dis')} AS g FROM (
+            SELECT lang AS source, {counts_sql("(CASE WHEN n_chars > 1500 THEN 'priv' ELSE 'dis' END)", 'quality IS NULL')} FROM doc_audit GROUP BY lang
+            UNION ALL SELECT 'lengths', {counts_sql("(CASE WHEN lang = 'en' THEN 'priv' ELSE 'dis' END)", 'n_chars > 1500')} FROM doc_audit
+            UNION ALL SELECT 'itself', {counts_sql("(CASE WHEN n_chars > 1500 THEN 'priv' ELSE 'dis' END)", "n_chars > 1400 AND source <> 'src0'")} FROM doc_audit))""",
+)
+def gtest_log_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G-tests from clearly insignificant to one whose p is 0 to any printed digits, told apart by log p."""
+    docs = doc_audit(spark, sf_dir)
+    long = F.when(F.col("n_chars") > 1500, PRIV).otherwise(DIS)
+    counts = docs.groupBy(F.col("lang").alias("source")).agg(*count_groups(long, F.col("quality").isNull()))
+    whole = docs.agg(*count_groups(F.when(F.col("lang") == "en", PRIV).otherwise(DIS), F.col("n_chars") > 1500))
+    same = docs.agg(*count_groups(long, (F.col("n_chars") > 1400) & (F.col("source") != "src0")))
+    for name, more in (("lengths", whole), ("itself", same)):
+        counts = counts.unionByName(more.withColumn("source", F.lit(name)))
+    g = g_or_null(*[F.col(c) for c in COUNTS])
+    return rounded(counts.select("source", g.alias("g")).withColumn("log_p", g_log_p(F.col("g"))))
+
+
+_SKETCHED = ("l_quantity", "l_extendedprice")
+_SKETCH_PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
+
+
+@query(
+    "quantile_sketches",
+    " UNION ALL ".join(
+        f"""SELECT l_returnflag, '{c}' AS "column", count({c}) AS n, TRUE AS within FROM lineitem GROUP BY l_returnflag"""
+        for c in _SKETCHED
+    ),
+)
+def quantile_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of two arrivals of rows, merged: whether each quantile's rank among all rows is within its bound."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", *_SKETCHED)
+    arrivals = [column_sketches(items.where(F.col("l_orderkey") % 2 == half), _SKETCHED, ["l_returnflag"]) for half in (0, 1)]
+    found = sketch_quantiles(merged_sketches(arrivals[0].unionAll(arrivals[1]), ["l_returnflag"]), _SKETCH_PROBS)
+    # one row per group and column
+    cells = long_numbers(items, _SKETCHED, ["l_returnflag"]).join(F.broadcast(found), ["l_returnflag", "column"])
+    ranks = [(F.count_if(F.col("value") < F.col(f"q{i}")), F.count_if(F.col("value") <= F.col(f"q{i}"))) for i in range(len(_SKETCH_PROBS))]
+    close = [
+        (below / F.first("n") <= p + RANK_ERROR) & (upto / F.first("n") >= p - RANK_ERROR)
+        for p, (below, upto) in zip(_SKETCH_PROBS, ranks, strict=True)
+    ]
+    return cells.groupBy("l_returnflag", "column").agg(F.first("n").alias("n"), reduce(and_, close).alias("within"))
+
+
 _MATRIX_COLUMNS = {MISSING: ("value", "k", "event_type"), SD: ("value", "k", "user_id"), IQR: ("value", "k", "user_id")}
 
 

@@ -68,6 +68,35 @@ def paired_p_sql(n: str, t: str) -> str:
     )
 
 
+def _simpson_sql(steps: int, f: str) -> str:
+    """Simpson's sum of ``f`` (of the node number i) over ``steps`` steps, without the width of a step."""
+    return (
+        f"list_sum(list_transform(range(0, {steps + 1}), lambda i: "
+        f"(CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * ({f}))) / 3"
+    )
+
+
+def log_erfc_sql(x: str) -> str:
+    """Logarithm of erfc(x) = 2 / sqrt(pi) exp(-x^2) times the integral of exp(-s^2 - 2 x s) over s > 0."""
+    h = 0.002
+    area = _simpson_sql(4000, f"exp(-({h} * i) * ({h} * i) - 2 * {x} * ({h} * i))")
+    return f"(-{x} * {x} + ln(2 / sqrt(pi()) * {h} * {area}))"
+
+
+def t_log_p_sql(t: str, dof: str) -> str:
+    """Logarithm of the two-sided p of Student's t: the tail beyond |t| by s = |t| + w / (1 - w) over 0 < w < 1."""
+    steps = 8000
+    w = f"(i / {steps}.0::DOUBLE)"
+    inside = (
+        f"CASE WHEN i = {steps} THEN CASE WHEN {dof} = 1 THEN 1 + {t} * {t} ELSE 0 END ELSE exp(-({dof} + 1) / 2.0 * (ln(1 + "
+        f"pow(abs({t}) + {w} / (1 - {w}), 2) / {dof}) - ln(1 + {t} * {t} / {dof})) - 2 * ln(1 - {w})) END"
+    )
+    return (
+        f"least(0, ln(2 / sqrt({dof} * pi()) / {steps} * {_simpson_sql(steps, inside)}) + lgamma(({dof} + 1) / 2.0) "
+        f"- lgamma({dof} / 2.0) - ({dof} + 1) / 2.0 * ln(1 + {t} * {t} / {dof}))"
+    )
+
+
 def audit_sql(counts: str, keys: str = "") -> str:
     """Wrap a statement returning the four counts (and ``keys``) into a judged audit."""
     lead = f"{keys}, " if keys else ""

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veriparity.functions.significance import ALPHA, impact_verdict, one_sided
+from veriparity.functions.significance import ALPHA, impact_verdict, one_sided, paired_log_p
 from veriparity.operators import experiments as ops
-from veriparity.plans.check_sql import paired_p_sql, t_sql
+from veriparity.plans.check_sql import paired_p_sql, t_log_p_sql, t_sql
 from veriparity.plans.registry import query, r, rounded
 from veriparity.plans.standins import (
     EXPERIMENT_CRITERIA,
@@ -109,6 +109,18 @@ def paired_ttest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "paired_log_p",
+    f"""WITH {RUNS_SQL}, {_PAIRS_SQL} SELECT method, n, {r('t')} AS t,
+        {r("CASE WHEN n < 2 OR t = 0 THEN 0 ELSE " + t_log_p_sql('t', '(n - 1)') + " END")} AS log_p FROM ({_tested_sql('score')})""",
+)
+def paired_log_p_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each method against the baseline, with the logarithm of p."""
+    tested = ops.paired_tests(user_changes(spark, sf_dir), ["method"], ["score"])
+    n, t = F.col("score_n"), F.col("score_t")
+    return rounded(tested.select("method", n.alias("n"), t.alias("t"), paired_log_p(n, t).alias("log_p")))
+
+
 def _verdict_sql(t: str, p: str, alpha: str, fell: str, rose: str) -> str:
     return (
         f"CASE WHEN {p} < {alpha} AND {t} < 0 THEN '{fell}' WHEN {p} < {alpha} AND {t} > 0 THEN '{rose}' "

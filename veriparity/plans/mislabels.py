@@ -383,10 +383,30 @@ def mislabel_cases_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(mislabel_cases(tables, cases, fold=F.col("doc_id") % _ISSUE_FOLDS))
 
 
-@query("mislabel_shapley_encoded")
+_ENCODED_SQL = f"""{DOC_SQL},
+    emb_audit AS (SELECT doc_id AS id, coalesce(quality = 1, FALSE) AS label, n_chars, lang, source FROM doc_audit),
+    {_HOLDOUT_SQL.removeprefix(EMB_SQL + ", ")},
+    part AS (SELECT *, id IN (SELECT id FROM held) AS is_held FROM emb_audit),
+    stats AS (SELECT avg(n_chars) AS m, stddev_pop(n_chars) AS s, count(*) AS n FROM part WHERE NOT is_held),
+    names AS (SELECT id, 'lang=' || lang AS feature FROM part UNION ALL SELECT id, 'source=' || source FROM part),
+    counts AS (SELECT feature, count(*) AS c FROM names JOIN part USING (id) WHERE NOT is_held GROUP BY feature),
+    cells AS (SELECT id, 'n_chars' AS feature, (n_chars - m) / s AS value FROM part, stats
+        UNION ALL SELECT id, feature, 1 / sqrt(c::DOUBLE / n * (1 - c::DOUBLE / n) * n / (n - 1)) FROM names JOIN counts USING (feature), stats
+            WHERE c < n),
+    sizes2 AS (SELECT id, any_value(label) AS label, any_value(is_held) AS is_held, sum(value * value) AS square
+        FROM part JOIN cells USING (id) GROUP BY id),
+    products AS (SELECT h.id AS point, t.id, sum((h.value - t.value) * (h.value - t.value) - h.value * h.value - t.value * t.value) AS common
+        FROM cells h JOIN cells t USING (feature) JOIN held ON held.id = h.id ANTI JOIN held e ON e.id = t.id GROUP BY h.id, t.id),
+    dists AS (SELECT h.id AS point, t.id, (h.label = t.label)::INT AS a,
+            round(sqrt(greatest(0, h.square + t.square + coalesce(common, 0))), 6) AS dist
+        FROM sizes2 h JOIN sizes2 t ON h.is_held AND NOT t.is_held LEFT JOIN products p ON p.point = h.id AND p.id = t.id),
+    {_SHAPLEY_SQL[_SHAPLEY_SQL.index("placed AS"):]}"""
+
+
+@query("mislabel_shapley_encoded", f"WITH {_ENCODED_SQL} SELECT id, {r('value')} AS value FROM valued WHERE value < -1e-12")
 def mislabel_shapley_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Valuation on encoded features with a hash-drawn holdout; a document without label counts as not good."""
-    return rounded(mislabelled_by_value(doc_audit(spark, sf_dir), DOC_SPEC, seed=42))
+    """Valuation on encoded features; a document without label counts as not good."""
+    return rounded(mislabelled_by_value(doc_audit(spark, sf_dir), DOC_SPEC, order=[F.col("id")]))
 
 
 _SEED = 42

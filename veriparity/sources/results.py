@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriparity.functions.values import null_if_nan
+from veriparity.sources.split_json import split_entries
 
 # Result file stem per dataset.
 RESULT_FILES = {
@@ -23,7 +24,6 @@ IMPACT_SCHEMA = (
     "repair string, test_repaired boolean, fairness_impact string, accuracy_impact string"
 )
 
-MAX_DOCUMENT_BYTES = 512 * 1024 * 1024
 TEXT_METRICS = "map<string,string>"
 
 
@@ -49,36 +49,34 @@ def parse_documents(documents: DataFrame) -> DataFrame:
     )
 
 
-def read_documents(
-    spark: SparkSession, folder: str, files: Mapping[str, str] = RESULT_FILES, max_bytes: int = MAX_DOCUMENT_BYTES
-) -> DataFrame:
-    """Read result documents, one JSON object per dataset file.
+def parse_entries(entries: DataFrame) -> DataFrame:
+    """Rows ``dataset, pos, entry`` with one ``"experiment": {metrics}`` each; anything else raises."""
+    kind = f"map<string,{TEXT_METRICS}>"
+    parsed = F.from_json(F.concat(F.lit("{"), "entry", F.lit("}")), kind, {"mode": "FAILFAST"})
+    damaged = F.raise_error(F.concat(F.lit("no result document: "), F.coalesce("dataset", F.lit("?"))))
+    whole = F.when(F.size(parsed) == 1, parsed).otherwise(damaged.cast(kind))
+    rows = entries.where("entry <> ''").select("dataset", "pos", F.explode(whole).alias("experiment", "found"))
+    return rows.select("dataset", "pos", "experiment", numeric_metrics(F.col("found")).alias("metrics"))
+
+
+def read_documents(spark: SparkSession, folder: str, files: Mapping[str, str] = RESULT_FILES) -> DataFrame:
+    """Read result documents, one JSON object per dataset file, of any size: tasks read parts of a file.
 
     ``files`` names the file of each dataset wanted; one that is absent raises, as
     does a JSON file in the folder that belongs to no dataset in ``files``.
-
-    An object has to be parsed whole, so a file of this format is read by one
-    task and its size is checked; larger results belong into the line format of
-    ``read_lines``.
     """
     name = F.element_at(F.split(F.col("path"), "/"), -1)
-    which = F.lit(None).cast("string")
-    for dataset, file in files.items():
-        which = F.when(name == file, dataset).otherwise(which)
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
-    names = {r["name"] for r in found.select(name.alias("name")).collect()}  # no more than the folder's files
-    if names != set(files.values()):
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder).select("path", name.alias("name"))
+    paths = {r["name"]: r["path"] for r in found.collect()}  # no more than the folder's files
+    if set(paths) != set(files.values()):
         raise ValueError(
-            f"result files absent: {sorted(set(files.values()) - names)}, unknown: {sorted(names - set(files.values()))}"
-        )
-    fits = F.when(F.col("length") <= max_bytes, F.col("content")).otherwise(
-        F.raise_error(F.concat(F.lit("too large for one document, use the line format: "), F.col("path"))).cast(
-            "binary"
+            f"result files absent: {sorted(set(files.values()) - set(paths))}, unknown: {sorted(set(paths) - set(files.values()))}"
         )
-    )
-    listed = found.select(which.alias("dataset"), F.decode(fits, "UTF-8").alias("value"))
-    # a document is one row; its experiments are dealt out again
-    return parse_documents(listed).repartition("experiment")
+    entries = split_entries(spark, sorted(paths.values()))
+    which = F.lit(None).cast("string")
+    for dataset, file in files.items():
+        which = F.when(F.element_at(F.split(F.col("file"), "/"), -1) == file, dataset).otherwise(which)
+    return parse_entries(entries.select(which.alias("dataset"), "pos", "entry"))
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
