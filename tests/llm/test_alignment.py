@@ -142,3 +142,10 @@ def test_long_texts_and_edges(spark, odd_documents, no_documents):
     got = {r["doc_id"]: r for r in align_tokenizers(spark.createDataFrame(long, "doc_id long, text string")).collect()}
     assert all(r["n_groups"] > 0 for r in got.values()) and got[1]["n_a"] >= 360_000
     assert align_tokenizers(odd_documents).count() == odd_documents.count() and align_tokenizers(no_documents).count() == 0
+
+
+def test_tokenizers_that_do_not_fit_raise():
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="byte-level"):
+        tables(public_tokenizers.path("word_bpe_49k.json"), None)

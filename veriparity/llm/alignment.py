@@ -34,6 +34,7 @@ empty table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -69,7 +70,10 @@ def byte_letters() -> dict[str, int]:
 
 
 class ByteTokens:
-    """Tokenizer A: byte-level BPE from a tokenizer file, without special tokens."""
+    """Tokenizer A: byte-level BPE from a tokenizer file, without special tokens.
+
+    The file must cut by the usual byte-level pattern and number tokens by the order of their merges; others raise.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
@@ -81,6 +85,11 @@ class ByteTokens:
         letters = byte_letters()
         special = {i for i, t in self.exact.get_added_tokens_decoder().items() if t.special}
         vocabulary = self.exact.get_vocab()
+        told = json.loads(self.exact.to_str())
+        cutter, joins = told["pre_tokenizer"] or {}, [m if isinstance(m, list) else m.split(" ") for m in told["model"].get("merges", [])]
+        usual = cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space") and not told["normalizer"]
+        if not usual or any(vocabulary.get("".join(m)) != 256 + i for i, m in enumerate(joins)):
+            raise ValueError(f"not a byte-level tokenizer numbered by merges: {path}")
         self.bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.bytes[i] = token.encode() if i in special else bytes(letters[c] for c in token)
