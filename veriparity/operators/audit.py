@@ -69,10 +69,13 @@ def audit_criteria(
     hits = [any_flag(by_column).alias(f"hit{i}") for i, by_column in enumerate(found.values())]
     groups = [spec.group(c).alias(f"grp{i}") for i, c in enumerate(criteria)]
     combined = ready.groupBy(*groups, *hits).agg(F.count(F.lit(1)).alias("n"))
-    seen = [F.struct(F.lit(d).alias("detector"), F.col(f"hit{i}").alias("dirty")) for i, d in enumerate(found)]
-    sides = [F.struct(F.lit(c).alias("criteria"), F.col(f"grp{i}").alias("grp")) for i, c in enumerate(criteria)]
-    spread = combined.select("n", F.array(*seen).alias("seen"), F.inline(F.array(*sides)))
-    spread = spread.select("n", "criteria", "grp", F.inline("seen"))
+    # one literal array, which no filter has to be inferred for
+    cells = [
+        F.struct(F.lit(c).alias("criteria"), F.col(f"grp{i}").alias("grp"), F.lit(d).alias("detector"), F.col(f"hit{j}").alias("dirty"))
+        for i, c in enumerate(criteria)
+        for j, d in enumerate(found)
+    ]
+    spread = combined.select("n", F.inline(F.array(*cells)))
     return judge(spread.groupBy("criteria", "detector").agg(*count_groups(F.col("grp"), F.col("dirty"), F.col("n"))))
 
 

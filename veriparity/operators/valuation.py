@@ -98,14 +98,13 @@ def knn_shapley(
     if not points or len(points) > holdout:
         raise ValueError(f"the holdout must have 1 to {holdout} rows")
     to_points = distances_to(np.array([p["features"] for p in points], dtype=np.float64), decimals)
-    dists = train.select("id", "label", to_points(F.col("features")).alias("dists"))
-    return values_by_distance(dists, [p["label"] for p in points], k)
+    return values_by_distance(train, to_points(F.col("features")), [p["label"] for p in points], k)
 
 
-def values_by_distance(dists: DataFrame, point_labels: Sequence[object], k: int) -> DataFrame:
-    """``id, value`` from ``id, label, dists`` (one distance per held-out row)."""
+def values_by_distance(rows: DataFrame, dists: Column, point_labels: Sequence[object], k: int) -> DataFrame:
+    """``id, value`` of rows of ``id, label``, whose ``dists`` has one distance per held-out row."""
     labels = F.array(*[F.lit(x) for x in point_labels])
-    seen = dists.select("id", "label", F.posexplode("dists").alias("point", "dist"))
+    seen = rows.select("id", "label", F.posexplode(dists).alias("point", "dist"))
     agrees = (F.col("label") == F.get(labels, F.col("point"))).cast("int")
     # written, as cutting into slices passes over its input twice
     seen = cut_lineage(seen.select("point", "dist", "id", agrees.alias("a")))
@@ -288,4 +287,4 @@ def mislabelled_by_value(
     encoded = [scaled_cells(train, part, spec.numeric, spec.categorical, ["id", "label"]) for part in (train, held)]
     points = encoded[1].orderBy("id").collect()  # as many as are held out
     cells = [{c["feature"]: c["value"] for c in p["cells"]} for p in points]
-    return suspicious(values_by_distance(sparse_distances(encoded[0], cells), [p["label"] for p in points], k))
+    return suspicious(values_by_distance(sparse_distances(encoded[0], cells), F.col("dists"), [p["label"] for p in points], k))
