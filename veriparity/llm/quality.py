@@ -151,7 +151,9 @@ def model_of(trusted: DataFrame) -> DataFrame:
         )
         every = every.unionByName(level)
     left = contexts.select((F.col("k") - 1).alias("k"), F.col("context").alias("key"), F.log("g").alias("gamma"))
-    return cut_lineage(every.select("k", "key", F.log("p").alias("logp")).join(left, ["k", "key"], "full"))
+    both = every.select("k", "key", F.log("p").alias("logp")).join(left, ["k", "key"], "full")
+    # single precision, which is what the tables in memory hold, so that scores are the same with and without them
+    return cut_lineage(both.select("k", "key", F.col("logp").cast("float").alias("logp"), F.col("gamma").cast("float").alias("gamma")))
 
 
 class Table:
