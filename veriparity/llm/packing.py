@@ -36,7 +36,7 @@ from veriparity.session import cut_lineage
 
 CAPACITY = 4096
 END_ID = 2
-MEMO_WORDS = 600_000  # of a generation; about 120 MB
+MEMO_WORDS, MEMO_PARTS = 600_000, 150_000  # of a generation; a worker keeps two of each, some 300 MB
 TOGETHER = 500  # words of letters encoded as one text
 PUNCTUATION = string.punctuation.encode()
 # fixed value: how a tokenizer file says that letters are one piece, digits alone and all other signs another
@@ -79,7 +79,7 @@ class WordTokens:
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = bool(suffix) and token.endswith(suffix)
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.parts = Memo(lambda part: self.encoded([part])[0], MEMO_WORDS)
+        self.parts = Memo(lambda part: self.encoded([part])[0], MEMO_PARTS)
         self.memo = Memo(lambda word: self.packed([word])[0], MEMO_WORDS)
 
     def special(self, text: bytes) -> bool:
