@@ -1,3 +1,5 @@
+import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -33,6 +35,42 @@ def test_draws_depend_on_key_and_seed_only():
     assert alone != ids_of(text, 5, seed=1)
 
 
+def test_draws_are_fixed():
+    """Digests of the ids for given keys, seed and sharpness."""
+    texts = ["the quick brown fox ▁ jumps\n\n over", "", "  日本語 text 😀 with \t bytes  ", "x" * 50 + " the the", "\0 \0"]
+    drawn = sp.sample_slice(texts, np.arange(5, dtype=np.uint64), V, 9)
+    want = [574765502, 0, 552168268, 1851380513, 4012881128]
+    assert [zlib.crc32(x.astype("<u4").tobytes()) for x in drawn] == want
+
+
+def test_pieces_are_looked_up_only_where_they_may_end(monkeypatch):
+    looked_up = []
+    find = sp.Vocabulary.find
+    monkeypatch.setattr(sp.Vocabulary, "find", lambda v, keys: looked_up.append(len(keys)) or find(v, keys))
+    rng = random.Random(4)
+    words = {"".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(5000)}
+    text = " ".join(sorted(words))
+    assert V.decode(ids_of(text)) == text
+    pairs = sum(min(n, V.longest) for w in words for n in range(1, len(w) + 2))
+    assert 0 < sum(looked_up) < 0.6 * pairs
+
+
+def test_chunks_that_share_a_hash_are_told_apart():
+    """Thue-Morse words and their complements have equal polynomial hashes modulo 2**64, whatever the base."""
+    word = "a"
+    swapped = {97: 98, 98: 97}
+    for _ in range(12):
+        word += word.translate(swapped)
+    other = word.translate(swapped)
+    texts = [f"{word} {other}", "", other, word]
+    found = sp.Slice(texts)
+    text = "".join(chr(c) for c in found.plain)
+    shown = [text[s : s + n] for s, n in zip(found.start[found.kinds], found.sizes[found.kinds], strict=True)]
+    assert shown == [f" {word}", f" {other}", f" {other}", f" {word}"]
+    drawn = sp.sample_slice(texts, np.zeros(4, np.uint64), V, 0)
+    assert [V.decode(x.tolist()) for x in drawn] == texts
+
+
 def brute(text, v):
     """Weight of each segmentation of a short text without bare characters."""
     text = "▁" + text

@@ -8,7 +8,8 @@ of (seed, row key, place in the text), so a segmentation depends on nothing else
 No piece of a usable vocabulary crosses from a non-space to a space, so the
 lattice falls apart into chunks (spaces, then non-spaces), which are filtered
 once per slice and sampled at every place where they occur.  All steps run over
-arrays of all chunks at once.  Characters without a piece of their own are
+arrays of all chunks at once; lookups go on to longer pieces only where a longer
+piece may end.  Characters without a piece of their own are
 covered by the pieces of their bytes; so is the vocabulary's own space mark,
 which keeps decoding lossless.
 
@@ -19,7 +20,6 @@ table; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from functools import lru_cache
 
@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriparity.llm.common import BASE, mixed, prefix_hashes, slices, texts_of
+from veriparity.llm.common import BASE, mixed, powers, prefix_hashes, range_hashes, slices, texts_of
 
 MARK = 0x2581  # how the vocabulary writes a space
 OWN_MARK = 0x110000  # that character in a text
-CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 USER_SCORE = -1e8
+BLOCK = 1 << 15  # characters hashed at once
+PIECE, ENDING = 1, 2  # marks of a hash
+BARE = -2  # less its code point: a character without a piece of its own
 
 
 def default_model() -> str:
@@ -67,21 +69,30 @@ class Vocabulary:
             raise ValueError("pieces of this model cross spaces")
         if not all(model.is_byte(i) for i in self.byte_ids.tolist()):
             raise ValueError("this model lacks pieces for bytes")
-        self.longest = max(len(n) for n, _ in names)
+        lengths = np.array([len(n) for n, _ in names])
+        self.longest = int(lengths.max())
         self.byte_weight = -sharpness * np.log(2.0 + model.get_piece_size())
         bits = int(np.ceil(np.log2(len(names)))) + 2
-        self.shift = np.uint64(64 - bits)
+        self.shift, self.mark_shift = np.uint64(64 - bits), np.uint64(64 - bits - 3)
         self.keys = np.zeros(1 << bits, np.uint64)
         self.ids = np.full(1 << bits, -1, np.int32)
         self.weights = np.full(1 << bits, -np.inf)
+        self.marks = np.zeros(1 << (bits + 3), np.uint8)  # may be a piece, may be the end of a longer one
+        text = "\0" + "\0".join([n for n, _ in names])
+        hashes = prefix_hashes(np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64))
+        ends, keys = np.cumsum(lengths + 1) - 1, np.zeros(len(names), np.uint64)
+        for n in range(1, self.longest + 1):
+            at = np.flatnonzero(lengths >= n)
+            found, whole = self.key(hashes[ends[at]], hashes[ends[at] - n], n), lengths[at] == n
+            keys[at[whole]] = found[whole]
+            self.marks[found[whole] >> self.mark_shift] |= PIECE
+            self.marks[found[~whole] >> self.mark_shift] |= ENDING
         mask = len(self.keys) - 1
-        for (name, i), weight in zip(names, weights, strict=True):
-            codes = np.array([ord(c) for c in name], np.uint64)
-            key = self.key(prefix_hashes(codes)[-1:], np.zeros(1, np.uint64), len(name))
-            at = int(key[0] >> self.shift)
+        for key, (_, i), weight in zip(keys.tolist(), names, weights, strict=True):
+            at = key >> int(self.shift)
             while self.ids[at] >= 0:
                 at = (at + 1) & mask
-            self.keys[at], self.ids[at], self.weights[at] = key[0], i, weight
+            self.keys[at], self.ids[at], self.weights[at] = key, i, weight
 
     @staticmethod
     def key(end: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
@@ -91,20 +102,21 @@ class Vocabulary:
             return mixed(end - start * power + np.uint64(length))
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and log weights of pieces; -1 and -inf where there is none."""
-        ids = np.full(len(keys), -1, np.int32)
-        weights = np.full(len(keys), -np.inf, np.float32)
-        at, rest = (keys >> self.shift).astype(np.int64), np.arange(len(keys))
+        """Which of the keys are pieces, and their slots in the table."""
+        slots = (keys >> self.shift).astype(np.int64)
+        same = self.keys[slots] == keys
+        rest = np.flatnonzero(~same)
         while len(rest):
-            there = self.ids[at] >= 0
-            rest, at = rest[there], at[there]
-            hit = self.keys[at] == keys[rest]
-            ids[rest[hit]], weights[rest[hit]] = self.ids[at[hit]], self.weights[at[hit]]
-            rest, at = rest[~hit], (at[~hit] + 1) & (len(self.keys) - 1)
-        return ids, weights
+            rest = rest[self.ids[slots[rest]] >= 0]
+            slots[rest] = (slots[rest] + 1) & (len(self.keys) - 1)
+            same[rest] = self.keys[slots[rest]] == keys[rest]
+            rest = rest[~same[rest]]
+        found = np.flatnonzero(same)
+        found = found[self.ids[slots[found]] >= 0]  # an empty slot has the key 0
+        return found, slots[found]
 
     def decode(self, ids) -> str:
-        return b"".join([self.bytes[i] for i in ids]).decode("utf-8")[1:]
+        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8")[1:]
 
 
 @lru_cache(2)
@@ -112,91 +124,127 @@ def vocabulary(path: str | None, sharpness: float) -> Vocabulary:
     return Vocabulary(path, sharpness)
 
 
+class Slice:
+    """The characters of texts, each text behind a space, cut into chunks; equal chunks are of one kind."""
+
+    def __init__(self, texts: list[str]):
+        self.counts = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+        self.first = np.cumsum(self.counts) - self.counts
+        self.plain = np.frombuffer("".join([" " + t for t in texts if t]).encode("utf-32-le"), np.uint32)
+        self.hashes = np.zeros(len(self.plain) + 1, np.uint64)  # of all characters before each place
+        power = powers(BASE, min(len(self.plain), BLOCK))
+        for at in range(0, len(self.plain), BLOCK):
+            part = self.plain[at : at + BLOCK]
+            codes = part.astype(np.uint64)
+            codes[part == MARK] = OWN_MARK
+            codes[part == ord(" ")] = MARK
+            self.hashes[at + 1 : at + 1 + BLOCK] = prefix_hashes(codes) + self.hashes[at] * power[: len(part)]
+        blank = (self.plain == ord(" ")) | (self.plain == ord("\n"))
+        new = blank.copy()
+        new[1:] &= ~blank[:-1]
+        new[self.first[self.counts > 0]] = True
+        start = np.flatnonzero(new)
+        self.end = np.append(start[1:], len(self.plain)) if len(start) else start
+        sizes = self.end - start
+        whole = range_hashes(self.hashes[1:], start, self.end) if len(start) else self.hashes[1:]
+        kinds = pa.array(whole).dictionary_encode()
+        self.kinds = kinds.indices.to_numpy().astype(np.int64)
+        shown = np.empty(len(kinds.dictionary), np.int64)  # an occurrence of each kind
+        shown[self.kinds] = np.arange(len(start))
+        # chunks that share a hash only are kinds of their own
+        other = np.repeat(start[shown[self.kinds]] - start, sizes)
+        other += np.arange(len(other))
+        differ = np.flatnonzero(self.plain.take(other, mode="clip") != self.plain)
+        wrong = sizes[shown[self.kinds]] != sizes
+        wrong[np.searchsorted(self.end, differ, side="right")] = True
+        wrong = np.flatnonzero(wrong)
+        self.kinds[wrong] = len(shown) + np.arange(len(wrong))
+        shown = np.concatenate([shown, wrong])
+        self.start, self.sizes = start[shown], sizes[shown]  # by kind
+
+
 class Lattice:
-    """Forward-filtered lattices of distinct chunks, one position per character and one before the first."""
+    """Forward-filtered lattices of the kinds of chunks, one place per character and one before the first.
+
+    Places lie by their depth in the chunk, and in each depth by falling size of the chunk, so a step of the filter works on runs of places.
+    """
 
-    def __init__(self, chunks: list[str], v: Vocabulary):
-        sizes = np.array([len(c) for c in chunks], np.int64)
+    def __init__(self, chunks: Slice, v: Vocabulary):
+        sizes = chunks.sizes
         order = np.argsort(-sizes, kind="stable")
-        sizes = sizes[order]
-        self.start = np.zeros(len(chunks), np.int64)  # position before the first character, by chunk
-        starts = np.cumsum(sizes + 1) - sizes - 1
-        self.start[order] = starts
-        total = int((sizes + 1).sum())
-        codes = np.zeros(total, np.uint32)
-        text = "\0" + "\0".join([chunks[i] for i in order])
-        codes[:] = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        self.codes = codes.copy()
-        codes[codes == MARK] = OWN_MARK
-        codes[codes == ord(" ")] = MARK
-        hashes = prefix_hashes(codes.astype(np.uint64))
-        depth = np.arange(total) - np.repeat(starts, sizes + 1)
-        self.ids = np.full((total, v.longest), -1, np.int32)
-        weight = np.full((total, v.longest), -np.inf, np.float32)
+        self.rank = np.empty(len(sizes), np.int64)  # by kind: which one it is in each depth
+        self.rank[order] = np.arange(len(sizes))
+        alive = np.searchsorted(-sizes[order], -np.arange(sizes.max(initial=0) + 1), side="right")
+        self.base = np.cumsum(alive) - alive
+        total = int(alive.sum())
+        before = np.cumsum(sizes) - sizes
+        depth = np.arange(1, total - len(sizes) + 1) - np.repeat(before, sizes)
+        ends = depth + np.repeat(chunks.start, sizes)
+        place = self.base[depth] + np.repeat(self.rank, sizes)
+        self.ids = np.empty((v.longest, total), np.int32)  # filled where there are pieces, and for single characters
+        self.ids[0] = -1
+        weight = np.full((v.longest, total), -np.inf, np.float32)
+        at = np.arange(len(ends))
         for n in range(1, v.longest + 1):
-            at = np.flatnonzero(depth >= n)
-            if len(at):
-                self.ids[at, n - 1], weight[at, n - 1] = v.find(v.key(hashes[at], hashes[at - n], n))
-        bare = (depth > 0) & (self.ids[:, 0] < 0)
-        cp = self.codes[bare]
-        weight[bare, 0] = v.byte_weight * (1 + (cp >= 0x80) + (cp >= 0x800) + (cp >= 0x10000))
-        reach = np.full(total, -np.inf)
-        reach[starts] = 0
-        self.upto = np.zeros((total, v.longest), np.float32)  # share of pieces up to each length
-        alive = len(sizes)
-        for t in range(1, int(sizes[0]) + 1 if len(sizes) else 0):
-            alive = int(np.searchsorted(-sizes[:alive], -t, side="right"))
-            at = starts[:alive] + t
+            end = ends[at]
+            keys = v.key(chunks.hashes[end], chunks.hashes[end - n], n)
+            marks = v.marks[keys >> v.mark_shift]
+            likely = np.flatnonzero(marks & PIECE)
+            found, slots = v.find(keys[likely])
+            to = place[at[likely[found]]]
+            self.ids[n - 1, to], weight[n - 1, to] = v.ids[slots], v.weights[slots]
+            at = at[(marks >= ENDING) & (depth[at] > n)]
+        bare = np.flatnonzero(self.ids[0, place] < 0)
+        cp = chunks.plain[ends[bare] - 1]
+        weight[0, place[bare]] = v.byte_weight * (1 + (cp >= 0x80) + (cp >= 0x800) + (cp >= 0x10000))
+        self.ids[0, place[bare]] = BARE - cp.astype(np.int32)
+        reach = np.zeros(total)
+        # share of pieces up to each length; whole words of eight lengths, so that these can be counted at once
+        self.upto = np.ones((total, -(-v.longest // 8) * 8), np.float32)
+        for t in range(1, len(alive)):
+            here = slice(self.base[t], self.base[t] + alive[t])
             k = min(t, v.longest)
-            ways = reach[at[:, None] - np.arange(1, k + 1)] + weight[at, :k]
-            most = ways.max(axis=1)
-            shares = np.cumsum(np.exp(ways - most[:, None]), axis=1)
-            reach[at] = most + np.log(shares[:, -1])
-            self.upto[at, :k] = shares / shares[:, -1:]
-            self.upto[at, k - 1 :] = 1.0
+            ways = reach[self.base[t - k : t][::-1, None] + np.arange(alive[t])]
+            ways += weight[:k, here]
+            most = ways.max(axis=0)
+            ways -= most
+            shares = np.exp(ways, out=ways)
+            for n in range(1, k):
+                shares[n] += shares[n - 1]
+            reach[here] = most + np.log(shares[-1])
+            self.upto[here, : k - 1] = (shares[:-1] / shares[-1]).T
 
 
 def sample_slice(texts: list[str], keys: np.ndarray, v: Vocabulary, seed: int) -> list[np.ndarray]:
     """Sampled ids of each text; ``keys`` are 64-bit hashes of the rows' keys."""
-    places: dict[str, int] = {}
-    kinds, sizes, counts = [], [], []
-    for text in texts:
-        found = CHUNK.findall(" " + text) if text else []
-        kinds += [places.setdefault(c, len(places)) for c in found]
-        sizes += map(len, found)
-        counts.append(sum(map(len, found)))
-    counts = np.array(counts, np.int64)
-    lattice = Lattice(list(places), v)
-    kinds, left = np.array(kinds, np.int64), np.array(sizes, np.int64)
-    end = np.cumsum(left)  # place behind each chunk in the slice
-    first = np.cumsum(counts) - counts
-    out = np.full(int(counts.sum()), -1, np.int32)
-    wide = np.zeros(len(out), np.uint32)
-    doc = np.repeat(np.arange(len(texts)), counts)
-    at = lattice.start[kinds] + left if len(kinds) else kinds
+    chunks = Slice(texts)
+    lattice = Lattice(chunks, v)
+    counts, first = chunks.counts, chunks.first
+    rank, left, end = lattice.rank[chunks.kinds], chunks.sizes[chunks.kinds], chunks.end
+    doc = np.searchsorted(first + counts, end)
+    out = np.full(len(chunks.plain), -1, np.int32)
+    del chunks  # large for long texts
     with np.errstate(over="ignore"):
-        salt = mixed(keys + np.uint64(seed) * BASE)
-    while len(at):
-        d = doc[end - 1]
+        salt = (mixed(keys + np.uint64(seed) * BASE) - first.view(np.uint64) * BASE)[doc]
+    while len(end):
         with np.errstate(over="ignore"):
-            u = (mixed(salt[d] + (end - first[d]).astype(np.uint64) * BASE) >> np.uint64(40)).astype(np.float32) / 2**24
-        n = (lattice.upto[at] <= u[:, None]).sum(axis=1) + 1
-        ids = lattice.ids[at, n - 1]
-        out[end - 1] = ids
-        bare = ids < 0
-        wide[end[bare] - 1] = lattice.codes[at[bare]]
-        out[end[bare] - 1] = -2
-        at, end, left = at - n, end - n, left - n
-        go = left > 0
-        at, end, left = at[go], end[go], left[go]
-    bare = np.flatnonzero(out == -2)
+            u = (mixed(salt + end.view(np.uint64) * BASE) >> np.uint64(40)).astype(np.float32) / 2**24
+        at, last = lattice.base[left] + rank, end - 1
+        below = lattice.upto.take(at, axis=0) <= u[:, None]
+        n = np.bitwise_count(below.view(np.uint64)).sum(axis=1, dtype=np.int64)
+        out[last] = lattice.ids[n, at]
+        n += 1
+        left, end = left - n, end - n
+        go = np.flatnonzero(left)
+        rank, left, end, salt = rank[go], left[go], end[go], salt[go]
+    bare = np.flatnonzero(out <= BARE)
     keep = out != -1
     if len(bare):  # characters that are spelled by bytes
-        spelled = [v.byte_ids[list(chr(c).encode())] for c in wide[bare]]
+        spelled = [v.byte_ids[list(chr(c).encode())] for c in (BARE - out[bare]).tolist()]
         repeats = keep.astype(np.int64)
         repeats[bare] = [len(s) for s in spelled]
         ids = np.repeat(out, repeats)
-        ids[ids == -2] = np.concatenate(spelled)
+        ids[ids <= BARE] = np.concatenate(spelled)
         ends = np.cumsum(repeats)
     else:
         ids, ends = out[keep], np.cumsum(keep)
